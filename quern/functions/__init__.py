@@ -1,0 +1 @@
+"""Reserved: the surveyed operator inventory is empty, so nothing lives here yet."""
