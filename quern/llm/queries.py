@@ -19,6 +19,12 @@ def op4_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return pack(table(spark, root, "documents"))
 
 
+def op6_nbsvm_quality(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.quality import score_quality
+
+    return score_quality(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op7_jump_sharding(spark: SparkSession, root: str) -> DataFrame:
     from quern.llm.sharding import shard_documents
 
@@ -31,5 +37,5 @@ def op8_pivotal_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mix_documents(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_html_main_text, op4_best_fit_packing, op7_jump_sharding, op8_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (op3_html_main_text, op4_best_fit_packing, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing)}
 ORACLES: dict[str, str] = {}
