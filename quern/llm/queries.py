@@ -7,6 +7,37 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.sources import table
 
 
+def op1_suffix_automaton_dedup(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.substring import dedup_substrings
+
+    return dedup_substrings(table(spark, root, "documents"))
+
+
+#: Every window of 35 words and how often it occurs; a word goes if one of the windows over it occurs again.
+OP1_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), starts AS (
+  SELECT row_id, words, unnest(range(1, len(words) - 33)) AS pos FROM texts WHERE len(words) >= 35
+), windows AS (
+  SELECT row_id, pos, sha256(array_to_string(list_slice(words, pos, pos + 34), ' ')) AS h FROM starts
+), again AS (
+  SELECT row_id, list(pos) AS ats FROM (SELECT row_id, pos, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1 GROUP BY row_id
+), gone AS (
+  SELECT row_id, list_distinct(flatten(list_transform(ats, lambda a: range(a, a + 35)))) AS places FROM again
+), placed AS (
+  SELECT t.row_id, t.doc_id, t.words, coalesce(g.places, []) AS places FROM texts t LEFT JOIN gone g USING (row_id)
+), kept AS (
+  SELECT p.row_id, string_agg(w, ' ' ORDER BY i) AS text
+  FROM (SELECT row_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM texts) p
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT row_id, unnest(places) AS i FROM gone) g WHERE g.row_id = p.row_id AND g.i = p.i)
+  GROUP BY p.row_id
+)
+SELECT p.doc_id, CAST(len(p.words) AS BIGINT) AS n_words, CAST(len(p.places) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM placed p LEFT JOIN kept k USING (row_id)
+"""
+
+
 def op3_html_main_text(spark: SparkSession, root: str) -> DataFrame:
     from quern.llm.extraction import extract_pages
 
@@ -37,5 +68,5 @@ def op8_pivotal_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mix_documents(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_html_main_text, op4_best_fit_packing, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op3_html_main_text, op4_best_fit_packing, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing)}
+ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL}
