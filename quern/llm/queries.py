@@ -56,6 +56,43 @@ def op6_nbsvm_quality(spark: SparkSession, root: str) -> DataFrame:
     return score_quality(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+def op9_token_combination_join(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, root, "documents"))
+
+
+#: Distinct sets are joined on their shingles; links are followed to the end.
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  FROM documents
+), sets AS (
+  SELECT row_id, doc_id,
+         CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+              ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s
+  FROM words
+), classes AS (
+  SELECT min(row_id) AS c, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), tokens AS (
+  SELECT c, n, unnest(s) AS t FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.c <> b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)
+), reach(c, r) AS (
+  SELECT c, c FROM classes UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.r
+), roots AS (
+  SELECT c, min(r) AS root FROM reach GROUP BY c
+), members AS (
+  SELECT s.row_id, s.doc_id, s.s, r.root FROM sets s LEFT JOIN classes k ON k.s = s.s LEFT JOIN roots r ON r.c = k.c
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
+       CASE WHEN root IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY root) END AS component_id
+FROM members
+"""
+
+
 def op7_jump_sharding(spark: SparkSession, root: str) -> DataFrame:
     from quern.llm.sharding import shard_documents
 
@@ -68,5 +105,5 @@ def op8_pivotal_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mix_documents(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op3_html_main_text, op4_best_fit_packing, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing)}
-ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op3_html_main_text, op4_best_fit_packing, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join)}
+ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op9_token_combination_join": OP9_SQL}
