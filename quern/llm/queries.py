@@ -38,6 +38,12 @@ FROM placed p LEFT JOIN kept k USING (row_id)
 """
 
 
+def op2_log_bilinear_scores(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.language import score_language
+
+    return score_language(table(spark, root, "documents"))
+
+
 def op3_html_main_text(spark: SparkSession, root: str) -> DataFrame:
     from quern.llm.extraction import extract_pages
 
@@ -66,7 +72,8 @@ def op9_token_combination_join(spark: SparkSession, root: str) -> DataFrame:
 OP9_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT row_number() OVER () AS row_id, doc_id,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents
 ), sets AS (
   SELECT row_id, doc_id,
@@ -105,5 +112,5 @@ def op8_pivotal_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mix_documents(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op3_html_main_text, op4_best_fit_packing, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join)}
+QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join)}
 ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op9_token_combination_join": OP9_SQL}
