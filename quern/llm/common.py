@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,53 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder. Spark removes the files once the frame is out of use."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables in the shared folder for the steps of one operator, as compressed Parquet, a fraction of a checkpoint's size.
+
+    with Scratch(spark) as scratch: what is kept in it goes at the end of the block, so what leaves the block must not read it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{_shared_folder(self.spark)}/quern-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (path, kept)
+        return kept
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            self._delete(self.paths.pop(id(frame))[0])
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path, _frame in self.paths.values():
+            self._delete(path)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """`df`, which must be cheap to count, marked for broadcast if it has at most `rows` rows; beyond that a shuffled join is left to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -27,7 +67,3 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def uniform(*columns: Column) -> Column:
     """A number in [0, 1) that depends only on the columns, so that reruns and lost tasks agree."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(2**53))
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -56,6 +56,32 @@ def op4_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return pack(table(spark, root, "documents"))
 
 
+def op5_pivot_permutation_links(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.neighbours import link_vectors
+
+    return link_vectors(table(spark, root, "embeddings"))
+
+
+#: Every pair by brute force; links are followed to the end.
+OP5_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), sound AS (
+  SELECT * FROM vectors WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach(r, s) AS (
+  SELECT r, r FROM vectors UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.s
+), least AS (
+  SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN vectors o ON o.r = reach.s GROUP BY reach.r
+), numbers AS (
+  SELECT a AS r, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, l.component_id, coalesce(v.vec_id = l.component_id, false) AS kept
+FROM vectors v JOIN least l USING (r) LEFT JOIN numbers n USING (r)
+"""
+
+
 def op6_nbsvm_quality(spark: SparkSession, root: str) -> DataFrame:
     from quern.llm.quality import score_quality
 
@@ -112,5 +138,5 @@ def op8_pivotal_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mix_documents(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join)}
-ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op9_token_combination_join": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op5_pivot_permutation_links, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join)}
+ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op5_pivot_permutation_links": OP5_SQL, "op9_token_combination_join": OP9_SQL}
