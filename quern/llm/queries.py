@@ -138,5 +138,12 @@ def op8_pivotal_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mix_documents(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op5_pivot_permutation_links, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join)}
+def op10_small_world_search(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.hnsw import search_vectors
+
+    vectors = table(spark, root, "embeddings")
+    return search_vectors(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op5_pivot_permutation_links, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join, op10_small_world_search)}
 ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op5_pivot_permutation_links": OP5_SQL, "op9_token_combination_join": OP9_SQL}
