@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import checkpointed
+from quern.llm.common import Scratch, checkpointed
 from quern.llm.words import Words, groups, mix, powers, windows
 
 _U = np.uint64
@@ -182,6 +182,11 @@ def _fields(**kinds: T.DataType) -> T.StructType:
 
 def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, hot: int = HOT) -> DataFrame:
     """_r1, _r2 (which name a row's key and text), spans: array of (first, n) runs of repeated windows. `docs`: _r1, _r2, text."""
+    with Scratch(docs.sparkSession) as scratch:
+        return checkpointed(_spans(docs, window, gram, hot, scratch))
+
+
+def _spans(docs: DataFrame, window: int, gram: int, hot: int, scratch: Scratch) -> DataFrame:
     kinds = _fields(_r1=_LONG, _r2=_LONG, first=_INT, n=_INT, mini=_LONG, content=_LONG, inner=T.BooleanType())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +197,12 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, hot: int =
                 [batch.column(0).take(own), batch.column(1).take(own), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(content.view(np.int64)), pa.array(inner)], kinds.names
             )
 
-    pieces = checkpointed(docs.select("_r1", "_r2", "text").mapInArrow(cut, kinds))
+    pieces = scratch.keep(docs.select("_r1", "_r2", "text").mapInArrow(cut, kinds))
     again = pieces.groupBy("mini").agg(F.count(F.lit(1)).alias("rows"), F.max("inner").alias("_inner")).where("rows > 1 OR _inner").select("mini", "rows")
-    found = checkpointed(pieces.drop("inner").join(again, "mini"))
+    found = scratch.keep(pieces.drop("inner").join(again, "mini"))
+    scratch.drop(pieces)
     place = F.struct("_r1", "_r2", "first", "n")
-    distinct = checkpointed(found.groupBy("mini", "content").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("at"), F.max("rows").alias("rows")))
+    distinct = scratch.keep(found.groupBy("mini", "content").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("at"), F.max("rows").alias("rows")))
     twice = distinct.where("times > 1").select("mini", "content")
     whole = found.join(twice, ["mini", "content"], "left_semi").select("_r1", "_r2", "first", "n")
     # what is equal as a whole needs no further look unless other pieces share its minimizer
@@ -230,7 +236,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, hot: int =
                 ], sent.names,
             )
 
-    reference = checkpointed(texts.mapInArrow(send, sent))
+    reference = scratch.keep(texts.mapInArrow(send, sent))
     spans = _fields(_r1=_LONG, _r2=_LONG, first=_INT, n=_INT)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
