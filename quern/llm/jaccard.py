@@ -7,7 +7,7 @@ alone. Frequent ones fall into classes; the prefix is extended by one for each c
 that it touches, so a pair that shares no rare shingle shares two of one
 class, and pairs of a class are indexed instead. Small sets, for which that saves nothing, index all alone.
 
-Equal sets are one class of documents and are compared once. Candidates meet in
+Equal sets are one class of documents (and share a 64-bit name) and are compared once. Candidates meet in
 posting lists: short lists give their pairs, long ones (groups of near copies) first give a
 star around the member with the fewest rare shingles, usually the original; what that
 leaves in different components is then paired, so no link between components is lost. Every candidate is verified on its whole set.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import checkpointed, small
+from quern.llm.common import Scratch, checkpointed, small
 from quern.llm.components import components
 from quern.llm.words import Words, groups, mix, windows
 
@@ -54,9 +54,9 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def _name(tokens: np.ndarray) -> bytes:
-    """16 bytes that stand for a set."""
-    return np.array([mix(tokens * _BASES[1]).sum(), mix(tokens ^ _BASES[0]).sum() + _U(len(tokens))], _U).tobytes()
+def _name(tokens: np.ndarray) -> int:
+    """64 bits that stand for a set; two of ten billion sets share them with a chance of a few in all."""
+    return int((mix(tokens * _BASES[1] + _U(len(tokens))).sum() + mix(tokens ^ _BASES[0]).sum()).view(np.int64))
 
 
 def _enough(n: int, num: int, den: int) -> int:
@@ -76,41 +76,37 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, num:
     rare, common = tokens[~often], tokens[often]
     common = common[np.argsort(order[at[often]], kind="stable")]
     prefix = n - _enough(n, num, den) + 1
-    octaves = {n.bit_length(), max(_enough(n, num, den), 1).bit_length()}
-    sigs, places = [], []
-    for octave in octaves:
-        salt = _U(octave * int(_BASES[1]) % 2**64)
+    sigs, places, alone = [], [], 0
+    for octave in {n.bit_length(), max(_enough(n, num, den), 1).bit_length()}:  # the smaller set of a pair decides the classes
         if octave < 7 or prefix <= len(rare):  # nothing is extended: shingles alone
-            length = prefix
-        else:
-            classes = (mix(common ^ salt) % _U(1 << (octave - 6))).astype(np.int64)
-            fresh = np.zeros(len(common), bool)
-            fresh[np.unique(classes, return_index=True)[1]] = True
-            gain = np.cumsum(~fresh)  # prefix gained after each common shingle
-            more = int(np.searchsorted(gain, prefix - len(rare)) + 1)
-            length = min(len(rare) + more, n)
-        alone = np.concatenate((rare, common))[: length if octave < 7 else min(length, len(rare))]
-        sigs.append(mix(alone ^ salt))
-        places.append(np.arange(len(alone)))
-        if octave >= 7 and length > len(rare):
-            members, kinds = common[: length - len(rare)], classes[: length - len(rare)]
-            by = np.argsort(kinds, kind="stable")
-            members, kinds = members[by], kinds[by]
-            for step in range(1, len(members)):
-                both = kinds[step:] == kinds[:-step]
-                if not both.any():
-                    break
-                x, y = members[:-step][both], members[step:][both]
-                sigs.append(mix(np.minimum(x, y) * _BASES[0] + mix(np.maximum(x, y)) + salt))
-                places.append(np.full(int(both.sum()), len(rare)))
-    return np.concatenate(sigs), np.concatenate(places)
+            alone = max(alone, prefix)
+            continue
+        salt = _U(octave * int(_BASES[1]) % 2**64)
+        classes = (mix(common ^ salt) % _U(1 << (octave - 6))).astype(np.int64)
+        fresh = np.zeros(len(common), bool)
+        fresh[np.unique(classes, return_index=True)[1]] = True
+        gain = np.cumsum(~fresh)  # prefix gained after each common shingle
+        more = min(int(np.searchsorted(gain, prefix - len(rare)) + 1), len(common))
+        alone = max(alone, len(rare))
+        members, kinds = common[:more], classes[:more]
+        by = np.argsort(kinds, kind="stable")
+        members, kinds = members[by], kinds[by]
+        for step in range(1, len(members)):
+            both = kinds[step:] == kinds[:-step]
+            if not both.any():
+                break
+            x, y = members[:-step][both], members[step:][both]
+            sigs.append(mix(np.minimum(x, y) * _BASES[0] + mix(np.maximum(x, y)) + salt))
+            places.append(np.full(int(both.sum()), len(rare)))
+    single = np.concatenate((rare, common))[:alone]
+    return np.concatenate([mix(single), *sigs]), np.concatenate([np.arange(len(single)), *places])
 
 
 def _schema(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-_NODE, _LONG, _INT = T.BinaryType(), T.LongType(), T.IntegerType()
+_NODE, _LONG, _INT = T.LongType(), T.LongType(), T.IntegerType()
 
 
 def _frequent(docs: DataFrame, n: int, most: int, least: int) -> list[tuple[int, int]]:
@@ -145,9 +141,9 @@ def _postings(docs: DataFrame, n: int, num: int, den: int, common: list[tuple[in
     schema = _schema(node=_NODE, size=_INT, sig=_LONG, most=_INT)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within a task are posted once
         for _, texts in groups(batches, 0):
             names, sizes, counts, sigs, limits = [], [], [], [], []
-            seen = set()
             for tokens in shingle_sets(texts, n):
                 if not len(tokens) or (name := _name(tokens)) in seen:
                     continue
@@ -162,7 +158,7 @@ def _postings(docs: DataFrame, n: int, num: int, den: int, common: list[tuple[in
             if names:
                 own = np.repeat(np.arange(len(names)), counts)
                 limit = np.minimum(np.concatenate(limits), 2**31 - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).take(pa.array(own)), pa.array(np.array(sizes, np.int32)[own]), pa.array(np.concatenate(sigs).view(np.int64)), pa.array(limit.astype(np.int32))], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[own]), pa.array(np.array(sizes, np.int32)[own]), pa.array(np.concatenate(sigs).view(np.int64)), pa.array(limit.astype(np.int32))], schema.names)
 
     return docs.select("text").mapInArrow(emit, schema)
 
@@ -173,31 +169,25 @@ def _fits(num: int, den: int):
     return (small_ * F.lit(den) >= large * F.lit(num)) & (F.col("a.size") <= F.col("b.most")) & (F.col("b.size") <= F.col("a.most"))
 
 
-def _verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], n: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The candidate pairs (a < b) whose whole sets are alike enough. texts: the documents, and for each node the row that stands for it."""
     docs, reps = texts
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = small(checkpointed(reps.join(ends, "node", "left_semi")), _BROADCAST_ROWS)
-    found = docs.join(wanted.select("node", F.col("_t1").alias("_u1"), F.col("_t2").alias("_u2"), F.col("_key").alias("_k")), (F.col("_t1") == F.col("_u1")) & (F.col("_t2") == F.col("_u2")) & F.col("_key").eqNullSafe(F.col("_k"))).select("node", "text")
-    sets_schema = _schema(node=_NODE, tokens=T.BinaryType())
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, some in groups(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(some, n)], pa.binary())], sets_schema.names)
-
-    sets = checkpointed(found.mapInArrow(sets_of, sets_schema).dropDuplicates(["node"]))
+    wanted = small(scratch.keep(reps.join(ends, "node", "left_semi")), _BROADCAST_ROWS)
+    row = (F.col("_t1") == F.col("_u1")) & (F.col("_t2") == F.col("_u2")) & F.col("_key").eqNullSafe(F.col("_k"))
+    found = docs.join(wanted.select("node", F.col("_t1").alias("_u1"), F.col("_t2").alias("_u2"), F.col("_key").alias("_k")), row)
+    sets = scratch.keep(found.select("node", "text").dropDuplicates(["node"]))
     # a is the centre: its set is sent once for every 500 partners, theirs once for each pair
     per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(500)).cast("long").alias("_parts"))
-    right = pairs.join(per, "a").join(sets.withColumnRenamed("node", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("_part"), F.col("b"), "tokens")
-    left = per.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(None).cast("binary").alias("b"), "tokens")
+    right = pairs.join(per, "a").join(sets.withColumnRenamed("node", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("_part"), F.col("b"), "text")
+    left = per.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(None).cast("long").alias("b"), "text")
     links = _schema(a=_NODE, b=_NODE)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, np.zeros(0, _U)
-        for batch in batches:
+        for batch, texts in groups(batches, 3):
             out = []
-            for a, b, tokens in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                tokens = np.frombuffer(tokens, _U)
+            for a, b, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(texts, n), strict=True):
                 if b is None:
                     centre, own = a, tokens
                     continue
@@ -206,7 +196,7 @@ def _verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], n: int, num:
                 both = len(np.intersect1d(own, tokens, assume_unique=True))
                 if both * (den + num) >= num * (len(own) + len(tokens)):
                     out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], links.names)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], links.names)
 
     return checkpointed(left.unionByName(right).repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("b").asc_nulls_first()).mapInArrow(verify, links))
 
@@ -218,30 +208,63 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     Cases: null, empty and blank texts have an empty set, link with nothing and are components of their own; repeated rows are in
     one component; null keys count in no minimum, and a component without keys has none; an empty table gives no rows; further columns are ignored.
     """
+    rooted = _rooted(docs, n, num, den, frequent, frequent_from, short, key, text)
+    named = rooted.where("_root IS NOT NULL").groupBy("_root").agg(F.min("_key").alias("component_id"))
+    full = rooted.where("_root IS NOT NULL").join(named, "_root").select(F.col("_key").alias("doc_id"), "n_shingles", "component_id")
+    return full.unionByName(rooted.where("_root IS NULL").select(F.col("_key").alias("doc_id"), "n_shingles", F.col("_key").alias("component_id")))
+
+
+def _row_names(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.withColumns({"_t1": F.xxhash64(F.col(text)), "_t2": F.xxhash64(F.col(text), F.lit(1))})
+
+
+def _rooted(docs: DataFrame, n: int, num: int, den: int, frequent: int, frequent_from: int, short: int, key: str, text: str) -> DataFrame:
+    """_key, _t1, _t2, n_shingles, node, _root (the least node of its component; null for empty sets) of every row."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64("text", F.lit(1))})
     kinds = T.StructType([rows.schema["_key"], *_schema(_t1=_LONG, _t2=_LONG, n_shingles=_LONG, node=_NODE)])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in groups(batches, 3):
             sets = shingle_sets(texts, n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary())], kinds.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.int64())], kinds.names)
 
     known = checkpointed(rows.select("_key", "_t1", "_t2", "text").mapInArrow(profile, kinds))
     reps = known.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("_key", "_t1", "_t2")).alias("_r")).select("node", "_r.*")
-    links = _links(rows, reps, n, num, den, frequent, frequent_from, short)
-    rooted = known.join(components(links), "node", "left").withColumn("_root", F.coalesce("root", "node"))
-    named = rooted.where("_root IS NOT NULL").groupBy("_root").agg(F.min("_key").alias("component_id"))
-    full = rooted.where("_root IS NOT NULL").join(named, "_root").select(F.col("_key").alias("doc_id"), "n_shingles", "component_id")
-    return full.unionByName(rooted.where("_root IS NULL").select(F.col("_key").alias("doc_id"), "n_shingles", F.col("_key").alias("component_id")))
+    with Scratch(docs.sparkSession) as scratch:
+        roots = components(_links(rows, reps, n, num, den, frequent, frequent_from, short, scratch))
+    return known.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
 
 
-def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int, frequent: int, frequent_from: int, short: int) -> DataFrame:
+def without_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, frequent: int = FREQUENT, frequent_from: int = FREQUENT_FROM, short: int = SHORT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, columns unchanged, one of each component: the one with the least key, null keys last.
+
+    Rows without words stay, all of them. Of rows alike in key and text one stays. The rows that go, rather than those that stay, are joined to the texts.
+    """
+    known = checkpointed(_rooted(docs, n, num, den, frequent, frequent_from, short, key, text))
+    row = F.struct(F.col("_key").isNull().alias("_none"), "_key", "_t1", "_t2")
+    first = known.where("_root IS NOT NULL").groupBy("_root").agg(F.min(row).alias("_first"))
+    apart = ~(F.col("_key").eqNullSafe(F.col("_first._key")) & (F.col("_t1") == F.col("_first._t1")) & (F.col("_t2") == F.col("_first._t2")))
+    names = ["_key", "_t1", "_t2"]
+    gone = small(checkpointed(known.join(first, "_root").where(apart).select(*names).distinct()).toDF("_k", "_u1", "_u2"), _BROADCAST_ROWS)
+    twins = checkpointed(known.where("_root IS NOT NULL").groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*names)).toDF("_k", "_u1", "_u2")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    k, t = (f"c{docs.columns.index(c)}" for c in (key, text))
+    same = F.col(k).eqNullSafe(F.col("_k")) & (F.col("_t1") == F.col("_u1")) & (F.col("_t2") == F.col("_u2"))
+    kept = _row_names(plain, k, t).join(gone, same, "left_anti")
+    if not twins.isEmpty():
+        twins = small(twins, _BROADCAST_ROWS)
+        kept = kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates([k, "_t1", "_t2"]))
+    return kept.select(*plain.columns).toDF(*docs.columns)
+
+
+def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int, frequent: int, frequent_from: int, short: int, scratch: Scratch) -> DataFrame:
     common = _frequent(rows, n, frequent, frequent_from)
-    postings = checkpointed(_postings(rows, n, num, den, common))
+    postings = scratch.keep(_postings(rows, n, num, den, common))
     again = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sig")
-    lists = checkpointed(postings.join(again, "sig").select("sig", "node", "size", "most").distinct())
-    lengths = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    lists = checkpointed(lists.join(lengths, "sig"))
+    named = scratch.keep(postings.join(again, "sig").select("sig", "node", "size", "most").distinct())
+    scratch.drop(postings)
+    lengths = named.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    lists = scratch.keep(named.join(lengths, "sig"))
     fits = _fits(num, den)
     brief = lists.where(F.col("_n") <= short)
     pairs = brief.alias("a").join(brief.alias("b"), F.col("a.sig") == F.col("b.sig")).where((F.col("a.node") < F.col("b.node")) & fits).select("a.node", F.col("b.node").alias("b")).toDF("a", "b")
@@ -249,19 +272,19 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int, frequen
     # the member with the fewest rare shingles before it: the one that most others may be alike to
     centre = long.groupBy("sig").agg(F.max(F.struct((F.col("most") - F.col("size")).alias("_room"), "node", "size", "most")).alias("_c")).select("sig", "_c.node", "_c.size", "_c.most")
     star = centre.alias("a").join(long.alias("b"), F.col("a.sig") == F.col("b.sig")).where((F.col("a.node") != F.col("b.node")) & fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    first = checkpointed(pairs.unionByName(star).distinct())
-    first = checkpointed(first.groupBy(F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("_l"), F.col("_g")).otherwise(F.col("_l")).alias("b")))
-    links = _verified(first, (rows, reps), n, num, den)
+    first = pairs.unionByName(star).distinct()
+    first = scratch.keep(first.groupBy(F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("_l"), F.col("_g")).otherwise(F.col("_l")).alias("b")))
+    links = _verified(first, (rows, reps), n, num, den, scratch)
     roots = checkpointed(components(links))
     left = long.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node")).drop("root", "_n")
     # members that fit nobody of another component in their list go first: two least sizes of different components tell
     least = left.groupBy("sig").agg(F.min(F.struct("size", "_root")).alias("_x"))
     other = left.join(least, "sig").withColumn("_y", F.when(F.col("_root") != F.col("_x._root"), F.col("size"))).groupBy("sig").agg(F.min("_y").alias("_second"), F.first("_x").alias("_x")).where("_second IS NOT NULL")
     left = left.join(other, "sig").where(F.col("most") >= F.when(F.col("_root") == F.col("_x._root"), F.col("_second")).otherwise(F.col("_x.size"))).drop("_second", "_x")
-    left = checkpointed(left)
+    left = scratch.keep(left)
     rest = left.alias("a").join(left.alias("b"), F.col("a.sig") == F.col("b.sig")).where((F.col("a.node") < F.col("b.node")) & (F.col("a._root") != F.col("b._root")) & fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = checkpointed(rest.join(done, ["a", "b"], "left_anti"))
+    rest = scratch.keep(rest.join(done, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return links
-    return links.unionByName(_verified(rest, (rows, reps), n, num, den))
+    return links.unionByName(_verified(rest, (rows, reps), n, num, den, scratch))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quern.llm.components import components
-from quern.llm.jaccard import jaccard_components, shingle_sets, signatures
+from quern.llm.jaccard import jaccard_components, shingle_sets, signatures, without_near_copies
 from quern.llm.queries import ORACLES, QUERIES
 
 ROOT = "/root/testdata/sf0.01"
@@ -113,3 +113,15 @@ def test_query_equals_sql(spark):
     want = sorted(con.sql(ORACLES["op9_token_combination_join"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["op9_token_combination_join"](spark, ROOT).collect()) == want
     assert sum(w[0] != w[2] for w in want) > 10
+
+
+def test_one_row_of_each_component_stays(spark):
+    texts = made(7)
+    docs = spark.createDataFrame([*((i, t, i % 3) for i, t in enumerate(texts)), (None, texts[0], 1), (None, "quite alone here now", 1), (None, "quite alone here now", 1)], "doc_id long, text string, _t1 int")
+    kept = without_near_copies(docs, 3, 80, 100)
+    assert kept.columns == docs.columns
+    want = sorted(i for i, (n, root) in enumerate(brute(texts, 3, 80, 100)) if n == 0 or root == i)
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == want and [r.text for r in rows if r.doc_id is None] == ["quite alone here now"]
+    assert all(r.text == texts[r.doc_id] and r._t1 == r.doc_id % 3 for r in rows if r.doc_id is not None)
+    assert without_near_copies(docs.limit(0)).count() == 0
