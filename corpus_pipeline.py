@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed
+from quern.llm.common import Scratch
 from quern.llm.jaccard import without_near_copies
 from quern.llm.mixing import mixed
 from quern.llm.packing import pack
@@ -50,10 +50,11 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrin
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over documents."""
+    """All stages, one after the other, over documents; between stages the rows are Parquet in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = checkpointed(docs)
-    return docs
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+            if name != STAGES[0][0]:
+                scratch.drop(before)
+        return STAGES[-1][1](spark, docs, sf_dir)  # packing checkpoints its pieces and reads docs no more
