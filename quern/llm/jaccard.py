@@ -2,7 +2,7 @@
 
 Shingles are ordered: rare ones first, then the frequent ones. Sets that are alike
 enough share a shingle in the first part of that order (the prefix), and
-several of them if the prefix is extended by as many. Rare shingles of a prefix are indexed
+several of them if the prefix is extended by as many; here it is extended so that they share six. Rare shingles of a prefix are indexed
 alone. Frequent ones fall into classes; the prefix is extended by one for each class
 that it touches, so a pair that shares no rare shingle shares two of one
 class, and pairs of a class are indexed instead. Small sets, for which that saves nothing, index all alone.
@@ -32,7 +32,9 @@ _BASES = (_U(0xD1342543DE82EF95), _U(0x2545F4914F6CDD1D))
 #: Most frequent shingles that are told apart (8 bytes each), and the count from which one is frequent.
 FREQUENT, FREQUENT_FROM = 1 << 16, 64
 #: Lists up to this length give all their pairs at once.
-SHORT = 12
+SHORT = 64
+#: Shared shingles that a candidate must show in the prefixes, which are extended for it.
+SHOWN = 6
 #: Shingles counted at once.
 _CHUNK = 1 << 21
 #: Rows up to which a table of row names is broadcast; beyond, the join is shuffled.
@@ -65,8 +67,9 @@ def _enough(n: int, num: int, den: int) -> int:
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set and the position up to which nothing before is shared if the signature is the first that is.
+    """Signatures of one set, odd for pairs of shingles, and the number of shingles before each; for pairs, the number of rare ones.
 
+    Two sets that are alike enough share SHOWN rare signatures (all of their overlap, if that is less) or a pair.
     `frequent` is sorted, `order` ranks it from the least frequent on.
     """
     n = len(tokens)
@@ -75,7 +78,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, num:
     often = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
     rare, common = tokens[~often], tokens[often]
     common = common[np.argsort(order[at[often]], kind="stable")]
-    prefix = n - _enough(n, num, den) + 1
+    prefix = min(n, n - _enough(n, num, den) + SHOWN)
     sigs, places, alone = [], [], 0
     for octave in {n.bit_length(), max(_enough(n, num, den), 1).bit_length()}:  # the smaller set of a pair decides the classes
         if octave < 7 or prefix <= len(rare):  # nothing is extended: shingles alone
@@ -99,7 +102,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, num:
             sigs.append(mix(np.minimum(x, y) * _BASES[0] + mix(np.maximum(x, y)) + salt))
             places.append(np.full(int(both.sum()), len(rare)))
     single = np.concatenate((rare, common))[:alone]
-    return np.concatenate([mix(single), *sigs]), np.concatenate([np.arange(len(single)), *places])
+    one = _U(1)
+    return np.concatenate([mix(single) & ~one, *(s | one for s in sigs)]), np.concatenate([np.arange(len(single)), *places])
 
 
 def _schema(**kinds: T.DataType) -> T.StructType:
@@ -153,8 +157,8 @@ def _postings(docs: DataFrame, n: int, num: int, den: int, common: list[tuple[in
                 sizes.append(len(tokens))
                 counts.append(len(s))
                 sigs.append(s)
-                # overlap <= len - place, and overlap * (den + num) >= num * (len + other)
-                limits.append((len(tokens) - place) * (den + num) // num - len(tokens))
+                # overlap <= len - place, and less than SHOWN shared before; overlap * (den + num) >= num * (len + other)
+                limits.append((len(tokens) - place + SHOWN - 1) * (den + num) // num - len(tokens))
             if names:
                 own = np.repeat(np.arange(len(names)), counts)
                 limit = np.minimum(np.concatenate(limits), 2**31 - 1)
@@ -267,8 +271,16 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int, frequen
     lists = scratch.keep(named.join(lengths, "sig"))
     fits = _fits(num, den)
     brief = lists.where(F.col("_n") <= short)
-    pairs = brief.alias("a").join(brief.alias("b"), F.col("a.sig") == F.col("b.sig")).where((F.col("a.node") < F.col("b.node")) & fits).select("a.node", F.col("b.node").alias("b")).toDF("a", "b")
     long = lists.where(F.col("_n") > short)
+    met = brief.alias("a").join(brief.alias("b"), F.col("a.sig") == F.col("b.sig")).where((F.col("a.node") < F.col("b.node")) & fits)
+    odd = F.col("a.sig").bitwiseAND(F.lit(1).cast("long"))
+    shown = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.sum(1 - odd).alias("_shown"), F.max(odd).alias("_pair"), F.first(F.col("a.size") + F.col("b.size")).alias("_sizes"))
+    # what a pair may share in long lists besides is at most what either has there
+    besides = scratch.keep(long.groupBy("node").agg(F.count(F.lit(1)).alias("_more")))
+    for side in ("a", "b"):
+        shown = shown.join(besides.select(F.col("node").alias(side), F.col("_more").alias(f"_{side}")), side, "left")
+    needed = F.least(F.lit(SHOWN), F.ceil(F.lit(num) * F.col("_sizes") / F.lit(num + den)))
+    pairs = shown.where((F.col("_pair") == 1) | (F.col("_shown") + F.least(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0))) >= needed)).select("a", "b")
     # the member with the fewest rare shingles before it: the one that most others may be alike to
     centre = long.groupBy("sig").agg(F.max(F.struct((F.col("most") - F.col("size")).alias("_room"), "node", "size", "most")).alias("_c")).select("sig", "_c.node", "_c.size", "_c.most")
     star = centre.alias("a").join(long.alias("b"), F.col("a.sig") == F.col("b.sig")).where((F.col("a.node") != F.col("b.node")) & fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
