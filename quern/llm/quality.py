@@ -81,12 +81,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -500, 500)))
 
 
-def _descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class _Rows:
+    """The fitting rows' features, one after the other in one array, and the factor that brings each scaled row to length one."""
+
+    features: np.ndarray
+    cuts: np.ndarray
+    ratio: np.ndarray
+    factor: np.ndarray
+
+    def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        x = self.features[self.cuts[k] : self.cuts[k + 1]]
+        return x, self.ratio[x] * self.factor[k]
+
+
+def _descend(rows: _Rows, chosen: np.ndarray, signs: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss; rows have length one and a constant bias feature of 1."""
-    weight, bias, alpha, rng = np.zeros(FEATURES), 0.0, np.zeros(len(rows)), np.random.default_rng(0)
+    weight, bias, alpha, rng = np.zeros(FEATURES), 0.0, np.zeros(len(chosen)), np.random.default_rng(0)
     for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            x, v = rows[k], values[k]
+        for k in rng.permutation(len(chosen)):
+            x, v = rows.row(chosen[k])
             gradient = signs[k] * (weight[x] @ v + bias) - 1
             new = min(max(alpha[k] - gradient / 2.0, 0.0), cost)
             if new != alpha[k]:
@@ -117,31 +131,27 @@ def fit(texts: list[bytes], labels: np.ndarray, smoothing: float = 1.0, cost: fl
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
-    rows: list[np.ndarray] = []
+    parts, sizes = [], []
     for lo in range(0, len(texts), 64):
         owner, feature = features(texts[lo : lo + 64])
-        cuts = np.searchsorted(owner, np.arange(len(texts[lo : lo + 64]) + 1))
-        rows += [feature[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=False)]
-    count = np.full((2, FEATURES), smoothing)
-    for row, label in zip(rows, labels, strict=True):
-        count[int(label)][row] += 1
-    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
-
-    def value(row: np.ndarray) -> np.ndarray:
-        v = ratio[row]
-        return v / max(np.sqrt(v @ v), 1e-6)
-
-    values = [value(row) for row in rows]
-    unseen = np.arange(len(rows)) % 5 == 4  # for the curve; the final weights then use all rows
+        parts.append(feature.astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(texts[lo : lo + 64])))
+    found, cuts = np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    own = np.repeat(labels > 0, np.diff(cuts))
+    good, bad = (smoothing + np.bincount(found[side], minlength=FEATURES) for side in (own, ~own))
+    ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
+    squares = np.concatenate(([0.0], np.cumsum(ratio[found] ** 2)))
+    rows = _Rows(found, cuts, ratio, 1 / np.maximum(np.sqrt(np.maximum(squares[cuts[1:]] - squares[cuts[:-1]], 0)), 1e-6))
+    unseen = np.arange(len(labels)) % 5 == 4  # for the curve; the final weights then use all rows
     signs = np.where(labels > 0, 1.0, -1.0)
 
     def descend(chosen: np.ndarray) -> tuple[np.ndarray, float]:
-        return _descend([rows[i] for i in chosen], [values[i] for i in chosen], signs[chosen], cost, epochs)
+        return _descend(rows, chosen, signs[chosen], cost, epochs)
 
     weight, bias = descend(np.flatnonzero(~unseen))
     held = np.flatnonzero(unseen)
-    slope, offset = (1.0, 0.0) if not len(held) else _logistic(np.array([weight[rows[i]] @ values[i] + bias for i in held]), labels[held])
-    weight, bias = descend(np.arange(len(rows)))
+    slope, offset = (1.0, 0.0) if not len(held) else _logistic(np.array([weight[x] @ v + bias for x, v in map(rows.row, held)]), labels[held])
+    weight, bias = descend(np.arange(len(labels)))
     return Model(ratio.astype(np.float32), weight.astype(np.float32), float(bias), slope, offset)
 
 
