@@ -48,6 +48,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def direct(self, texts: list[str]) -> list[bytes]:
         ids = [array.array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -56,10 +57,25 @@ class Encoder:
                 a.byteswap()
         return [a.tobytes() for a in ids]
 
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Words without line feeds, each by itself: many are encoded as one text, a line each; the feed's id marks where one ends."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 256):
+            some = words[lo : lo + 256]
+            ids = np.array(self.tokenizer.encode("\n".join([*some, ""]), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary joins line feeds with words")
+            whole, last = ids.tobytes(), 0
+            for end in (ends * 4).tolist():
+                out.append(whole[last:end])
+                last = end + 4
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for lo in range(0, len(texts), 64):
-            out += self._some(texts[lo : lo + 64])
+        for lo in range(0, len(texts), 256):
+            out += self._some(texts[lo : lo + 256])
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
@@ -72,7 +88,9 @@ class Encoder:
         if len(self.words) > CACHE:
             self.words.clear()
         new = list(set().union(*(c for c in cut if c)).difference(self.words))
-        self.words.update(zip(new, self.direct([w if w[0] == "\n" else w[1:] if w[0] == "\r" else " " + w for w in new]), strict=True))
+        feed = self.feed.to_bytes(4, "little")
+        ids = self.apart([w[1:] if w[0] in "\n\r" else " " + w for w in new])
+        self.words.update((w, feed + i if w[0] == "\n" else i) for w, i in zip(new, ids, strict=True))
         find = self.words.__getitem__
         return [b"".join(map(find, c)) if c else self.direct([t])[0] for t, c in zip(texts, cut, strict=True)]
 
