@@ -1,6 +1,6 @@
 """Jaccard self-join on word shingles with token-combination prefixes.
 
-Shingles are ordered: rare ones first, then the frequent ones. Sets that are alike
+Shingles are ordered: rare ones first, those of rare words before others, then the frequent ones. Sets that are alike
 enough share a shingle in the first part of that order (the prefix), and
 several of them if the prefix is extended by as many; here it is extended so that they share six. Rare shingles of a prefix are indexed
 alone. Frequent ones fall into classes; the prefix is extended by one for each class
@@ -43,16 +43,29 @@ _BROADCAST_ROWS = 300_000
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Each text's distinct n-word shingles as sorted hashes; all its words as one if there are fewer; empty without words."""
+    return [tokens for tokens, _ in ranked_sets(texts, n, None)]
+
+
+def ranked_sets(texts: list[bytes], n: int, common: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """shingle_sets, and for each shingle how common its words are in sum. common: sorted word hashes and their levels; other words have level 0."""
     words = Words(texts, lower=True)
     whole = windows(words.hash, n, _BASES[0])
+    level = np.zeros(len(words.hash), np.int64)
+    if common is not None and len(common[0]):
+        at = np.searchsorted(common[0], words.hash)
+        at[at == len(common[0])] = 0
+        level = np.where(common[0][at] == words.hash, common[1][at], 0)
+    sums = np.concatenate(([0], np.cumsum(level)))
+    ranks = sums[n:] - sums[:-n] if len(sums) > n else np.zeros(0, np.int64)
     out = []
     for a, b in zip(words.first.tolist(), words.first[1:].tolist(), strict=False):
         if b - a >= n:
-            out.append(np.unique(whole[a : b - n + 1]))
+            tokens, where = np.unique(whole[a : b - n + 1], return_index=True)
+            out.append((tokens, ranks[a : b - n + 1][where]))
         elif b > a:
-            out.append(mix(windows(words.hash[a:b], b - a, _BASES[0]) + _U(b - a)))
+            out.append((mix(windows(words.hash[a:b], b - a, _BASES[0]) + _U(b - a)), np.zeros(1, np.int64)))
         else:
-            out.append(np.zeros(0, _U))
+            out.append((np.zeros(0, _U), np.zeros(0, np.int64)))
     return out
 
 
@@ -66,17 +79,18 @@ def _enough(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, ranks: np.ndarray, frequent: np.ndarray, order: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of one set, odd for pairs of shingles, and the number of shingles before each; for pairs, the number of rare ones.
 
     Two sets that are alike enough share SHOWN rare signatures (all of their overlap, if that is less) or a pair.
-    `frequent` is sorted, `order` ranks it from the least frequent on.
+    `ranks` orders the rare ones, so that those of rare words come first; `frequent` is sorted, `order` ranks it from the least frequent on.
     """
     n = len(tokens)
     at = np.searchsorted(frequent, tokens)
     at[at == len(frequent)] = 0
     often = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
     rare, common = tokens[~often], tokens[often]
+    rare = rare[np.argsort(ranks[~often], kind="stable")]
     common = common[np.argsort(order[at[often]], kind="stable")]
     prefix = min(n, n - _enough(n, num, den) + SHOWN)
     sigs, places, alone = [], [], 0
@@ -113,52 +127,56 @@ def _schema(**kinds: T.DataType) -> T.StructType:
 _NODE, _LONG, _INT = T.LongType(), T.LongType(), T.IntegerType()
 
 
-def _frequent(docs: DataFrame, n: int, most: int, least: int) -> list[tuple[int, int]]:
-    """The `most` most frequent shingles (hash, count), counted in chunks; what occurs once in a chunk is left out of its count."""
+def _frequent(docs: DataFrame, n: int, most: int, least: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """The `most` most frequent shingles, and words, as arrays (hash, count), counted in chunks; what occurs once in a chunk is left out of its count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def close() -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(times[many])], ["token", "times"])
+        def close() -> Iterator[pa.RecordBatch]:
+            for kind, parts in enumerate(zip(*held, strict=True)):
+                tokens, times = np.unique(np.concatenate(parts), return_counts=True)
+                many = times > 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(many.sum()), kind, np.int32)), pa.array(tokens[many].view(np.int64)), pa.array(times[many])], ["kind", "token", "times"])
 
         for _, texts in groups(batches, 0):
-            held += shingle_sets(texts, n)
-            size += sum(map(len, held[-len(texts) :]))
+            held.append((np.concatenate(shingle_sets(texts, n)), Words(texts, lower=True).hash))
+            size += len(held[-1][1])
             if size > _CHUNK:
-                yield close()
+                yield from close()
                 held, size = [], 0
         if held:
-            yield close()
+            yield from close()
 
-    counted = docs.select("text").mapInArrow(count, _schema(token=_LONG, times=_LONG)).groupBy("token").agg(F.sum("times").alias("times"))
-    return [tuple(r) for r in counted.where(F.col("times") >= least).orderBy(F.desc("times"), "token").limit(most).collect()]
+    counted = docs.select("text").mapInArrow(count, _schema(kind=_INT, token=_LONG, times=_LONG)).groupBy("kind", "token").agg(F.sum("times").alias("times"))
+    counted = checkpointed(counted.where(F.col("times") >= least))
+    found = [counted.where(F.col("kind") == kind).orderBy(F.desc("times"), "token").select("token", "times").limit(most).toArrow() for kind in (0, 1)]
+    return tuple((t.column(0).to_numpy().astype(np.int64).view(_U), t.column(1).to_numpy().astype(np.int64)) for t in found)
 
 
-def _postings(docs: DataFrame, n: int, num: int, den: int, common: list[tuple[int, int]]) -> DataFrame:
+def _postings(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """node, size, sig, most: `most` is the largest partner whose overlap can still be enough behind this position."""
-    tokens = np.array([t for t, _ in common], np.int64).view(_U)
-    by = np.argsort(tokens)
-    frequent, order = tokens[by], np.argsort(np.argsort(np.array([c for _, c in common], np.int64)[by], kind="stable"))
+    by = np.argsort(common[0])
+    frequent, order = common[0][by], np.argsort(np.argsort(common[1][by], kind="stable"))
+    by = np.argsort(words[0])
+    known = (words[0][by], np.rint(np.log2(words[1][by])).astype(np.int64))
     schema = _schema(node=_NODE, size=_INT, sig=_LONG, most=_INT)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task are posted once
         for _, texts in groups(batches, 0):
             names, sizes, counts, sigs, limits = [], [], [], [], []
-            for tokens in shingle_sets(texts, n):
+            for tokens, ranks in ranked_sets(texts, n, known):
                 if not len(tokens) or (name := _name(tokens)) in seen:
                     continue
                 seen.add(name)
-                s, place = signatures(tokens, frequent, order, num, den)
+                s, place = signatures(tokens, ranks, frequent, order, num, den)
                 names.append(name)
                 sizes.append(len(tokens))
                 counts.append(len(s))
                 sigs.append(s)
-                # overlap <= len - place, and less than SHOWN shared before; overlap * (den + num) >= num * (len + other)
-                limits.append((len(tokens) - place + SHOWN - 1) * (den + num) // num - len(tokens))
+                # overlap <= len - place, and overlap * (den + num) >= num * (len + other)
+                limits.append((len(tokens) - place) * (den + num) // num - len(tokens))
             if names:
                 own = np.repeat(np.arange(len(names)), counts)
                 limit = np.minimum(np.concatenate(limits), 2**31 - 1)
@@ -167,10 +185,11 @@ def _postings(docs: DataFrame, n: int, num: int, den: int, common: list[tuple[in
     return docs.select("text").mapInArrow(emit, schema)
 
 
-def _fits(num: int, den: int):
-    """Whether rows a and b of a list may be alike: by size, and by what is left behind their positions."""
+def _fits(num: int, den: int, before: int = 0):
+    """Whether rows a and b of a list may be alike: by size, and by what is left behind their positions if `before` shared shingles at most lie before."""
     small_, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    return (small_ * F.lit(den) >= large * F.lit(num)) & (F.col("a.size") <= F.col("b.most")) & (F.col("b.size") <= F.col("a.most"))
+    room = F.lit(-(-before * (den + num) // num))
+    return (small_ * F.lit(den) >= large * F.lit(num)) & (F.col("a.size") <= F.col("b.most") + room) & (F.col("b.size") <= F.col("a.most") + room)
 
 
 def _verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -262,8 +281,8 @@ def without_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 1
 
 
 def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int, frequent: int, frequent_from: int, short: int, scratch: Scratch) -> DataFrame:
-    common = _frequent(rows, n, frequent, frequent_from)
-    postings = scratch.keep(_postings(rows, n, num, den, common))
+    common, words = _frequent(rows, n, frequent, frequent_from)
+    postings = scratch.keep(_postings(rows, n, num, den, common, words))
     again = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sig")
     named = scratch.keep(postings.join(again, "sig").select("sig", "node", "size", "most").distinct())
     scratch.drop(postings)
@@ -272,15 +291,18 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int, frequen
     fits = _fits(num, den)
     brief = lists.where(F.col("_n") <= short)
     long = lists.where(F.col("_n") > short)
-    met = brief.alias("a").join(brief.alias("b"), F.col("a.sig") == F.col("b.sig")).where((F.col("a.node") < F.col("b.node")) & fits)
+    # A pair whose first shared signature is in a long list fits there as it is. For the others count what short lists show: a pair of
+    # shingles, or SHOWN single ones less those that long lists may hold; or else what they share besides is a pair in a long list.
+    met = brief.alias("a").join(brief.alias("b"), F.col("a.sig") == F.col("b.sig")).where((F.col("a.node") < F.col("b.node")) & _fits(num, den, SHOWN - 1))
     odd = F.col("a.sig").bitwiseAND(F.lit(1).cast("long"))
     shown = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.sum(1 - odd).alias("_shown"), F.max(odd).alias("_pair"), F.first(F.col("a.size") + F.col("b.size")).alias("_sizes"))
-    # what a pair may share in long lists besides is at most what either has there
-    besides = scratch.keep(long.groupBy("node").agg(F.count(F.lit(1)).alias("_more")))
+    odd = F.col("sig").bitwiseAND(F.lit(1).cast("long"))
+    besides = scratch.keep(long.groupBy("node").agg(F.sum(1 - odd).alias("_more"), F.max(odd).alias("_odd")))
     for side in ("a", "b"):
-        shown = shown.join(besides.select(F.col("node").alias(side), F.col("_more").alias(f"_{side}")), side, "left")
+        shown = shown.join(besides.toDF(side, f"_{side}_more", f"_{side}_odd"), side, "left")
     needed = F.least(F.lit(SHOWN), F.ceil(F.lit(num) * F.col("_sizes") / F.lit(num + den)))
-    pairs = shown.where((F.col("_pair") == 1) | (F.col("_shown") + F.least(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0))) >= needed)).select("a", "b")
+    more = F.least(F.coalesce("_a_more", F.lit(0)), F.coalesce("_b_more", F.lit(0)))
+    pairs = shown.where((F.col("_pair") == 1) | (F.col("_shown") + more >= needed) | ((F.col("_a_odd") == 1) & (F.col("_b_odd") == 1))).select("a", "b")
     # the member with the fewest rare shingles before it: the one that most others may be alike to
     centre = long.groupBy("sig").agg(F.max(F.struct((F.col("most") - F.col("size")).alias("_room"), "node", "size", "most")).alias("_c")).select("sig", "_c.node", "_c.size", "_c.most")
     star = centre.alias("a").join(long.alias("b"), F.col("a.sig") == F.col("b.sig")).where((F.col("a.node") != F.col("b.node")) & fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
