@@ -5,6 +5,11 @@ Vectors that are close see much the same pivots, so inverted lists by pivot brin
 them together; pairs that share at least `shared` pivots are verified by
 their cosine in double precision. A pair that meets in several lists counts in that of the least shared pivot.
 
+Inside a large group of near copies many pivots are members, nearly equally far from all others, so prefixes say little
+there. A pivot with CROWD pivots within the cosine CORE of it is a centre instead, and those it covers are pivots no more.
+Vectors within CORE of their nearest centre live there; each is compared with all others that live there and with every
+vector that the triangle inequality and the bisecting plane do not rule out as its link, so these links are exact.
+
 Equal vectors are one class. Lists are cut into chunks, and pairs of chunks are
 compared as matrices: what comes out is, for each class, the number of vectors linked and one
 link of a spanning tree, never the pairs. Pivots are a bounded sample, sqrt(n) * 2 of them up to `most_pivots`; every vector is indexed.
@@ -17,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +32,8 @@ from quern.llm.components import components
 
 #: Classes of one list that are compared as one matrix.
 CHUNK = 1024
+#: Cosine to a centre from which a vector lives there; pivots within it, itself included, that make a pivot a centre; chunks of a centre's list that meet as one group.
+CORE, CROWD, TILES = 0.8, 8, 8
 _LONG, _INT = T.LongType(), T.IntegerType()
 
 
@@ -65,6 +73,42 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def crowded(pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, other pivots with the centres): centres cover at least CROWD pivots that no earlier one does, the fullest go first."""
+    full = np.concatenate([(pivots[lo : lo + 512] @ pivots.T >= CORE).sum(axis=1) for lo in range(0, len(pivots), 512)])
+    free, centres = np.ones(len(pivots), bool), []
+    for p in np.argsort(-full, kind="stable")[: int((full >= CROWD).sum())]:
+        own = free & (pivots @ pivots[p] >= CORE) if free[p] else free[:0]
+        if own.sum() >= CROWD:
+            centres.append(p)
+            free &= ~own
+    free[centres] = True
+    return pivots[centres], pivots[free]
+
+
+def _crowd(x: np.ndarray, copies: np.ndarray, second: np.ndarray, cross: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, least member of the component) of each row: every pair of a group, or every pair across its two halves, a tile at a time."""
+    links, label = np.zeros(len(x)), np.arange(len(x))
+    a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if cross else (np.arange(len(x)),) * 2
+    for i in range(0, len(a), CHUNK):
+        for j in range(0 if cross else i, len(b), CHUNK):
+            u, v = a[i : i + CHUNK], b[j : j + CHUNK]
+            hit = x[u] @ x[v].T >= least
+            if not cross and i == j:
+                hit |= hit.T
+                np.fill_diagonal(hit, False)
+            else:
+                links[v] += copies[u].astype(np.float64) @ hit
+            links[u] += hit @ copies[v].astype(np.float64)
+            while (apart := hit & (label[u][:, None] != label[v])).any():
+                p = np.flatnonzero(apart.any(axis=1))
+                one, two = label[u[p]], label[v[apart[p].argmax(axis=1)]]
+                np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+                while (label != label[label]).any():
+                    label = label[label]
+    return links, label
+
+
 def link_vectors(
     vectors: DataFrame, least: float = 0.9, prefix: int = 8, shared: int = 2, most_pivots: int = 1 << 14, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -97,39 +141,64 @@ def _compare(kinds: DataFrame, least: float, prefix: int, shared: int, most_pivo
     n = kinds.count()
     wanted = int(np.clip(2 * n**0.5, prefix, most_pivots))
     pivots = unit(matrix(kinds.orderBy(F.xxhash64("node"), "node").limit(wanted).select("vector").toArrow().column(0).combine_chunks(), dim))
-    m, prefix = len(pivots), min(prefix, len(pivots))
+    centres, pivots = crowded(pivots)
+    m, prefix = len(pivots), min(prefix, len(pivots))  # lists from m on are those of the centres
     shared = min(shared, prefix)
-    described = T.StructType([T.StructField("node", _LONG), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("copies", _LONG), T.StructField("pivots", T.ArrayType(_INT))])
+    angles = np.arccos(np.clip([CORE, least], -1, 1)).sum()
+    reach = np.cos(min(angles, np.pi)) - 1e-9
+    slack = np.sqrt(max(2 - 2 * least, 0)) * np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)) + 1e-6
+    described = T.StructType([T.StructField("node", _LONG), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("copies", _LONG), T.StructField("pivots", T.ArrayType(_INT)), T.StructField("visits", T.ArrayType(_INT))])
+
+    def ragged(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))).astype(np.int32)), pa.array(values.astype(np.int32)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
                 some = batch.slice(lo, CHUNK)
-                near = unit(matrix(some.column(1), dim)) @ pivots.T
+                x = unit(matrix(some.column(1), dim))
+                near = x @ pivots.T
                 first = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if m > prefix else np.tile(np.arange(m), (len(near), 1))
                 order = np.take_along_axis(first, np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable"), 1).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * prefix), pa.array(order.ravel()))
-                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(3)), lists], described.names)
+                own, visits = np.ones(order.shape, bool), np.zeros((len(order), len(centres)), bool)
+                if len(centres):
+                    close = x @ centres.T
+                    home, top = close.argmax(axis=1), close.max(axis=1)
+                    lives = top >= CORE
+                    visits = (close >= reach) & (top[:, None] - close <= slack[home])
+                    visits &= ~lives[:, None] | (np.arange(len(centres)) < home[:, None])  # a pair of two homes meets in the lesser one
+                    own[lives, 1:] = False
+                    order[lives, 0] = m + home[lives]
+                row, to = np.nonzero(visits)
+                lists = (ragged(np.nonzero(own)[0], order[own], len(order)), ragged(row, m + to, len(order)))
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(3)), *lists], described.names)
 
     index = scratch.keep(kinds.select("node", "vector", "copies").mapInArrow(describe, described))
-    lengths = {r["p"]: r["n"] for r in index.select(F.explode("pivots").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each pivot
-    chunks = np.array([-(-lengths.get(p, 0) // CHUNK) for p in range(m)])
-    posted = T.StructType([T.StructField("list", _INT), T.StructField("i", _INT), T.StructField("j", _INT), T.StructField("second", T.BooleanType()), *described.fields])
+    room = np.where(np.arange(m + len(centres)) < m, CHUNK, CHUNK * TILES)
+
+    def chunked(column: str) -> np.ndarray:
+        lengths = {r["p"]: r["n"] for r in index.select(F.explode(column).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each pivot or centre
+        return -(-np.array([lengths.get(p, 0) for p in range(len(room))]) // room)
+
+    chunks, guests = chunked("pivots"), chunked("visits")  # of guests, who meet those that live there but not each other
+    posted = T.StructType([T.StructField("list", _INT), T.StructField("i", _INT), T.StructField("j", _INT), T.StructField("second", T.BooleanType()), *described.fields[:4]])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
                 some = batch.slice(lo, CHUNK)
-                own = np.asarray(some.column(3).flatten()).reshape(-1, prefix)
                 node = np.asarray(some.column(0))
-                row, where = np.repeat(np.arange(len(own)), prefix), own.ravel()
-                chunk = (node[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % chunks[where]
-                copies = chunks[where]
+                row, where = (np.concatenate([np.asarray(f(some.column(c))) for c in (3, 4)]) for f in (pc.list_parent_indices, pc.list_flatten))
+                guest = np.arange(len(row)) >= len(some.column(3).flatten())
+                salt = (node[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+                chunk = np.where(guest, chunks[where] + salt % np.maximum(guests[where], 1), salt % np.maximum(chunks[where], 1))
+                copies = chunks[where] + np.where(guest, 0, guests[where])
                 row, where, chunk = (np.repeat(x, copies) for x in (row, where, chunk))
                 other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(where.astype(np.int32)), pa.array(np.minimum(chunk, other).astype(np.int32)), pa.array(np.maximum(chunk, other).astype(np.int32)), pa.array(chunk > other), *(c.take(pa.array(row)) for c in some.columns)], posted.names
-                )
+                keys = (where.astype(np.int32), np.minimum(chunk, other).astype(np.int32), np.maximum(chunk, other).astype(np.int32), chunk > other)
+                for k in range(0, len(row), 1 << 15):
+                    part = slice(k, k + (1 << 15))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in keys), *(c.take(pa.array(row[part])) for c in some.columns[:4])], posted.names)
 
     out = T.StructType([T.StructField("node", _LONG), T.StructField("links", _LONG), T.StructField("root", _LONG)])
 
@@ -138,8 +207,12 @@ def _compare(kinds: DataFrame, least: float, prefix: int, shared: int, most_pivo
         here = table.column("list")[0].as_py()
         x = unit(matrix(table.column("vector").combine_chunks(), dim))
         node, copies, second = (table.column(c).to_numpy() for c in ("node", "copies", "second"))
-        near = np.asarray(table.column("pivots").combine_chunks().flatten()).reshape(-1, prefix)
         cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        if here >= m:
+            links, label = _crowd(x, copies, second, cross, least)
+            some = np.flatnonzero(links > 0)
+            return pa.table([pa.array(node[some]), pa.array(np.rint(links[some]).astype(np.int64)), pa.array(node[label[some]])], names=out.names)
+        near = np.asarray(table.column("pivots").combine_chunks().flatten()).reshape(-1, prefix)
         linked = np.zeros((len(x), len(x)), bool)
         a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if cross else (np.arange(len(x)),) * 2
         if len(a) and len(b):

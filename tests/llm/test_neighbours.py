@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import neighbours
@@ -58,6 +59,22 @@ def test_near_copies_are_all_found(spark):
     assert sum(got.values()) >= 0.97 * want.sum() and want.sum() > 1000 and all(got[i] <= want[i] for i in got)
 
 
+@pytest.mark.parametrize("n, noise, chunk", [(6000, 0.2, 1024), (3000, 0.3, 64)])
+def test_a_third_near_copies_of_one_vector(spark, monkeypatch, n, noise, chunk):
+    monkeypatch.setattr(neighbours, "CHUNK", chunk)
+    rng = np.random.default_rng(2)
+    x, k = rng.normal(size=(n, 64)), n // 3
+    x[:k] = x[0] + rng.normal(size=(k, 64)) * noise
+    docs = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x))}))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.link_vectors(docs).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(u[lo : lo + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for lo in range(0, n, 1000)])
+    assert all(got[i][0] <= want[i] for i in got)
+    recall = sum(g for g, _ in got.values()) / want.sum()
+    assert recall >= 0.99 and want.sum() > 0.1 * k * k, recall
+    assert sum(got[i][1] == 0 for i in range(k) if want[i]) >= 0.99 * (want[:k] > 0).sum()
+
+
 def test_query_equals_sql_and_empty_table(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{ROOT}/embeddings.parquet')")
