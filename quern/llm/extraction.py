@@ -28,6 +28,10 @@ _DROPPED = frozenset("nav aside footer form button select option menu dialog obj
 _PARAGRAPHS = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id or role that mark what is not the article.
 _BAD = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promoted comment comments commentlist respond disqus replies reply cookie cookies consent gdpr notice notification alert newsletter subscribe subscription signup signin login sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead popup popover modal overlay share sharing social related recommended recommendations widget toolbar skip search tags hidden contentinfo complementary paywall disclaimer".split())
+#: Those of them that name a text beside the article, not a layout or a state of the page.
+_BESIDE = frozenset("comment comments commentlist respond disqus replies reply cookie cookies consent gdpr notice notification alert newsletter related recommended recommendations paywall disclaimer".split())
+#: What a head may hold; anything else ends it.
+_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 _GOOD = frozenset("article body content entry main post story text hentry articlebody".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
@@ -36,18 +40,19 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "bad", "good", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "bad", "good", "points", "chars", "linked", "links", "named", "beside", "held")
 
     def __init__(self, tag: str, parent: _Node | None, attributes: str = ""):
         self.tag, self.parent, self.parts = tag, parent, []
         self.points, self.chars, self.linked, self.bad, self.good = 0.0, 0, 0, tag in _DROPPED, False
+        self.links, self.named, self.beside, self.held = 0, False, False, (0, 0)
         if attributes and not self.bad and tag not in ("html", "body"):
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id", "role", "itemprop"):
                     words = {w.lower() for w in _WORDS.findall(value)}
                     self.good = self.good or bool(words & _GOOD)
-                    self.bad = self.bad or tag not in ("article", "main") and bool(words & _BAD)
+                    self.named, self.beside = self.named or bool(words & _BAD), self.beside or bool(words & _BESIDE)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     self.bad = True
 
@@ -58,6 +63,8 @@ def _tree(page: str) -> _Node:
     at = 0
     while m := _TAG.search(page, at):
         if m.start() > at:
+            if node.tag == "head" and page[at : m.start()].strip():
+                node = node.parent
             node.parts.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
@@ -73,6 +80,8 @@ def _tree(page: str) -> _Node:
             if up is not None and up.parent is not None:
                 node = up.parent
             continue
+        if node.tag == "head" and name not in _HEAD:
+            node = node.parent
         closes = ("p",) if name in _CLOSES_P else _IMPLIED.get(name, ())
         if closes:
             up = node
@@ -94,10 +103,38 @@ def _tree(page: str) -> _Node:
         elif name not in _VOID and not (m[3] or m[6] or "").endswith("/"):
             node = child
     if at < len(page):
+        if node.tag == "head" and page[at:].strip():
+            node = node.parent
         node.parts.append(page[at:])
     return root
 
 
+def _drop_named(root: _Node) -> None:
+    """Marks the elements that their words speak against, unless they hold most of the page's text or its largest article.
+
+    Text that stands beside the article by its name does not count, unless there is hardly any other.
+    """
+    order, stack = [], [(root, False, False)]
+    while stack:
+        node, beside, linked = stack.pop()
+        beside, linked = beside or node.beside, linked or node.tag == "a"
+        own = 0 if linked else sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        node.held = (0 if beside else own, own)
+        order.append((node, beside))
+        stack.extend((p, beside, linked) for p in node.parts if isinstance(p, _Node) and not p.bad)
+    for node, _ in reversed(order):
+        if node.parent is not None:
+            node.parent.held = (node.parent.held[0] + node.held[0], node.parent.held[1] + node.held[1])
+    k = int(root.held[0] < 0.1 * root.held[1])
+    up = max((n for n, beside in order if n.tag in ("article", "main") and not n.named and not beside), key=lambda n: n.held[k], default=None)
+    around = set()
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    for node, _ in order:
+        node.bad = node.named and node.tag not in ("article", "main") and 2 * node.held[k] <= root.held[k] and id(node) not in around
+
+
 def _nodes(root: _Node) -> list[_Node]:
     """Kept elements in page order; an explicit stack, for pages nest without bound."""
     out, stack = [], [root]
@@ -116,13 +153,15 @@ def _nodes(root: _Node) -> list[_Node]:
 
 def _score(nodes: list[_Node]) -> None:
     for node in reversed(nodes):  # children before parents
-        own = own_linked = commas = 0
+        own = own_linked = 0
         for p in node.parts:
             if isinstance(p, str):
                 own += len(p.strip())
             elif not p.bad:
                 own += p.chars
                 own_linked += p.linked
+                node.links += p.links
+        node.links += node.tag == "a"
         node.chars, node.linked = own, own if node.tag == "a" else own_linked
     for node in nodes:
         direct = node.tag in _PARAGRAPHS or any(isinstance(p, str) and len(p.strip()) > 1 for p in node.parts)
@@ -172,7 +211,7 @@ def _blocks(keep: list[_Node]) -> list[str]:
                     flush()
             elif item.tag == "br":
                 text.append(" ")
-            elif item is not top and item.tag in ("ul", "ol", "div", "table", "section") and item.chars and item.linked > 0.6 * item.chars:
+            elif item is not top and item.tag in ("ul", "ol", "div", "table", "section") and item.chars and item.linked > 0.6 * item.chars and item.chars - item.linked < 8 * item.links:
                 flush()  # a menu without a name
             else:
                 if item.tag not in _INLINE:
@@ -187,7 +226,9 @@ def main_text(page: str | None) -> str:
     """The article of one page, a block a line; "" for null, empty or textless pages."""
     if not page:
         return ""
-    nodes = _nodes(_tree(page))
+    root = _tree(page)
+    _drop_named(root)
+    nodes = _nodes(root)
     _score(nodes)
     best, most = nodes[0], -1.0
     for node in nodes:

@@ -43,6 +43,21 @@ def test_cuts_what_is_not_the_article():
     assert main_text(page) == want + "\n".join(f"Paragraph {i}, with commas, and some length to it, as articles have." for i in range(6))
 
 
+def test_articles_do_not_vanish():
+    lines = [f"Paragraph {i}, with commas, and some length to it, as articles have." for i in range(6)]
+    story, want = "".join(f"<p>{x}</p>" for x in lines), "\n".join(lines)
+    for head in ("<head><title>T</title><body>", "<head><meta charset=utf-8>", "<head><title>T</title>\n", "<head><title>T</title></head><body>"):
+        assert main_text(f"<html>{head}<div>{story}</div>") == want
+    assert main_text("<head><title>T</title>plain text") == "plain text"
+    beside = "<div class=sidebar><p>Side, side, side, and more of it.</p></div><div id=comments>" + "<div class=comment-body><p>I disagree, strongly, with all of it, and say so at length.</p></div>" * 20 + "</div>"
+    for name in ("content-sidebar-wrap", "has-sidebar", "entry nav-open"):
+        assert main_text(f"<body><div class='{name}'><div>{story}</div>{beside}</div><p>x</p>") == want
+        assert main_text(f"<body><div class='{name}'><article>{story}</article>{beside}</div><div>{'<span>Plain words. </span>' * 99}</div>") == want
+    assert main_text(f"<body><div>{story}</div>{beside}") == want
+    cited = "".join(f"<li>Writer {i}, 2010: <a href={i}>A rather long title of a paper on this and that</a></li>" for i in range(5))
+    assert main_text(f"<article>{story}<ol>{cited}</ol></article>").count("\n") == 10
+
+
 def test_rows_are_whole(spark):
     rows = [(1, "u", "<p>x</p>", 1), (1, "u", "<p>x</p>", 2), (None, None, None, 3), (2, None, "", 4)]
     out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
