@@ -38,6 +38,8 @@ TAIL = _ENDINGS * _MARKS
 #: Words whose counts are broadcast.
 TABLE = 1 << 18
 DIMENSIONS, NOISE, BATCH = 16, 64, 2048
+#: Passes over the tokens held, in each round and whatever their number.
+PASSES = 4
 #: Class of the end of a text; inputs add one for the start of a text.
 _END = HEAD + TAIL
 CLASSES, INPUTS = _END + 1, SEEN + TAIL + 1
@@ -261,7 +263,7 @@ def fit_language(rows: DataFrame, known: Vocabulary, rounds: int = 2, rate: floa
 
             def step() -> int:
                 two, one, out = (np.concatenate(x) for x in zip(*held, strict=True))
-                own.train(two, one, out, known.noise, int(np.clip(3_000_000 // len(out), 1, 4)), pace, turn)
+                own.train(two, one, out, known.noise, PASSES, pace, turn)
                 return len(out)
 
             for _, texts in groups(batches, 0):

@@ -69,6 +69,20 @@ def test_probabilities_sum_to_one():
         assert np.exp(energy - log_z[a, b]).sum() == pytest.approx(1, rel=1e-4)
 
 
+@pytest.mark.parametrize("times", [1000, 600_000])
+def test_passes_do_not_depend_on_size(spark, times):
+    text = "a b c " * times
+    words, place, ends = L.tokens([text.encode()])
+    own, n = np.unique(words.hash, return_counts=True)
+    noise = np.zeros(L.CLASSES)
+    noise[:3], noise[-1] = n, 1
+    known = L.Vocabulary(own, n, np.arange(3, dtype=np.int32), 3 * times + 1, 4, 1, noise, np.ones(L.TAIL))
+    want = L.Bilinear.start(noise)
+    want.train(*L.contexts(known.look(words)[1], place, ends), noise, 4, 0.1, 0)
+    got = L.fit_language(spark.createDataFrame([(text,)], "text string").coalesce(1), known, rounds=1)
+    assert np.allclose(got.table(), want.table(), atol=1e-5)
+
+
 def test_endings_depend_on_the_word_alone():
     a, b = L.endings(Words([b"x the&&& of"], True)), L.endings(Words([b"the&&&", b"", b"of. x"], True))
     assert a[1] == b[0] and a[0] == b[2] and L.endings(Words([b"*", b"****", b"!"], True)).max() < L.TAIL
