@@ -1,4 +1,4 @@
-"""What the operators share: words, checkpoints, checked broadcasts."""
+"""What the operators share: words, tables in the shared folder, checked broadcasts."""
 
 from __future__ import annotations
 
@@ -10,24 +10,38 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space. On UTF-8 bytes, bytes.split() cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that goes to Python while an operator's steps run: whole documents come in it, on both sides.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset a local session gets a temporary one; a cluster must name it, for its machines share no temporary folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoints-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder. Spark removes the files once the frame is out of use."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint()
+def _written(df: DataFrame) -> tuple[str, DataFrame]:
+    path = f"{shared_folder(df.sparkSession)}/quern-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written to the shared folder, for results whose steps are deleted before they are read. Spark's exit deletes it."""
+    path, kept = _written(df)
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return kept
 
 
 class Scratch:
-    """Tables in the shared folder for the steps of one operator, as compressed Parquet, a fraction of a checkpoint's size.
+    """Tables in the shared folder for the steps of one operator, as compressed Parquet: lineage ends there, and a lost executor takes nothing along.
 
     with Scratch(spark) as scratch: what is kept in it goes at the end of the block, so what leaves the block must not read it.
     """
@@ -36,9 +50,7 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{_shared_folder(self.spark)}/quern-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
-        kept = self.spark.read.schema(df.schema).parquet(path)
+        path, kept = _written(df)
         self.paths[id(kept)] = (path, kept)
         return kept
 
@@ -52,9 +64,12 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def __enter__(self) -> Scratch:
+        self.rows = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(min(BATCH_ROWS, max(int(self.rows), 0) or BATCH_ROWS)))
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(_BATCH, self.rows)
         for path, _frame in self.paths.values():
             self._delete(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed
+from quern.llm.common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,13 +20,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, b) links -> (node, root): each linked node and the least node that it reaches.
+def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+    """(a, b) links -> (node, root): each linked node and the least node that it reaches; it can be read until `scratch` ends.
 
     Cases: self links and nulls are ignored; repeated and mirrored links count once; without links there are no rows.
-    Each round is checkpointed; a round that changes nothing ends the loop, after about log(diameter) of them.
+    Each round is written and the one before it deleted; a round that changes nothing ends the loop, after about log(diameter) of them.
     """
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(rounds):
         # all edges point to the lesser node; a forest of stars is the fixed point
@@ -34,8 +34,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now[0] == 0 or tuple(now) == state:
             break
         state = tuple(now)
-        edges = checkpointed(_star(_star(edges, True), False))
+        before, edges = edges, scratch.keep(_star(_star(edges, True), False))
+        scratch.drop(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return scratch.keep(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

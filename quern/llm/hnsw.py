@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Scratch, checkpointed
+from quern.llm.common import Scratch, lasting
 from quern.llm.neighbours import matrix, sound
 
 LINKS, EF_BUILD, STEP = 16, 64, 4
@@ -191,7 +191,7 @@ def search_vectors(
         nodes = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
         each = nodes.join(ids, "node").where(F.col("id") != F.col("query_id"))
         last = W.partitionBy("query_id", "_q").orderBy(F.desc("score"), "id")
-        return checkpointed(each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
+        return lasting(each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
 
 
 def _nearest(rows: DataFrame, asked: DataFrame, k: int, ef: int, shard_rows: int, block_rows: int, dim: int, scratch: Scratch) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Scratch, checkpointed
+from quern.llm.common import Scratch, lasting
 from quern.llm.components import components
 
 #: Classes of one list that are compared as one matrix.
@@ -118,22 +118,22 @@ def link_vectors(
     do those of another length than most vectors have; equal vectors are links; repeated rows are vectors each; a null
     key is never the least of a component and is never kept; an empty table gives no rows; further columns are ignored.
     """
-    rows, kinds = classes(vectors, key, vector)
-    rows = checkpointed(rows)
-    lengths = rows.where("node IS NOT NULL").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    if lengths is None:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    dim = lengths["dim"]
     with Scratch(vectors.sparkSession) as scratch:
+        rows, kinds = classes(vectors, key, vector)
+        rows = scratch.keep(rows)
+        lengths = rows.where("node IS NOT NULL").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+        if lengths is None:
+            return lasting(rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")))
+        dim = lengths["dim"]
         kinds = scratch.keep(kinds.where(F.size("vector") == dim))
-        found = checkpointed(_compare(kinds, least, prefix, shared, most_pivots, dim, scratch))
-        counts = checkpointed(kinds.select("node", "copies").join(found.groupBy("node").agg(F.sum("links").alias("_l")), "node", "left").select("node", (F.coalesce("_l", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = rows.join(counts, "node", "left").join(roots, "node", "left").withColumn("_root", F.when(F.col("n_links").isNotNull(), F.coalesce("root", "node")))
-    least_id = known.where("_root IS NOT NULL").groupBy("_root").agg(F.min("id").alias("component_id"))
-    inside = known.where("_root IS NOT NULL").join(least_id, "_root").select("id", "n_links", "component_id")
-    alone = known.where("_root IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return inside.unionByName(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        found = scratch.keep(_compare(kinds, least, prefix, shared, most_pivots, dim, scratch))
+        counts = scratch.keep(kinds.select("node", "copies").join(found.groupBy("node").agg(F.sum("links").alias("_l")), "node", "left").select("node", (F.coalesce("_l", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+        known = rows.join(counts, "node", "left").join(roots, "node", "left").withColumn("_root", F.when(F.col("n_links").isNotNull(), F.coalesce("root", "node")))
+        least_id = known.where("_root IS NOT NULL").groupBy("_root").agg(F.min("id").alias("component_id"))
+        inside = known.where("_root IS NOT NULL").join(least_id, "_root").select("id", "n_links", "component_id")
+        alone = known.where("_root IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        return lasting(inside.unionByName(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")))
 
 
 def _compare(kinds: DataFrame, least: float, prefix: int, shared: int, most_pivots: int, dim: int, scratch: Scratch) -> DataFrame:

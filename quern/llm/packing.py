@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import checkpointed
+from quern.llm.common import lasting
 
 #: Entries of a worker's memory of words; it is emptied when full.
 CACHE = 700_000
@@ -188,7 +188,7 @@ def pack(
     Cases: null and empty texts are their end id alone; repeated rows are packed each; null keys are passed on; an
     empty table gives no rows; further columns are ignored; texts of any length are cut, none is dropped.
     """
-    pieces = checkpointed(cut_pieces(docs, capacity, path, end_id, **columns))
+    pieces = lasting(cut_pieces(docs, capacity, path, end_id, **columns))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     rows = plan(histogram, capacity, most_docs or capacity, most_cost or capacity * capacity, weights)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.common import checkpointed
+from quern.llm.common import lasting
 
 #: Fixed value of the published algorithm.
 MULTIPLIER = 2862933555777941757
@@ -54,18 +55,20 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     apart and start where the earlier runs of the shard end, so no
     shard is ever sorted in one task; the number of runs follows the row count.
 
-    Cases: a null key counts as key 0 for the hash; a null text has size 1 and the
+    Cases: keys that are no whole numbers (strings, dates, ...) are hashed to 64 bits first; a null key counts as key 0 for the hash; a null text has size 1 and the
     checksum 0 of no bytes; equal rows take neighbouring slots, each its own;
     an empty table gives no rows; further columns are ignored. One shard more is
     returned as `grown_shard`: it equals `shard` or is the new shard.
     """
-    rows = checkpointed(
+    whole = isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    number = F.col(key) if whole else F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key)))
+    rows = lasting(
         docs.select(
             F.col(key).alias("doc_id"),
             (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1).alias("size"),
             F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long").alias("text_crc32"),
-            jump_hash(F.col(key), shards).alias("shard"),
-            jump_hash(F.col(key), shards + 1).alias("grown_shard"),
+            jump_hash(number, shards).alias("shard"),
+            jump_hash(number, shards + 1).alias("grown_shard"),
         )
     )
     runs = max(4, -(-rows.count() // (shards * rows_per_run)))

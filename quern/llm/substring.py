@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Scratch, checkpointed
+from quern.llm.common import Scratch, lasting
 from quern.llm.words import Words, groups, mix, powers, windows
 
 _U = np.uint64
@@ -183,7 +183,7 @@ def _fields(**kinds: T.DataType) -> T.StructType:
 def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, hot: int = HOT) -> DataFrame:
     """_r1, _r2 (which name a row's key and text), spans: array of (first, n) runs of repeated windows. `docs`: _r1, _r2, text."""
     with Scratch(docs.sparkSession) as scratch:
-        return checkpointed(_spans(docs, window, gram, hot, scratch))
+        return lasting(_spans(docs, window, gram, hot, scratch))
 
 
 def _spans(docs: DataFrame, window: int, gram: int, hot: int, scratch: Scratch) -> DataFrame:
