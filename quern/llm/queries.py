@@ -98,8 +98,7 @@ def op9_token_combination_join(spark: SparkSession, root: str) -> DataFrame:
 OP9_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT row_number() OVER () AS row_id, doc_id,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents
 ), sets AS (
   SELECT row_id, doc_id,
