@@ -2,12 +2,16 @@
 
 Each document has an expected number of copies, target over source size. Its
 whole part is certain; the fractions are rounded by the pivotal method (Deville
-and Tille): two fractions meet, mass moves at random between them until one
-is integral, the other goes on. Duels run inside blocks of some 64 documents of
+and Tille) with words as the mass: two fractional units meet, and words move at random
+from one to the other until one of them is integral; the other goes on. Every document keeps its probability, and
+the words of the two stay what they were.
+
+Long documents, those of over 1/LONG of their source, first meet all the rest of their source as one unit, the longest first:
+the rest's common fraction takes up what they win or lose. Then duels run inside blocks of some 64 documents of
 one source and like size; the one residual of each block goes to the
-next level, a tree whose depth grows with the logarithm of the row count.
-Since mass moves between documents of like size, words stay near the target too;
-what is left of the gap is closed by moving at most `corrections` documents a source by one copy.
+next level, a tree whose depth grows with the logarithm of the row count, and what is left of a
+source is one document's fraction. A gap remains where a document outweighs what the rest of its source can take
+up; it is closed by moving at most `corrections` documents a source by one copy.
 """
 
 from __future__ import annotations
@@ -16,61 +20,98 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, checkpointed, small, uniform
+from quern.llm.common import WORD, Scratch, lasting, small, uniform
 
 BLOCK = 64
+#: A source holds fewer than this many long documents.
+LONG = 2000
 _EPS = 1e-9
 _BROADCAST_ROWS = 20_000
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
+def _weighed(sizes: DataFrame, weights: tuple[float, ...], scratch: Scratch) -> DataFrame:
+    """`sizes` with _weight: the weights repeat over the sources in code point order, null last. Sources are numbered by sorted partitions, not in one task."""
+    placed = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = scratch.keep(placed.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_before"))
+    rank = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    return placed.join(F.broadcast(before), "_part").select("source", "source_size", weight.alias("_weight"))
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
     """(source, source_size) -> with `target` added: weights repeat over the sources in code point order, null last.
 
     Targets share the sum of all sizes by weight. A target stops at `most` times its source's size;
-    what it leaves is shared by weight among the others, until none is above. Sorted by
-    cap over weight, the capped sources are a prefix, so one pass of
-    running sums finds the level instead of a loop. One row per source, so one partition is enough.
+    what it leaves is shared by weight among the others, until none is above. Each round of that is one
+    aggregation of three numbers; the level only rises, and rounds end when no further source is capped.
     """
-    by_code = W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    by_cap = W.partitionBy(F.lit(0)).orderBy("_ratio", "_rank")
-    before, rest = by_cap.rowsBetween(W.unboundedPreceding, -1), by_cap.rowsBetween(W.currentRow, W.unboundedFollowing)
-    everything = W.partitionBy(F.lit(0))
+    known = scratch.keep(_weighed(sizes, weights, scratch))
     cap = F.col("source_size") * F.lit(float(most))
+    level, last = None, -1
+    while True:
+        capped = F.lit(False) if level is None else cap <= F.lit(level) * F.col("_weight")
+        now = known.agg(F.sum("source_size").alias("all"), F.sum(F.when(capped, cap)).alias("kept"), F.sum(F.when(~capped, F.col("_weight"))).alias("open"), F.count(F.when(capped, 1)).alias("n")).first()
+        if now["n"] == last or not now["open"]:
+            break
+        last, level = now["n"], ((now["all"] or 0) - (now["kept"] or 0.0)) / now["open"]
+    return known.select("source", "source_size", F.least(cap, F.lit(level if level is not None else 0.0) * F.col("_weight")).alias("target"))
+
+
+def _duel(acc: Column, x: Column) -> Column:
+    """One pivotal step between the carried unit and the next one of the block: words move from one to the other until one is integral."""
+    c, s, t = acc["c"], acc["c"]["unit"]["size"], x["unit"]["size"]
+    up = F.least((1 - c["p"]) * s, x["p"] * t)  # words that c can win, and lose
+    down = F.least(c["p"] * s, (1 - x["p"]) * t)
+    wins = x["u"] * (up + down) < down
+    moved = F.when(wins, up).otherwise(-down)
+    ends = F.when(wins, (1 - c["p"]) * s <= x["p"] * t).otherwise(c["p"] * s <= (1 - x["p"]) * t)  # whether c is the one that becomes integral
+
+    def carried(who: Column, p: Column) -> Column:
+        return F.struct(who["unit"].alias("unit"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"), who["u"].alias("u"))
+
+    def state(carry: Column, who: Column, take: Column) -> Column:
+        return F.struct(carry.alias("c"), F.concat(acc["out"], F.array(F.struct(who["unit"].alias("unit"), take.cast("int").alias("take")))).alias("out"))
+
+    first = F.struct(x.alias("c"), acc["out"].alias("out"))  # nothing carried yet
+    settled = (c["p"] <= _EPS) | (c["p"] >= 1 - _EPS)
     return (
-        sizes.withColumn("_rank", F.row_number().over(by_code))
-        .withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int")))
-        .withColumn("_ratio", cap / F.col("_weight"))
-        .withColumn("_level", (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("_weight").over(rest))
-        .withColumn("_place", F.row_number().over(by_cap))
-        .withColumn("_open", F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct("_place", "_level"))).over(everything))
-        .withColumn("target", F.when(F.col("_open").isNull() | (F.col("_place") < F.col("_open._place")), cap).otherwise(F.col("_open._level") * F.col("_weight")))
-        .select("source", "source_size", "target")
+        F.when(c["unit"].isNull(), first)
+        .when(settled, state(x, c, F.round(c["p"])))
+        .when(ends, state(carried(x, x["p"] - moved / t), c, wins))
+        .otherwise(state(carried(c, c["p"] + moved / s), x, ~wins))
     )
 
 
-def _duel(acc: Column, x: Column) -> Column:
-    """One pivotal step between the carried unit and the next one of the block."""
-    c, total = acc["c"], acc["c"]["p"] + x["p"]
+def _meet_the_rest(units: DataFrame, same: list[str], seed: int) -> DataFrame:
+    """Each source's long documents, longest first, decided against the rest of the source -> same, p (the fraction left to all others), out.
 
-    def unit(who: Column, p: Column) -> Column:
-        return F.struct(who["unit"].alias("unit"), p.alias("p"), who["u"].alias("u"))
+    Fewer than LONG documents of a source are long, so their list is bounded.
+    """
+    kind = units.schema["unit"].dataType.simpleString()
+    drawn = [uniform(F.col("unit.h"), F.lit(seed), F.lit(salt)).alias(name) for salt, name in ((-3, "u"), (-4, "v"))]
+    entry = F.struct((-F.col("unit.size")).alias("size"), F.col("unit.h").alias("h"), F.struct("unit", *drawn).alias("x"))
+    long = units.groupBy(*same, "p").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["x"]).alias("_entries"))
 
-    def state(carry: Column, *done: tuple[Column, int]) -> Column:
-        more = F.array(*[F.struct(who["unit"].alias("unit"), F.lit(take).alias("take")) for who, take in done])
-        return F.struct(carry.alias("c"), F.concat(acc["out"], more).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        p, s = acc["p"], x["unit"]["size"]
+        rest = acc["rest"] - s
+        up, down = F.least((1 - p) * s, p * rest), F.least(p * s, (1 - p) * rest)
+        moved = F.when(x["u"] * (up + down) < down, up).otherwise(-down)
+        own = p + moved / s  # 0 or 1 unless the rest could not take up more
+        take = (x["v"] < F.round(own, 9)).cast("int")
+        after = F.when(rest > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p - moved / F.greatest(rest, F.lit(1))))).otherwise(p)
+        return F.struct(after.alias("p"), rest.alias("rest"), F.concat(acc["out"], F.array(F.struct(x["unit"].alias("unit"), take.alias("take")))).alias("out"))
 
-    zero, one, first = F.lit(0.0), F.lit(1.0), x["u"]
-    below = F.when(first * total < x["p"], state(unit(x, total), (c, 0))).otherwise(state(unit(c, total), (x, 0)))
-    exact = F.when(first * total < x["p"], state(unit(x, zero), (c, 0), (x, 1))).otherwise(state(unit(x, zero), (x, 0), (c, 1)))
-    above = F.when(first * (F.lit(2.0) - total) < one - x["p"], state(unit(x, total - 1), (c, 1))).otherwise(state(unit(c, total - 1), (x, 1)))
-    alone = F.struct(x.alias("c"), acc["out"].alias("out"))  # nothing carried yet
-    return F.when(c["p"] <= _EPS, alone).when(F.abs(total - 1) <= _EPS, exact).when(total < 1, below).otherwise(above)
+    start = F.struct(F.col("p").alias("p"), F.col("source_size").alias("rest"), F.array().cast(f"array<struct<unit:{kind},take:int>>").alias("out"))
+    return long.select(*same, F.aggregate("_entries", start, step).alias("_f")).select(*same, "_f.p", "_f.out")
 
 
 def _fold(units: DataFrame, keys: list[str], seed: int, level: int) -> DataFrame:
-    """Each block's units -> keys, the carried unit `c` (p = 0: none) and `out`, the decided ones."""
-    kind, made = units.schema["unit"].dataType, "unit"
-    entry = F.struct(F.col("unit.size").alias("size"), F.col("unit.h").alias("h"), F.struct(made, "p", uniform(F.col("unit.h"), F.lit(seed), F.lit(level)).alias("u")).alias("x"))
+    """Each block's units, the longest first -> keys, the carried unit `c` and `out`, the decided ones."""
+    kind = units.schema["unit"].dataType
+    entry = F.struct((-F.col("unit.size")).alias("size"), F.col("unit.h").alias("h"), F.struct("unit", "p", uniform(F.col("unit.h"), F.lit(seed), F.lit(level)).alias("u")).alias("x"))
     start = F.struct(
         F.struct(F.lit(None).cast(kind).alias("unit"), F.lit(0.0).alias("p"), F.lit(0.0).alias("u")).alias("c"),
         F.array().cast(f"array<struct<unit:{kind.simpleString()},take:int>>").alias("out"),
@@ -87,65 +128,79 @@ def mix_units(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
     words has target 0 and is not taken; repeated rows share their copies evenly, the first ones one more;
     an empty table gives no rows; further columns are ignored; the result depends on the rows, `seed` and nothing else.
     """
-    units = checkpointed(
+    with Scratch(docs.sparkSession) as scratch:
+        return lasting(_mixed_units(docs, weights, most, seed, corrections, key, text, source, scratch))
+
+
+def _mixed_units(docs: DataFrame, weights: tuple[float, ...], most: float, seed: int, corrections: int, key: str, text: str, source: str, scratch: Scratch) -> DataFrame:
+    alike = ["doc_id", "source", "size"]
+    rows = scratch.keep(
         docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-        .groupBy("doc_id", "source", "size")
+        .groupBy(*alike)
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    targets = checkpointed(source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, most))
+    targets = scratch.keep(source_targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), scratch, weights, most))
     known = small(targets.withColumnRenamed("source", "_source"), _BROADCAST_ROWS)
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("rows")
-    whole = F.floor(F.col("_share") + _EPS)
-    units = (
-        units.join(known, units["source"].eqNullSafe(known["_source"]))
-        .withColumn("_share", share)
-        .select(
-            "source", "source_size", "target",
-            F.struct("doc_id", "size", "rows", whole.cast("long").alias("whole"), F.xxhash64("doc_id", "source", "size").alias("h")).alias("unit"),
-            F.greatest(F.lit(0.0), F.col("_share") - whole).alias("p"),
-        )
-    )
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(share + _EPS)
     same = ["source", "source_size", "target"]
-    settled = [units.where(F.col("p") <= _EPS).select(*same, "unit", F.lit(0).alias("take"))]
-    left, level, bins = units.where(F.col("p") > _EPS), 0, F.floor(F.log2(F.col("unit.size") + 1) * 4).cast("int")
+    units = (
+        rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+        .join(known, rows["source"].eqNullSafe(known["_source"]))
+        .select(*same, F.struct("doc_id", "size", "rows", "nth", whole.cast("long").alias("whole"), F.xxhash64(*alike, "nth").alias("h")).alias("unit"), F.greatest(F.lit(0.0), share - whole).alias("p"))
+    )
+
+    def drawn(rest: DataFrame, salt: int) -> DataFrame:
+        return rest.select(*same, F.col("unit"), (uniform(F.col("unit.h"), F.lit(seed), F.lit(salt)) < F.col("p")).cast("int").alias("take"))
+
+    open_ = (F.col("p") > _EPS) & (F.col("unit.size") > 0)
+    long = F.col("unit.size") * F.lit(LONG) > F.col("source_size")
+    settled = [drawn(units.where(~open_), -2)]  # without words, or without a fraction
+    met = scratch.keep(_meet_the_rest(units.where(open_ & long), same, seed))
+    settled.append(met.select(*same, F.inline("out")))
+    changed = small(met.select(F.col("source").alias("_s"), F.col("p").alias("_p")), _BROADCAST_ROWS)
+    others = units.where(open_ & ~long).join(changed, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("p", F.coalesce("_p", "p")).drop("_s", "_p")
+    settled.append(drawn(others.where(F.col("p") <= _EPS), -2))
+    open_ = F.col("p") > _EPS
+    left, level, bins = others.where(open_), 0, F.floor(F.log2(F.col("unit.size") + 1) * 4).cast("int")
     while True:
         left = left.withColumn("_bin", bins)
-        sums = checkpointed(left.groupBy("source", "_bin").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("_blocks")))
+        sums = scratch.keep(left.groupBy("source", "_bin").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("_blocks")))
         most_blocks = sums.agg(F.max("_blocks")).first()[0]
         if most_blocks is None:
             break
         sums = small(sums.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "_blocks"), _BROADCAST_ROWS)
         dealt = left.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b"))).withColumn("_block", F.pmod(F.xxhash64("unit.h", F.lit(seed), F.lit(level)), F.col("_blocks")))
-        folded = checkpointed(_fold(dealt, [*same, "_bin", "_block"], seed, level))
+        folded = scratch.keep(_fold(dealt, [*same, "_bin", "_block"], seed, level))
         settled.append(folded.select(*same, F.inline("out")))
-        left, level = folded.where(F.col("c.p") > _EPS).select(*same, F.col("c.unit").alias("unit"), F.col("c.p").alias("p")), level + 1
+        left, level = folded.select(*same, F.col("c.unit").alias("unit"), F.col("c.p").alias("p")), level + 1
         if most_blocks == 1:  # at most one residual is left for each size class: the root of each source
-            folded = checkpointed(_fold(left, same, seed, level))
+            folded = scratch.keep(_fold(left, same, seed, level))
             settled.append(folded.select(*same, F.inline("out")))
-            last = folded.where(F.col("c.p") > _EPS)
-            settled.append(last.select(*same, F.col("c.unit").alias("unit"), (uniform(F.col("c.unit.h"), F.lit(seed), F.lit(-1)) < F.col("c.p")).cast("int").alias("take")))
+            settled.append(drawn(folded.select(*same, F.col("c.unit").alias("unit"), F.round(F.col("c.p"), 9).alias("p")), -1))
             break
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
-    out = checkpointed(out.select("unit.doc_id", "source", "unit.size", "unit.rows", "source_size", "target", (F.col("unit.whole") + F.col("take")).alias("copies")))
+    out = out.groupBy("unit.doc_id", "source", "unit.size", "unit.rows", "source_size", "target").agg(F.sum(F.col("unit.whole") + F.col("take")).alias("copies"))
+    out = scratch.keep(out.select("doc_id", "source", "size", "rows", "source_size", "target", "copies"))
     for _ in range(corrections):
-        out = _corrected(out, most)
+        out = _corrected(out, most, scratch)
     return out
 
 
-def _corrected(units: DataFrame, most: float) -> DataFrame:
+def _corrected(units: DataFrame, most: float, scratch: Scratch) -> DataFrame:
     """One copy more or less of the one document of each source whose size best closes the gap that rounding left.
 
     A few very long documents decide a small source's words; rounding alone keeps their number right, not their words.
     """
     gaps = units.groupBy(F.col("source").alias("_s")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_gap"))
-    gaps = small(checkpointed(gaps), _BROADCAST_ROWS)
+    gaps = small(scratch.keep(gaps), _BROADCAST_ROWS)
     may = F.when(F.col("_gap") > 0, F.col("copies") + 1 <= F.lit(most) * F.col("rows")).otherwise(F.col("copies") > 0)
     after = F.abs(F.abs("_gap") - F.col("size"))
     best = F.min(F.struct(after.alias("after"), F.xxhash64("doc_id", "size").alias("h"), "doc_id", "size", F.signum("_gap").cast("long").alias("step")))
     moves = units.join(gaps, F.col("source").eqNullSafe(F.col("_s"))).where(may & (F.col("size") > 0) & (after < F.abs("_gap"))).groupBy("source").agg(best.alias("_m"))
-    moves = small(checkpointed(moves.select(F.col("source").alias("_s"), F.col("_m.doc_id").alias("_k"), F.col("_m.size").alias("_z"), F.col("_m.step").alias("_step"))), _BROADCAST_ROWS)
+    moves = small(scratch.keep(moves.select(F.col("source").alias("_s"), F.col("_m.doc_id").alias("_k"), F.col("_m.size").alias("_z"), F.col("_m.step").alias("_step"))), _BROADCAST_ROWS)
     found = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("size") == F.col("_z"))
     return units.join(moves, found, "left").withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0))).drop("_s", "_k", "_z", "_step")
 
@@ -158,12 +213,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: the columns and rows of `docs`, each row as often as it is taken."""
-    units = mix_units(docs, key=key, text=text, source=source, **options).select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("rows").alias("_rows"), F.col("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
-    found = rows.join(units, F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
+    """The mix itself: the columns and rows of `docs`, each row as often as it is taken.
+
+    Cases: those of mix_units; columns of any other name are passed on as they are.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    k, t, s = (f"c{docs.columns.index(c)}" for c in (key, text, source))
+    units = mix_units(plain, key=k, text=t, source=s, **options).select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("rows").alias("_rows"), F.col("copies").alias("_copies")).where("_copies > 0")
+    rows = plain.withColumn("_size", F.coalesce(F.regexp_count(F.col(t), F.lit(WORD)), F.lit(0)).cast("long"))
+    found = rows.join(units, F.col(k).eqNullSafe(F.col("_k")) & F.col(s).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
     # alike rows share their copies: numbered within what is alike, the first ones take one more
     alone = found.where("_rows = 1").withColumn("_row", F.lit(1))
-    shared = found.where("_rows > 1").withColumn("_row", F.row_number().over(W.partitionBy("_k", "_s", "_z").orderBy(F.xxhash64(text), *[c for c, t in docs.dtypes if not t.startswith("map")])))
+    shared = found.where("_rows > 1").withColumn("_row", F.row_number().over(W.partitionBy("_k", "_s", "_z").orderBy(F.xxhash64(t), *[c for c, kind in plain.dtypes if "map<" not in kind])))
     n = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_row") <= F.pmod(F.col("_copies"), F.col("_rows"))).cast("long")
-    return alone.unionByName(shared).withColumn("_n", n.cast("int")).where("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    return alone.unionByName(shared).withColumn("_n", n.cast("int")).where("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*plain.columns).toDF(*docs.columns)

@@ -4,6 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quern.llm.common import Scratch
 from quern.llm.mixing import mix_documents, mixed, source_targets
 from quern.llm.sharding import jump_hash, shard_documents
 
@@ -57,9 +58,10 @@ def fill(sizes):
         capped |= over
 
 
-@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 500, None: 3}, {"a": 0, "b": 7}, {"a": 1, "b": 1, "c": 1000, "d": 2, "e": 900}, {"a": 5}])
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 500, None: 3}, {"a": 0, "b": 7}, {"a": 1, "b": 1, "c": 1000, "d": 2, "e": 900}, {"a": 5}, {chr(97 + i): 7**i for i in range(9)}, {f"s{i}": (i * 7919) % 1000 for i in range(300)}])
 def test_targets_equal_the_loop(spark, sizes):
-    rows = source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    with Scratch(spark) as scratch:
+        rows = source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3), scratch).collect()
     assert {r.source: pytest.approx(r.target) for r in rows} == fill(sizes)
 
 
@@ -86,3 +88,35 @@ def test_mix_of_odd_rows(spark):
     assert {r.source: r.source_size for r in out} == {"s": 4, None: 0, "t": 5000, "u": 1}
     assert mixed(documents(spark, ODD)).count() == sum(r.copies for r in out)
     assert mix_documents(documents(spark, [])).count() == 0
+
+
+def test_keys_of_any_type_are_sharded(spark):
+    rows = spark.createDataFrame([(f"https://host/{i}", "a") for i in range(400)] + [(None, "b")], "doc_id string, text string")
+    out = shard_documents(rows).collect()
+    assert len(out) == 401 and all(r.grown_shard in (r.shard, 16) for r in out)
+    assert min(collections.Counter(r.shard for r in out).values()) > 8 and [r.shard for r in out if r.doc_id is None] == [jump(0, 16)]
+
+
+def test_rounding_alone_comes_near_and_keeps_every_probability(spark):
+    sizes = [1 + i * i * 37 % 211 for i in range(120)] + [900, 700, 800]
+    rows = documents(spark, [(i, "w " * n, "en", "ab"[i % 2], 1, 0, 0) for i, n in enumerate(sizes)]).cache()
+    drawn, runs = collections.Counter(), 40
+    for seed in range(runs):
+        taken = collections.Counter()
+        for r in mix_documents(rows, seed=seed, corrections=0).collect():
+            share = r.target / r.source_size
+            assert int(share) <= r.copies <= int(share) + 1
+            drawn[r.doc_id] += r.copies - int(share)
+            taken[r.source] += r.taken
+            target = {**(target if taken.total() != r.taken else {}), r.source: r.target}
+        assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
+    for i in range(len(sizes)):
+        p = target["ab"[i % 2]] / sum(n for j, n in enumerate(sizes) if j % 2 == i % 2) % 1
+        assert abs(drawn[i] - runs * p) <= 4.5 * (runs * p * (1 - p)) ** 0.5
+
+
+def test_clashing_columns_are_passed_on(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 50), f"s{i % 3}", 100 + i, -1, "k", 5.0, None) for i in range(200)], "doc_id long, text string, source string, _size long, _n int, _k string, _row double, c0 string")
+    out = mixed(docs)
+    assert out.columns == docs.columns and out.count() > 0
+    assert all(r._size == 100 + r.doc_id and r._n == -1 and r._k == "k" and r._row == 5.0 and r.c0 is None for r in out.collect())
