@@ -1,23 +1,25 @@
 """Log-bilinear language model trained with noise-contrastive estimation, in numpy.
 
-A word's class is the word itself for the HEAD most frequent ones, else one of
-TAIL classes by its ending. The model predicts the next class from the two words before: their
-vectors add up to a context vector, whose products with the class vectors, plus
-biases, are the energies (Mnih and Hinton). A word of a tail class then has
-its share of the class's training tokens, add-one smoothed, one share being that of all unseen words.
-
-Training contrasts each class with noise drawn from the class counts; nothing is normalised
-there. Every partition makes passes over all its training tokens from the same weights, and the
-weights are averaged by tokens, once for each round. Scoring normalises
-exactly: contexts are pairs of input classes, so all their normalisers come from batched matrix
-products, made once, and each token needs one dot product more.
+The vectors of the two words before add up to a context vector, whose products with output
+vectors, plus biases, are energies (Mnih and Hinton). The SEEN most frequent words have context vectors of their own, all
+others share those of TAIL classes by hash. A word is predicted in two steps: its class (the HEAD most frequent words and the end of a text are classes
+themselves, the others fall into TAIL classes by hash), then the word within its class, where its
+count is the base measure and the SAID most frequent words have output vectors. Words without one, and one share for all
+unseen words, have energy 0 there, so both steps sum to one over everything that can be said.
+
+Training contrasts each class with noise drawn from the class counts, and each word with words of its class drawn from their
+counts; nothing is normalised there. Training tokens are dealt by hash to rounds and blocks, so the
+file layout changes nothing; each token is learned from once. The blocks of a round start from the same weights, and
+every row of weights is averaged over the blocks that changed it, by how often they did, in a tree of fixed order. Scoring normalises
+exactly, by batched matrix products over all classes and over the words of each class.
 
 Counts cover the whole corpus. Words are told apart by 64-bit hashes. The counts of the TABLE most
-frequent words travel to every task (16 bytes each); those of the rest are joined.
+frequent words travel to every task (16 bytes each); those of the rest are joined. A model has a fixed size, whatever the corpus.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,203 +29,228 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import checkpointed
+from quern.llm.common import Scratch, lasting
 from quern.llm.quality import fold
-from quern.llm.words import Words, groups
-
-#: Words that are classes of their own, and those of them that contexts tell apart.
-HEAD, SEEN = 2048, 256
-_ENDINGS, _MARKS = 32, 8
-TAIL = _ENDINGS * _MARKS
-#: Words whose counts are broadcast.
-TABLE = 1 << 18
-DIMENSIONS, NOISE, BATCH = 16, 64, 2048
-#: Passes over the tokens held, in each round and whatever their number.
-PASSES = 4
-#: Class of the end of a text; inputs add one for the start of a text.
-_END = HEAD + TAIL
-CLASSES, INPUTS = _END + 1, SEEN + TAIL + 1
-_START = SEEN + TAIL
-_COUNTED, _TRAINED = 1 << 22, 1 << 22
-
-# Marks that a word may end in, each with its class; others are 7, none is 0.
-_MARK = np.full(256, 7, np.uint8)
-_MARK[48:58] = _MARK[65:91] = _MARK[97:123] = _MARK[128:] = 0
-for _i, _c in enumerate((".", ",", "*", "$", "%", "&#")):
-    _MARK[list(_c.encode())] = _i + 1
-
-
-def endings(words: Words) -> np.ndarray:
-    """Tail class of each word: its closing mark, and its last two bytes before marks."""
-    data = np.frombuffer(words.buffer, np.uint8)
-    end = words.end.copy()
-    mark = _MARK[data[end - 1]]
-    for _ in range(3):  # marks come in runs of up to three
-        end -= (_MARK[data[end - 1]] > 0) & (end - 1 > words.start)
-    last = data[end - 1].astype(np.uint32) | 32
-    before = np.where(end - 2 >= words.start, data[np.maximum(end - 2, 0)], 0).astype(np.uint32) | 32
-    return mark.astype(np.int64) * _ENDINGS + ((last * 40503 + before * 30011) >> 7) % _ENDINGS
-
-
-def tokens(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words, each word's place among the tokens, and each text's end's: tokens are words and, after each text, its end."""
-    words = Words(texts, lower=True)
-    counts = words.counts()
-    return words, np.arange(len(words.hash)) + words.owner(), np.cumsum(counts + 1) - 1
+from quern.llm.words import Words, groups, mix
+
+#: Words that are classes of their own; classes of the others; words with context vectors, with output vectors, and with counts in every task.
+HEAD, TAIL, SEEN, SAID, TABLE = 64, 256, 1 << 17, 1 << 16, 1 << 18
+DIMENSIONS, NOISE, WITHIN, BATCH = 32, 32, 8, 4096
+#: Step sizes of context vectors of the last word and of the one before, of class vectors and of word vectors; each round halves them.
+RATES = (0.25, 0.2, 0.03, 0.25)
+#: Rounds, training tokens of a block of one round, tokens of a piece, blocks that are averaged at once, rows of weights that travel together.
+ROUNDS, BLOCK, PIECE, MERGED, SLICE = 2, 1 << 23, 1 << 16, 64, 1 << 14
+_END, CLASSES = HEAD + TAIL, HEAD + TAIL + 1
+#: Numbers of words in contexts: their rank, or their class past the ranks, or the end (and start) of a text.
+START, CONTEXTS = SEEN + TAIL, SEEN + TAIL + 1
+_FIRST = np.cumsum([0, CONTEXTS, CONTEXTS, CLASSES, SAID])  # rows of all weights
+_COUNTED = 1 << 22
+
+
+def kinds(hashes: np.ndarray) -> np.ndarray:
+    """Tail class of each word."""
+    return (mix(hashes) % np.uint64(TAIL)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The most frequent training words by hash, their counts and classes; sizes of the classes."""
+    """The most frequent training words, the most frequent first: hashes, counts. n: training tokens, v: distinct ones, both with ends."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray  # of the head, else -1
-    n: int  # N: training tokens, ends included
-    v: int  # V: distinct ones
+    n: int
+    v: int
     ends: int
     noise: np.ndarray  # training tokens of each class
-    mass: np.ndarray  # of each tail class: tokens + distinct words + 1
-
-    def look(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Count (-1: not in the table) and class of each word."""
-        kind = endings(words) + HEAD
-        if not len(self.hashes) or not len(words.hash):
-            return np.full(len(words.hash), -1, np.int64), kind
-        at = np.searchsorted(self.hashes, words.hash)
-        at[at == len(self.hashes)] = 0
-        known = self.hashes[at] == words.hash
-        own = self.classes[at]
-        return np.where(known, self.counts[at], -1), np.where(known & (own >= 0), own, kind)
-
-
-def inputs(kinds: np.ndarray) -> np.ndarray:
-    """Input class of a class: the less frequent heads count by a class of their own number."""
-    return np.where(kinds < SEEN, kinds, np.where(kinds >= HEAD, kinds - HEAD + SEEN, SEEN + kinds % TAIL))
-
-
-def contexts(kinds: np.ndarray, place: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class before last, last class, class) of every token, word and end."""
-    out = np.full(len(kinds) + len(ends), _END, np.int64)
-    out[place] = kinds
-    seen = np.full(len(out) + 2, _START, np.int64)
-    seen[place + 2] = inputs(kinds)
-    seen[ends + 2] = _START  # an end is the start of what follows
-    one = seen[1:-1]
-    two = seen[:-2].copy()
-    after = ends[:-1] + 1
-    two[after] = _START
-    return two, one, out
+    rest: np.ndarray  # of each tail class: counts + 1 of the words without output vectors, and 1 for all unseen ones
+
+    @functools.cached_property
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(self.hashes)
+        return by, self.hashes[by]
+
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        """Rank of each word, -1 if it is not in the table."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        by, known = self._sorted
+        at = np.searchsorted(known, hashes)
+        at[at == len(known)] = 0
+        return np.where(known[at] == hashes, by[at], -1)
+
+
+class Layout:
+    """What a vocabulary says of numbers: the class of each, and the words with output vectors by class."""
+
+    def __init__(self, known: Vocabulary):
+        kind = kinds(known.hashes[:SEEN])
+        self.classes = np.full(CONTEXTS, _END)
+        self.classes[SEEN:START] = HEAD + np.arange(TAIL)
+        self.classes[: len(kind)] = np.where(np.arange(len(kind)) < HEAD, np.arange(len(kind)), HEAD + kind)
+        tail = np.arange(HEAD, max(HEAD, min(len(kind), SAID)))
+        self.words = tail[np.argsort(kind[tail], kind="stable")]  # by class
+        self.first = np.searchsorted(kind[self.words], np.arange(TAIL + 1))
+        self.log_counts = np.log(known.counts[:SAID] + 1.0).astype(np.float32)
+        self.steps = np.concatenate(([0.0], np.cumsum(known.counts[self.words] + 1.0)))
+
+
+def _row_sums(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; most runs are short."""
+    n = np.diff(np.append(cuts, len(rows)))
+    total, left, k = rows[cuts], np.flatnonzero(n > 1), 1
+    while len(left) > 16:
+        total[left] += rows[cuts[left] + k]
+        k += 1
+        left = left[n[left] > k]
+    for r in left:
+        total[r] += rows[cuts[r] + k : cuts[r] + n[r]].sum(axis=0)
+    return total
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Bilinear:
-    """Weights: input vectors by position, class vectors, class biases."""
+    """Weights: vectors of the last word, of the one before, of classes and of words; biases of classes. `grown` are AdaGrad's sums of each row and bias."""
 
-    def __init__(self, two: np.ndarray, one: np.ndarray, out: np.ndarray, bias: np.ndarray):
-        self.two, self.one, self.out, self.bias = two, one, out, bias
+    def __init__(self, vectors: list[np.ndarray], bias: np.ndarray, grown: list[np.ndarray]):
+        self.vectors, self.bias, self.grown = vectors, bias, grown
+        self.touched = [np.zeros(len(v), np.int64) for v in vectors]
 
     @classmethod
     def start(cls, noise: np.ndarray, seed: int = 1) -> Bilinear:
         rng = np.random.default_rng(seed)
-        draw = [rng.normal(0, 0.1, (k, DIMENSIONS)).astype(np.float32) for k in (INPUTS, INPUTS, CLASSES)]
-        return cls(*draw, np.log((noise + 1) / (noise.sum() + len(noise))).astype(np.float32))
+        sizes = np.diff(_FIRST)
+        vectors = [np.zeros((n, DIMENSIONS), np.float32) for n in sizes[:2]] + [rng.normal(0, 2 / DIMENSIONS**0.5, (n, DIMENSIONS)).astype(np.float16).astype(np.float32) for n in sizes[2:]]
+        return cls(vectors, np.log((noise + 1) / (noise.sum() + len(noise))).astype(np.float32), [np.full(n, 1e-2, np.float32) for n in (*sizes, CLASSES)])
 
-    def table(self) -> np.ndarray:
-        """All weights as rows of DIMENSIONS numbers; biases fill the last ones."""
-        pad = -len(self.bias) % DIMENSIONS
-        return np.concatenate((self.two, self.one, self.out, np.concatenate((self.bias, np.zeros(pad, np.float32))).reshape(-1, DIMENSIONS)))
+    def sent(self) -> tuple:
+        return [v.astype(np.float16) for v in self.vectors], self.bias, self.grown
 
     @classmethod
-    def of(cls, table: np.ndarray) -> Bilinear:
-        table = np.asarray(table, np.float32)
-        a, b = 2 * INPUTS, 2 * INPUTS + CLASSES
-        return cls(table[:INPUTS].copy(), table[INPUTS:a].copy(), table[a:b].copy(), table[b:].ravel()[:CLASSES].copy())
-
-    def train(self, two: np.ndarray, one: np.ndarray, out: np.ndarray, noise: np.ndarray, passes: int, rate: float, seed: int) -> None:
-        """Noise-contrastive steps over all triples, alike ones at once with their number as weight (AdaGrad by row)."""
-        keys, times = np.unique((two * INPUTS + one) * CLASSES + out, return_counts=True)
+    def of(cls, sent: tuple) -> Bilinear:
+        return cls([v.astype(np.float32) for v in sent[0]], sent[1].copy(), [g.copy() for g in sent[2]])
+
+    def _add(self, which: int, at: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        rows, total = at[cuts], _row_sums(gradient[order], cuts)
+        grown = self.grown[which][rows] + np.einsum("ij,ij->i", total, total) / DIMENSIONS
+        self.grown[which][rows] = grown
+        self.vectors[which][rows] += (rate / np.sqrt(grown))[:, None] * total
+        self.touched[which][rows] += np.diff(np.append(cuts, len(at)))
+
+    def train(self, tokens: np.ndarray, places: np.ndarray, layout: Layout, noise: np.ndarray, pace: float, seed: int) -> None:
+        """Noise-contrastive steps over the tokens at `places`, each once, in batches of random order (AdaGrad by row)."""
         rng = np.random.default_rng(seed)
-        chance = ((noise + 1) / (noise.sum() + len(noise))).astype(np.float64)
-        log_noise = np.log(chance * NOISE).astype(np.float32)
-        steps = np.cumsum(chance)
-        grown = [np.full(len(w), 1e-2, np.float32) for w in (self.two, self.one, self.out)]
-        grown_bias = np.full(CLASSES, 1e-2, np.float32)
-
-        def apply(weights: np.ndarray, sums: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
-            rows, where = np.unique(at, return_inverse=True)
-            total = np.zeros((len(rows), gradient.shape[1]), np.float32)
-            for d in range(gradient.shape[1]):
-                total[:, d] = np.bincount(where, gradient[:, d], len(rows))
-            sums[rows] += (total * total).mean(axis=1)
-            weights[rows] += rate * total / np.sqrt(sums[rows])[:, None]
-
-        for _ in range(passes):
-            order = rng.permutation(len(keys))
-            for lo in range(0, len(order), BATCH):
-                chosen = order[lo : lo + BATCH]
-                key, weight = keys[chosen], times[chosen].astype(np.float32)
-                weight /= weight.mean() * len(chosen) / 64
-                c, key = key % CLASSES, key // CLASSES
-                b, a = key % INPUTS, key // INPUTS
-                h = self.two[a] + self.one[b]
-                drawn = np.minimum(np.searchsorted(steps, rng.random(NOISE) * steps[-1]), CLASSES - 1)
-                real = (h * self.out[c]).sum(axis=1) + self.bias[c] - log_noise[c]
-                fake = h @ self.out[drawn].T + self.bias[drawn] - log_noise[drawn]
-                g_real = weight / (1 + np.exp(np.clip(real, -30, 30)))
-                g_fake = -weight[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
-                d_h = g_real[:, None] * self.out[c] + g_fake @ self.out[drawn]
-                at = np.concatenate((c, drawn))
-                d_out = np.concatenate((g_real[:, None] * h, g_fake.T @ h))
-                d_bias = np.concatenate((g_real, g_fake.sum(axis=0)))[:, None]
-                apply(self.two, grown[0], a, d_h)
-                apply(self.one, grown[1], b, d_h)
-                apply(self.out, grown[2], at, d_out)
-                apply(self.bias[:, None], grown_bias, at, d_bias)
-
-    def normalisers(self) -> np.ndarray:
-        """log of the summed exponentials for every context, by batched matrix products."""
-        out = np.empty((INPUTS, INPUTS), np.float32)
-        for a in range(INPUTS):
-            energy = (self.two[a] + self.one) @ self.out.T + self.bias
-            top = energy.max(axis=1)
-            out[a] = top + np.log(np.exp(energy - top[:, None]).sum(axis=1))
-        return out
+        chance = (noise + 1) / (noise.sum() + len(noise))
+        log_noise, steps = np.log(chance * NOISE).astype(np.float32), np.cumsum(chance)
+        mass = layout.steps[layout.first]
+        one, two, out, word = self.vectors
+        rates, log_within = [r * pace for r in RATES], np.float32(np.log(WITHIN))
+        order = rng.permutation(places)
+        for lo in range(0, len(order), BATCH):
+            place = order[lo : lo + BATCH]
+            x, y, t = tokens[place - 1], tokens[place - 2], tokens[place]
+            y = np.where(x == START, START, y)
+            c = layout.classes[t]
+            h = one[x] + two[y]
+            drawn = np.minimum(np.searchsorted(steps, rng.random(NOISE) * steps[-1]), CLASSES - 1)
+            real = _sigmoid(log_noise[c] - np.einsum("ij,ij->i", h, out[c]) - self.bias[c])
+            fake = -_sigmoid(h @ out[drawn].T + (self.bias - log_noise)[drawn])
+            d_h = real[:, None] * out[c] + fake @ out[drawn]
+            tail = np.flatnonzero((c >= HEAD) & (t < SAID))
+            if len(tail):
+                kind = c[tail] - HEAD
+                tail = tail[np.argsort(kind, kind="stable")]
+                kind = c[tail] - HEAD
+                n = np.bincount(kind, minlength=TAIL)
+                column = np.arange(len(tail)) - (np.cumsum(n) - n)[kind]
+                own, said = np.zeros((TAIL, n.max(), DIMENSIONS), np.float32), t[tail]
+                own[kind, column] = h[tail]
+                at = np.searchsorted(layout.steps, mass[:-1, None] + rng.random((TAIL, WITHIN)) * np.diff(mass)[:, None], side="right") - 1
+                other = layout.words[np.clip(at, 0, len(layout.words) - 1)]  # words of each class by their counts
+                vectors = word[other]
+                win = _sigmoid(log_within - np.einsum("ij,ij->i", h[tail], word[said]))
+                lose = -_sigmoid(own @ vectors.transpose(0, 2, 1) - log_within) * (np.arange(n.max()) < n[:, None])[:, :, None]
+                d_h[tail] += win[:, None] * word[said] + (lose @ vectors)[kind, column]
+                used = np.flatnonzero(np.repeat(n > 0, WITHIN))
+                self._add(3, np.concatenate((said, other.ravel()[used])), np.concatenate((win[:, None] * h[tail], (lose.transpose(0, 2, 1) @ own).reshape(-1, DIMENSIONS)[used])), rates[3])
+            at, gain = np.concatenate((c, drawn)), np.concatenate((real, fake.sum(axis=0)))
+            self._add(0, x, d_h, rates[0])
+            self._add(1, y, d_h, rates[1])
+            self._add(2, at, np.concatenate((real[:, None] * h, fake.T @ h)), rates[2])
+            step = np.bincount(at, gain, CLASSES).astype(np.float32)
+            self.grown[4] += step * step
+            self.bias += rates[2] * step / np.sqrt(self.grown[4])
+
+    def log_chances(self, tokens: np.ndarray, places: np.ndarray, layout: Layout, rest: np.ndarray) -> np.ndarray:
+        """Natural log probability of each token at `places`, but for the log of its count plus one if it is of a tail class."""
+        one, two, out, word = self.vectors
+        total = np.empty(len(places))
+        for lo in range(0, len(places), 1 << 15):
+            place = places[lo : lo + (1 << 15)]
+            x, t = tokens[place - 1], tokens[place]
+            c = layout.classes[t]
+            h = one[x] + two[np.where(x == START, START, tokens[place - 2])]
+            mine = np.einsum("ij,ij->i", h, out[c]) + self.bias[c]
+            for a in range(0, len(place), 1 << 12):
+                energy = h[a : a + (1 << 12)] @ out.T
+                energy += self.bias
+                top = energy.max(axis=1)
+                energy -= top[:, None]
+                np.exp(energy, out=energy)
+                mine[a : a + (1 << 12)] -= np.log(energy.sum(axis=1)) + top
+            tail = np.flatnonzero((c >= HEAD) & (c < _END))
+            tail = tail[np.argsort(c[tail], kind="stable")]
+            cuts = np.searchsorted(c[tail] - HEAD, np.arange(TAIL + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                rows, words = tail[cuts[k] : cuts[k + 1]], layout.words[layout.first[k] : layout.first[k + 1]]
+                energy = h[rows] @ word[words].T
+                top = np.maximum(energy.max(axis=1, initial=0), 0)
+                energy += layout.log_counts[words] - top[:, None]
+                np.exp(energy, out=energy)
+                mine[rows] -= np.log(energy.sum(axis=1) + rest[k] * np.exp(-top)) + top
+            said = tail[t[tail] < SAID]
+            mine[said] += np.einsum("ij,ij->i", h[said], word[t[said]])
+            total[lo : lo + len(place)] = mine
+        return total
 
 
 def _schema(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-_LONG, _INT, _DOUBLE = T.LongType(), T.IntegerType(), T.DoubleType()
+_LONG, _INT, _DOUBLE, _BINARY = T.LongType(), T.IntegerType(), T.DoubleType(), T.BinaryType()
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """hash, ending, n of every distinct word of `text`; counted in chunks before the shuffle."""
-    kinds = _schema(hash=_LONG, ending=_INT, n=_LONG)
+    """hash, kind, n of every distinct word of `text`; counted in chunks before the shuffle."""
+    names = _schema(hash=_LONG, kind=_INT, n=_LONG)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def close() -> pa.RecordBatch:
-            hashes, kinds_ = (np.concatenate(x) for x in zip(*held, strict=True))
-            own, first, times = np.unique(hashes, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(kinds_[first].astype(np.int32)), pa.array(times)], kinds.names)
+            own, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(kinds(own).astype(np.int32)), pa.array(times)], names.names)
 
         for _, texts in groups(batches, 0):
-            words = Words(texts, lower=True)
-            held.append((words.hash, endings(words).astype(np.int16)))
-            size += len(words.hash)
+            held.append(Words(texts, lower=True).hash)
+            size += len(held[-1])
             if size > _COUNTED:
                 yield close()
                 held, size = [], 0
         if held:
             yield close()
 
-    return rows.select("text").mapInArrow(count, kinds).groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(count, names).groupBy("hash", "kind").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame, ends: int, table: int = TABLE) -> Vocabulary:
-    """`counts` is read three times, so it should be checkpointed. The most frequent words are those above a count that at most `table` words reach."""
+    """`counts` is read three times, so it should be a written table. The most frequent words are those above a count that at most `table` words reach."""
     bucket = F.floor(F.log2("n") * 16).cast("int")
     sizes = counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("b")).collect()  # 16 for each doubling of the count
     room, floor = table, None
@@ -232,101 +259,166 @@ def vocabulary(counts: DataFrame, ends: int, table: int = TABLE) -> Vocabulary:
         if room < 0:
             break
         floor = r["b"]
-    found = counts.where(bucket >= F.lit(floor if floor is not None else 1 << 30)).toArrow()
-    hashes, ending, n = (found.column(i).to_numpy() for i in range(3))
-    hashes = hashes.astype(np.int64).view(np.uint64)
+    found = counts.where(bucket >= F.lit(floor if floor is not None else 1 << 30)).select("hash", "n").toArrow()
+    hashes, n = found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy().astype(np.int64)
     by = np.lexsort((hashes, -n))
-    classes = np.full(len(hashes), -1, np.int32)
-    classes[by[:HEAD]] = np.arange(len(by[:HEAD]))
-    noise, mass = np.zeros(CLASSES), np.ones(TAIL)
-    for r in counts.groupBy("ending").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect():  # at most TAIL rows
-        noise[HEAD + r["ending"]] += r["n"]
-        mass[r["ending"]] += r["n"] + r["words"]
-    for i in by[:HEAD]:
-        noise[HEAD + ending[i]] -= n[i]
-        mass[ending[i]] -= n[i] + 1
-        noise[classes[i]] = n[i]
-    noise[_END] = ends
-    order = np.argsort(hashes)
-    return Vocabulary(hashes[order], n[order].astype(np.int64), classes[order], int(sum(r["n"] for r in sizes)) + ends, int(sum(r["words"] for r in sizes)) + (ends > 0), ends, noise, mass)
-
-
-def fit_language(rows: DataFrame, known: Vocabulary, rounds: int = 2, rate: float = 0.1) -> Bilinear:
-    """Trains on every row's `text`: each partition by itself, the weights averaged by its tokens after each round."""
-    model = Bilinear.start(known.noise)
-    kinds = _schema(row=_INT, tokens=_LONG, values=T.ArrayType(T.FloatType()))
-    for turn in range(rounds):
-        start, pace = model.table(), rate / (1 + turn)
-
-        def train(batches: Iterator[pa.RecordBatch], start=start, pace=pace, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, total, held, size = Bilinear.of(start), 0, [], 0
-
-            def step() -> int:
-                two, one, out = (np.concatenate(x) for x in zip(*held, strict=True))
-                own.train(two, one, out, known.noise, PASSES, pace, turn)
-                return len(out)
-
-            for _, texts in groups(batches, 0):
-                words, place, ends = tokens(texts)
-                held.append(tuple(x.astype(np.int32) for x in contexts(known.look(words)[1], place, ends)))
-                size += len(held[-1][0])
-                if size > _TRAINED:
-                    total += step()
-                    held, size = [], 0
-            if held:
-                total += step()
-            if total:
-                table = own.table()
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * DIMENSIONS, pa.int32()), pa.array(table.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table), dtype=np.int32)), pa.array(np.full(len(table), total)), values], kinds.names)
-
-        shares = rows.select("text").mapInArrow(train, kinds).groupBy("row").agg(F.sum("tokens").alias("n"), *[F.sum(F.col("values")[i].cast("double") * F.col("tokens")).alias(f"v{i}") for i in range(DIMENSIONS)])
-        found = shares.toPandas().sort_values("row")  # one row for each of the model's
-        if len(found):
-            model = Bilinear.of(found[[f"v{i}" for i in range(DIMENSIONS)]].to_numpy() / found[["n"]].to_numpy())
+    hashes, n = hashes[by], n[by]
+    kind, noise, rest = kinds(hashes), np.zeros(CLASSES), np.ones(TAIL)
+    for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect():  # at most TAIL rows
+        noise[HEAD + r["kind"]] += r["n"]
+        rest[r["kind"]] += r["n"] + r["words"]
+    noise[HEAD:_END] -= np.bincount(kind[:HEAD], n[:HEAD], TAIL)
+    rest -= np.bincount(kind[:SAID], n[:SAID] + 1, TAIL)
+    noise[: len(n[:HEAD])], noise[_END] = n[:HEAD], ends
+    return Vocabulary(hashes, n, int(sum(r["n"] for r in sizes)) + ends, int(sum(r["words"] for r in sizes)) + (ends > 0), ends, noise, rest)
+
+
+def encoded(rows: DataFrame, known: Vocabulary) -> DataFrame:
+    """doc_id, held_out, order, n_tokens, n_known, base and tail (sums of the logs of known counts plus one, of all tokens and of those of tail classes), ids (numbers, with the end), rare (hashes of words beyond the table)."""
+    names = T.StructType([*(rows.schema[c] for c in ("doc_id", "held_out", "order")), *_schema(n_tokens=_LONG, n_known=_LONG, base=_DOUBLE, tail=_DOUBLE, ids=_BINARY, rare=T.ArrayType(_LONG))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in groups(batches, 3):
+            words, n = Words(texts, lower=True), len(texts)
+            rank, owner = known.ranks(words.hash), words.owner()
+            share = np.where(rank >= 0, np.log10(known.counts[np.maximum(rank, 0)] + 1.0) if len(known.counts) else 0.0, 0.0)
+            ids = np.full(len(rank) + n, START, np.int32)
+            ids[np.arange(len(rank)) + owner] = np.where((rank >= 0) & (rank < SEEN), rank, SEEN + kinds(words.hash))
+            cuts, rare = words.first + np.arange(n + 1), rank < 0
+            whole = ids.tobytes()
+            lists = np.concatenate(([0], np.cumsum(np.bincount(owner[rare], minlength=n)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i) for i in range(3)), pa.array(np.diff(cuts)), pa.array(np.bincount(owner[~rare], minlength=n) + int(known.ends > 0)), pa.array(np.bincount(owner, share, n) + np.log10(known.ends + 1)),
+                    pa.array(np.bincount(owner, np.where(rank >= HEAD, share, 0.0), n)), pa.array([whole[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(lists), pa.array(words.hash[rare].view(np.int64))),
+                ], names.names,
+            )
+
+    return rows.select("doc_id", "held_out", "order", "text").mapInArrow(encode, names)
+
+
+def _spread(training: DataFrame, blocks: int) -> DataFrame:
+    """round, block, order, ids of pieces of the training texts, each piece after the two numbers before it."""
+    names = _schema(round=_INT, block=_INT, order=_LONG, ids=_BINARY)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders, pieces = [], []
+            for order, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.concatenate((np.full(2, START, np.int32), np.frombuffer(ids, np.int32)))
+                for k, lo in enumerate(range(0, len(ids) - 2, PIECE)):
+                    orders.append((order + k) % 2**64)
+                    pieces.append(ids[lo : lo + PIECE + 2].tobytes())
+            order = mix(np.array(orders, np.uint64))
+            place = (order % np.uint64(ROUNDS * blocks)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place % ROUNDS), pa.array(place // ROUNDS), pa.array(order.view(np.int64)), pa.array(pieces, pa.binary())], names.names)
+
+    return training.select("order", "ids").mapInArrow(cut, names)
+
+
+def fit_language(training: DataFrame, known: Vocabulary, scratch: Scratch, block: int = BLOCK) -> Bilinear:
+    """Trains on the `ids` of every row; `order` decides the round and block of each, and its place there."""
+    model, layout = Bilinear.start(known.noise), Layout(known)
+    blocks = max(1, -(-known.n // (ROUNDS * block)))
+    pieces = scratch.keep(_spread(training, blocks))
+    sent = _schema(slice=_INT, part=_INT, rows=_BINARY, times=_BINARY, vectors=_BINARY, scalars=_BINARY)
+
+    def trainer(start: tuple, turn: int):
+        def train(table: pa.Table) -> pa.Table:
+            table = table.sort_by("order")
+            texts = [np.frombuffer(b, np.int32) for b in table.column("ids").to_pylist()]
+            tokens, n = np.concatenate(texts), np.array([len(t) for t in texts])
+            inside = np.ones(len(tokens), bool)
+            first = np.cumsum(n) - n
+            inside[first] = inside[first + 1] = False
+            own, at = Bilinear.of(start), table.column("block")[0].as_py()
+            own.train(tokens, np.flatnonzero(inside).astype(np.int32), layout, known.noise, 0.5**turn, turn + ROUNDS * at)
+            bias, grown = np.zeros(_FIRST[-1], np.float32), np.zeros(_FIRST[-1], np.float32)
+            bias[_FIRST[2] : _FIRST[3]], grown[_FIRST[2] : _FIRST[3]] = own.bias, own.grown[4]
+            own.touched[2] += 1  # all biases move
+            scalars = np.stack((bias, grown, np.concatenate(own.grown[:4])), axis=1)
+            vectors, times = np.concatenate(own.vectors), np.concatenate(own.touched)
+            rows = np.flatnonzero(times)
+            out = []
+            for s in np.unique(rows // SLICE).tolist():
+                some = rows[rows // SLICE == s]
+                out.append((s, at, some.astype(np.int32).tobytes(), times[some].tobytes(), vectors[some].astype(np.float16).tobytes(), scalars[some].tobytes()))
+            return pa.table([pa.array(c, f) for c, f in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=sent.names)
+
+        return train
+
+    def average(table: pa.Table) -> pa.Table:
+        s = table.column("slice")[0].as_py()
+        times, sums = np.zeros(SLICE, np.int64), np.zeros((SLICE, DIMENSIONS + 3))
+        for r in table.sort_by("part").to_pylist():  # a fixed order, so sums are the same whenever this runs again
+            rows, n = np.frombuffer(r["rows"], np.int32) - s * SLICE, np.frombuffer(r["times"], np.int64)
+            values = np.concatenate((np.frombuffer(r["vectors"], np.float16).reshape(-1, DIMENSIONS).astype(np.float64), np.frombuffer(r["scalars"], np.float32).reshape(-1, 3)), axis=1)
+            times[rows] += n
+            sums[rows] += values * n[:, None]
+        rows = np.flatnonzero(times)
+        values = sums[rows] / times[rows][:, None]
+        out = (s, table.column("part")[0].as_py() // MERGED, (rows + s * SLICE).astype(np.int32).tobytes(), times[rows].tobytes(), values[:, :-3].astype(np.float16).tobytes(), values[:, -3:].astype(np.float32).tobytes())
+        return pa.table([pa.array([v], f) for v, f in zip(out, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=sent.names)
+
+    for turn in range(ROUNDS):
+        shares, left = scratch.keep(pieces.where(F.col("round") == turn).groupBy("block").applyInArrow(trainer(model.sent(), turn), sent)), blocks
+        while True:
+            merged = scratch.keep(shares.groupBy("slice", F.floor(F.col("part") / F.lit(MERGED)).alias("_group")).applyInArrow(average, sent))
+            scratch.drop(shares)
+            shares, left = merged, -(-left // MERGED)
+            if left == 1:
+                break
+        vectors, bias, grown = np.concatenate(model.vectors), model.bias.copy(), np.concatenate(model.grown[:4])
+        own = model.grown[4].copy()
+        for r in shares.collect():  # the weights, a few dozen rows
+            rows, scalars = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["scalars"], np.float32).reshape(-1, 3)
+            vectors[rows] = np.frombuffer(r["vectors"], np.float16).reshape(-1, DIMENSIONS)
+            grown[rows] = scalars[:, 2]
+            some = (rows >= _FIRST[2]) & (rows < _FIRST[3])
+            bias[rows[some] - _FIRST[2]], own[rows[some] - _FIRST[2]] = scalars[some, 0], scalars[some, 1]
+        scratch.drop(shares)
+        model = Bilinear(np.split(vectors, _FIRST[1:-1]), bias, [*np.split(grown, _FIRST[1:-1]), own])
+    scratch.drop(pieces)
     return model
 
 
-def score_language(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = 2, table: int = TABLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_language(docs: DataFrame, folds: int = 7, held: int = 2, table: int = TABLE, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     Learns from the rows whose fold is not `held`. Cases: null and empty texts are their end alone; a null key is of
     fold 0; repeated rows count and are scored each; without training rows every count is 0; an
-    empty table gives no rows; further columns are ignored; texts are read whole.
+    empty table gives no rows; further columns are ignored; texts are read whole. Neither the order of the rows nor their partitions matter.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), (fold(F.col(key), folds) == held).alias("held_out"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("doc_id"), (fold(F.col(key), folds) == held).alias("held_out"), F.xxhash64(F.col(key), F.col(text)).alias("order"), F.col(text).alias("text"))
     training = rows.where(~F.col("held_out"))
-    counts = checkpointed(count_words(training))
-    known = vocabulary(counts, training.count(), table)
-    model = fit_language(training, known, rounds)
-    log_z = model.normalisers()
-    kinds = T.StructType([rows.schema["doc_id"], *_schema(held_out=T.BooleanType(), n_tokens=_LONG, n_known=_LONG, base=_DOUBLE, score=_DOUBLE, rare=T.ArrayType(_LONG))])
-    log_mass, ln10 = np.log10(known.mass), np.log(10)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in groups(batches, 2):
-            words, place, ends = tokens(texts)
-            count, kind = known.look(words)
-            two, one, out = contexts(kind, place, ends)
-            energy = np.einsum("ij,ij->i", model.two[two] + model.one[one], model.out[out]) + model.bias[out] - log_z[two, one]
-            total, owner, n = energy.astype(np.float64) / ln10, words.owner(), len(texts)
-            share = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1), 0.0)
-            tail = kind >= HEAD
-            total[place] += np.where(tail, share - log_mass[np.where(tail, kind - HEAD, 0)], 0.0)
-            unknown = count < 0
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[unknown], minlength=n)))).astype(np.int32)
-            token_owner = np.repeat(np.arange(n), words.counts() + 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(words.counts() + 1), pa.array(np.bincount(owner[~unknown], minlength=n) + int(known.ends > 0)),
-                    pa.array(np.bincount(owner, share, n) + np.log10(known.ends + 1)), pa.array(np.bincount(token_owner, total, n)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.hash[unknown].view(np.int64))),
-                ], kinds.names,
-            )
-
-    scored = checkpointed(rows.mapInArrow(score, kinds).withColumn("_row", F.monotonically_increasing_id()))
-    found = scored.select("_row", F.explode("rare").alias("hash")).join(counts, "hash").groupBy("_row").agg(F.sum(F.log10(F.col("n") + 1)).alias("_more"), F.count(F.lit(1)).alias("_known"))
-    more, base = F.coalesce("_more", F.lit(0.0)), float(np.log10(known.n + known.v + 1))
-    return scored.join(found, "_row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(known.n).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("score") + more).alias("score"),
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        counts = scratch.keep(count_words(training))
+        known = vocabulary(counts, training.count(), table)
+        texts = scratch.keep(encoded(rows, known).withColumn("_row", F.monotonically_increasing_id()))
+        model, layout = fit_language(texts.where(~F.col("held_out")), known, scratch, block).sent(), Layout(known)
+        names = T.StructType([*(texts.schema[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base", "_row")), T.StructField("score", _DOUBLE)])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Bilinear.of(model)
+            for batch in batches:
+                ids = [np.concatenate((np.full(2, START, np.int32), np.frombuffer(b, np.int32))) for b in batch.column(7).to_pylist()]
+                if not ids:
+                    continue
+                tokens, n = np.concatenate(ids), np.array([len(t) - 2 for t in ids])
+                inside = np.ones(len(tokens), bool)
+                first = np.cumsum(n + 2) - n - 2
+                inside[first] = inside[first + 1] = False
+                logs = own.log_chances(tokens, np.flatnonzero(inside), layout, known.rest)
+                sums = np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n)) / np.log(10) + batch.column(6).to_numpy()
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(sums)], names.names)
+
+        scored = texts.select(*names.names[:-1], "tail", "ids").mapInArrow(score, names)
+        found = texts.select("_row", F.explode("rare").alias("hash")).join(counts, "hash").groupBy("_row").agg(F.sum(F.log10(F.col("n") + 1)).alias("_more"), F.count(F.lit(1)).alias("_known"))
+        more, base = F.coalesce("_more", F.lit(0.0)), float(np.log10(known.n + known.v + 1))
+        return lasting(
+            scored.join(found, "_row", "left").select(
+                "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(known.n).cast("long").alias("train_tokens"),
+                (F.col("base") + more - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("score") + more).alias("score"),
+            )
+        )

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quern.llm import language as L
-from quern.llm.words import Words
+from quern.llm.common import Scratch
 
 ROOT = "/root/testdata/sf0.01"
 
@@ -33,7 +33,7 @@ def brute(rows):
 def test_counts_and_base_scores(spark, table):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet").limit(300)
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (None, "of x"), (16, ""), (16, ""), (17, "The the Of\tx " * 3000)]
-    out = L.score_language(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int").repartition(3), rounds=1, table=table).collect()
+    out = L.score_language(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int").repartition(3), table=table).collect()
     want = brute(rows)
     got = sorted(out, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
     for r, w in zip(got, sorted(want, key=lambda w: (w[0] is None, w[0] or 0, w[2])), strict=True):
@@ -46,46 +46,65 @@ def test_beats_the_base_on_held_out_text(spark):
     held = [r for r in out if r.held_out]
     assert len(out) == 1000 and held
     tokens = sum(r.n_tokens for r in held)
-    assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.05
-
-
-def test_probabilities_sum_to_one():
-    texts = [b"a b c a b", b"b b c!", b"d*** a b"]
-    words, place, ends = L.tokens(texts)
-    own, times = np.unique(words.hash, return_counts=True)
-    kinds = np.arange(len(own), dtype=np.int32)
-    noise = np.zeros(L.CLASSES)
-    noise[: len(own)] = times
-    noise[-1] = 3
-    vocabulary = L.Vocabulary(own, times, kinds, int(times.sum()) + 3, len(own) + 1, 3, noise, np.ones(L.TAIL))
-    two, one, out = L.contexts(vocabulary.look(words)[1], place, ends)
-    assert out.tolist().count(L.CLASSES - 1) == 3 and two[0] == one[0] == one[ends[0] + 1] == two[ends[0] + 2] == L._START
-    assert one.tolist()[1] == L.inputs(out)[0] and two.tolist()[2] == L.inputs(out)[0]
-    model = L.Bilinear.of(L.Bilinear.start(noise).table())
-    model.train(two, one, out, noise, 30, 0.1, 0)
-    log_z = model.normalisers()
-    for a, b in ((0, 1), (L._START, L._START)):
-        energy = (model.two[a] + model.one[b]) @ model.out.T + model.bias
-        assert np.exp(energy - log_z[a, b]).sum() == pytest.approx(1, rel=1e-4)
-
-
-@pytest.mark.parametrize("times", [1000, 600_000])
-def test_passes_do_not_depend_on_size(spark, times):
-    text = "a b c " * times
-    words, place, ends = L.tokens([text.encode()])
-    own, n = np.unique(words.hash, return_counts=True)
-    noise = np.zeros(L.CLASSES)
-    noise[:3], noise[-1] = n, 1
-    known = L.Vocabulary(own, n, np.arange(3, dtype=np.int32), 3 * times + 1, 4, 1, noise, np.ones(L.TAIL))
-    want = L.Bilinear.start(noise)
-    want.train(*L.contexts(known.look(words)[1], place, ends), noise, 4, 0.1, 0)
-    got = L.fit_language(spark.createDataFrame([(text,)], "text string").coalesce(1), known, rounds=1)
-    assert np.allclose(got.table(), want.table(), atol=1e-5)
-
-
-def test_endings_depend_on_the_word_alone():
-    a, b = L.endings(Words([b"x the&&& of"], True)), L.endings(Words([b"the&&&", b"", b"of. x"], True))
-    assert a[1] == b[0] and a[0] == b[2] and L.endings(Words([b"*", b"****", b"!"], True)).max() < L.TAIL
+    assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.25
+
+
+def fitted(spark, texts, scratch, block=1 << 23):
+    rows = spark.createDataFrame([(i, False, i * 7919, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, order long, text string").repartition(3)
+    known = L.vocabulary(scratch.keep(L.count_words(rows)), len(texts))
+    return known, L.Layout(known), L.fit_language(L.encoded(rows, known), known, scratch, block)
+
+
+def test_probabilities_equal_brute_force_and_sum_to_one(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 200) % 900) for _ in range(60)]
+    with Scratch(spark) as scratch:
+        known, layout, model = fitted(spark, texts, scratch, 2000)
+    assert max(np.abs(v).max() for v in model.vectors) > 0.3 and known.n == 60 * 201
+    one, two, out, word = (v.astype(float) for v in model.vectors)
+    says = len(known.hashes)  # every word of this corpus has an output vector
+    kind = L.kinds(known.hashes)
+    for a, b in ((3, 5), (L.START, L.START), (says - 1, 0), (L.SEEN + 7, 2)):
+        h = one[a] + two[b]
+        classes = np.exp(out @ h + model.bias)
+        classes /= classes.sum()
+        chance = [classes[w] if w < L.HEAD else 0.0 for w in range(says)]
+        unseen = 0.0
+        for k in range(L.TAIL):
+            mine = [w for w in range(L.HEAD, says) if kind[w] == k]
+            mass = {w: (known.counts[w] + 1) * math.exp(word[w] @ h) for w in mine}
+            total = sum(mass.values()) + known.rest[k]
+            unseen += classes[L.HEAD + k] * known.rest[k] / total
+            for w in mine:
+                chance[w] = classes[L.HEAD + k] * mass[w] / total
+        assert sum(chance) + unseen + classes[-1] == pytest.approx(1, rel=1e-9)
+        said = [0, 1, L.HEAD - 1, L.HEAD, says // 2, says - 1, L.START]
+        got = [model.log_chances(np.array([b, a, w], np.int32), np.array([2]), layout, known.rest)[0] + (math.log(known.counts[w] + 1) if L.HEAD <= w < says else 0) for w in said]
+        assert got == pytest.approx([math.log(chance[w] if w < says else classes[-1]) for w in said], abs=1e-4)
+
+
+def test_a_repeated_text_is_learned(spark):
+    with Scratch(spark) as scratch:
+        known, layout, model = fitted(spark, ["a b c " * 400] * 40, scratch)
+    rank = {w: int(known.ranks(L.Words([w.encode()]).hash)[0]) for w in "abc"}
+    tokens = np.array([rank["a"], rank["b"], rank["c"]], np.int32)
+    assert math.exp(model.log_chances(tokens, np.array([2]), layout, known.rest)[0]) > 0.8
+
+
+def test_layout_changes_nothing(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").limit(200)
+    docs = docs.unionByName(docs.limit(3)).cache()
+    few, many = ({(r.doc_id, r.n_tokens): r.score for r in L.score_language(d, block=10_000).collect()} for d in (docs.coalesce(1), docs.orderBy("text").repartition(11)))
+    assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], rel=1e-9) for k in few)
+
+
+def test_pieces_of_a_long_text_hold_each_token_once(spark, monkeypatch):
+    monkeypatch.setattr(L, "PIECE", 5)
+    ids = np.arange(17, dtype=np.int32)
+    rows = L._spread(spark.createDataFrame([(5, bytearray(ids.tobytes()))], "order long, ids binary"), 4).collect()
+    held = [np.frombuffer(r.ids, np.int32).tolist() for r in rows]
+    whole = [L.START, L.START, *range(17)]
+    assert sorted(held) == sorted(whole[i : i + L.PIECE + 2] for i in range(0, 17, L.PIECE)) or held == [whole]
 
 
 def test_empty_table(spark):
