@@ -142,7 +142,6 @@ def plan(histogram: dict[int, int], capacity: int, most_docs: int, most_cost: in
     A state (tokens, documents, cost used) holds runs of sequences (first, number) that are alike.
     """
     scale = np.array([capacity, most_docs, most_cost], float)
-    loose = most_docs >= capacity and most_cost >= capacity * capacity  # then tokens alone decide
     states: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
     rows, opened = [], 0
     for length in sorted(histogram, reverse=True):
@@ -171,7 +170,7 @@ def plan(histogram: dict[int, int], capacity: int, most_docs: int, most_cost: in
                     rows.append((length, rank, k, lo, best[0]))
                     used = (best[0] + k * item[0], best[1] + k, best[2] + k * item[2])
                     if used[0] < capacity:
-                        states.setdefault((used[0], 0, 0) if loose else used, []).append((lo, n))
+                        states.setdefault(used, []).append((lo, n))
                     rank, left, first, number = rank + n * k, left - n * k, lo + n, number - n
             if number:
                 states.setdefault(best, []).append((first, number))
@@ -180,11 +179,12 @@ def plan(histogram: dict[int, int], capacity: int, most_docs: int, most_cost: in
 
 def pack(
     docs: DataFrame, capacity: int = 2048, most_docs: int | None = None, most_cost: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), path: str | None = None, end_id: int = 0, rows_per_run: int = 50_000, **columns: str,
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0), path: str | None = None, end_id: int = 0, rows_per_run: int = 50_000, **columns: str,
 ) -> DataFrame:
     """A sequence and an offset for every piece of every document of `docs`.
 
-    `most_docs` and `most_cost` bound the pieces of a sequence and the sum of their squared lengths; unset they do not bind.
+    `most_docs` and `most_cost` bound the pieces of a sequence and the sum of their squared lengths. Unset they are what `capacity`
+    tokens can reach at most; the residuals of all three still choose among the sequences that a piece fits.
     Cases: null and empty texts are their end id alone; repeated rows are packed each; null keys are passed on; an
     empty table gives no rows; further columns are ignored; texts of any length are cut, none is dropped.
     """

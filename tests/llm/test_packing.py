@@ -68,3 +68,40 @@ def test_plan_keeps_every_capacity(caps):
             ranks[length] = end
     assert ranks == histogram and ends == {}
     assert all((x <= caps).all() for x in load.values())
+
+
+@pytest.mark.parametrize("most_docs, most_cost", [(64, 64 * 64), (5, 64 * 64), (64, 900), (4, 1100)])
+def test_the_plan_is_best_fit_piece_by_piece(most_docs, most_cost):
+    rng = np.random.default_rng(most_docs + most_cost)
+    lengths = np.sort(rng.integers(1, 31, 400))[::-1].tolist()
+    scale, weights, open_ = np.array([64, most_docs, most_cost], float), (1.0, 0.7131, 0.3917), []
+    for n in lengths:
+        item, best = np.array([n, 1, n * n]), None
+        for k, used in enumerate(open_):
+            after = scale - used - item
+            if (after >= 0).all() and (best is None or ((after / scale) ** 2 * weights).sum() < best[0] - 1e-12):
+                best = (((after / scale) ** 2 * weights).sum(), k)
+        if best is None:
+            open_.append(item)
+        else:
+            open_[best[1]] = open_[best[1]] + item
+    used = collections.defaultdict(lambda: np.zeros(3, int))
+    for length, _, each, first, _, number in runs(plan(dict(collections.Counter(lengths)), 64, most_docs, most_cost, weights), lengths):
+        for s in range(number):
+            k = each if isinstance(each, int) else each[s]
+            used[first + s] += k * np.array([length, 1, length * length])
+    assert sorted(map(tuple, used.values())) == sorted(map(tuple, open_))
+
+
+def runs(rows, lengths):
+    """(length, first rank, pieces a sequence, first sequence, offset, sequences) of each row of a plan."""
+    count = collections.Counter(lengths)
+    for i, (length, rank, each, first, offset) in enumerate(rows.tolist()):
+        after = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][0] == length else count[length]
+        yield length, rank, each, first, offset, (after - rank) // each
+
+
+def test_weights_change_the_plan():
+    histogram = {n: 50 + n * 7 % 13 for n in range(1, 40)}
+    plans = [plan(histogram, 64, 64, 64 * 64, w).tobytes() for w in ((1.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1e-6, 100.0, 100.0))]
+    assert len(set(plans)) == 3
