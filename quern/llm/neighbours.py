@@ -12,12 +12,13 @@ vector that the triangle inequality and the bisecting plane do not rule out as i
 
 Equal vectors are one class. Lists are cut into chunks, and pairs of chunks are
 compared as matrices: what comes out is, for each class, the number of vectors linked and one
-link of a spanning tree, never the pairs. Pivots are a bounded sample, sqrt(n) * 2 of them up to `most_pivots`; every vector is indexed.
+link of a spanning tree, never the pairs. Pivots are a bounded sample, sqrt(n) * 2 of them up to `most_pivots` (131,072: up to four billion
+vectors lists keep growing with sqrt(n) alone); every vector is indexed.
 """
 
 from __future__ import annotations
 
-
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,13 +44,30 @@ def sound(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def classes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    """(rows: id, node, dim; classes: node, vector, copies). node names equal vectors by 64 bits; it is null where a vector is unsound."""
+def plain(vector: Column) -> Column:
+    """A vector in double precision, without negative zeros, so that equal vectors have equal hashes."""
+    return F.transform(vector.cast("array<double>"), lambda x: x + F.lit(0.0))
+
+
+def classes(vectors: DataFrame, key: str, vector: str, scratch: Scratch, mask: int = -1) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, node, dim; classes: node, vector, dim, copies), written. node names equal vectors; it is null where a vector is unsound.
+
+    Classes are told apart by 128 bits. A node is the first half of them, but for the few classes whose first halves clash, which are
+    named by a hash of both. `mask` cuts the first half, so that tests can make names clash.
+    """
     ok = sound(F.col(vector))
-    rows = vectors.select(F.col(key).alias("id"), F.when(ok, F.col(vector).cast("array<double>")).alias("vector"))
-    rows = rows.select("id", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("node"), "vector")
-    kinds = rows.where("node IS NOT NULL").groupBy("node").agg(F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
-    return rows.select("id", "node", F.size("vector").alias("dim")), kinds
+    rows = vectors.select(F.col(key).alias("id"), F.when(ok, plain(F.col(vector))).alias("vector"))
+    names = [F.when(F.col("vector").isNotNull(), h).alias(n) for n, h in (("node", F.xxhash64("vector").bitwiseAND(F.lit(mask).cast("long"))), ("_name", F.xxhash64("vector", F.lit(1))))]
+    rows = rows.select("id", "vector", F.size("vector").alias("dim"), *names)
+    kinds = scratch.keep(rows.where("node IS NOT NULL").groupBy("node", "_name").agg(F.any_value("vector").alias("vector"), F.any_value("dim").alias("dim"), F.count(F.lit(1)).alias("copies")))
+    rows = rows.select("id", "node", "_name", "dim")
+    clash = kinds.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("_name").alias("_low")).where("_n > 1")
+    if not clash.isEmpty():  # of n vectors about n * n / 2^65 clash: a handful at ten billion
+        other = kinds.select("node", "_name").join(clash, "node").where("_name <> _low").select("node", "_name", F.xxhash64("node", "_name").alias("_other"))
+        other = F.broadcast(scratch.keep(other))
+        rows, kinds = (t.join(other, ["node", "_name"], "left").withColumn("node", F.coalesce("_other", "node")).drop("_other") for t in (rows, kinds))
+        kinds = scratch.keep(kinds)
+    return scratch.keep(rows.drop("_name")), kinds.drop("_name")
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -110,30 +128,29 @@ def _crowd(x: np.ndarray, copies: np.ndarray, second: np.ndarray, cross: bool, l
 
 
 def link_vectors(
-    vectors: DataFrame, least: float = 0.9, prefix: int = 8, shared: int = 2, most_pivots: int = 1 << 14, key: str = "vec_id", vector: str = "embedding"
+    vectors: DataFrame, least: float = 0.9, prefix: int = 8, shared: int = 2, most_pivots: int = 1 << 17, key: str = "vec_id", vector: str = "embedding", mask: int = -1
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors`.
 
-    Cases: vectors that are null, zero or hold null or non-finite components link with nothing and are their own component, as
-    do those of another length than most vectors have; equal vectors are links; repeated rows are vectors each; a null
+    Cases: vectors that are null, zero or hold null or non-finite components link with nothing and are their own component;
+    vectors of different lengths do not link, those of each length are compared among themselves; equal vectors are links; repeated rows are vectors each; a null
     key is never the least of a component and is never kept; an empty table gives no rows; further columns are ignored.
     """
     with Scratch(vectors.sparkSession) as scratch:
-        rows, kinds = classes(vectors, key, vector)
-        rows = scratch.keep(rows)
-        lengths = rows.where("node IS NOT NULL").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-        if lengths is None:
-            return lasting(rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")))
-        dim = lengths["dim"]
-        kinds = scratch.keep(kinds.where(F.size("vector") == dim))
-        found = scratch.keep(_compare(kinds, least, prefix, shared, most_pivots, dim, scratch))
-        counts = scratch.keep(kinds.select("node", "copies").join(found.groupBy("node").agg(F.sum("links").alias("_l")), "node", "left").select("node", (F.coalesce("_l", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-        roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
-        known = rows.join(counts, "node", "left").join(roots, "node", "left").withColumn("_root", F.when(F.col("n_links").isNotNull(), F.coalesce("root", "node")))
-        least_id = known.where("_root IS NOT NULL").groupBy("_root").agg(F.min("id").alias("component_id"))
-        inside = known.where("_root IS NOT NULL").join(least_id, "_root").select("id", "n_links", "component_id")
-        alone = known.where("_root IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-        return lasting(inside.unionByName(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")))
+        rows, kinds = classes(vectors, key, vector, scratch, mask)
+        # an index for each length, which are few; what comes out of all of them is handled together
+        found = [scratch.keep(_compare(kinds.where(F.col("dim") == r["dim"]), least, prefix, shared, most_pivots, r["dim"], scratch)) for r in kinds.select("dim").distinct().orderBy("dim").collect()]
+        links = functools.reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "node long, links long, root long")
+        roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+        counts = kinds.select("node", "copies").join(links.groupBy("node").agg(F.sum("links").alias("_l")), "node", "left").join(roots, "node", "left")
+        counts = scratch.keep(counts.select("node", (F.coalesce("_l", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("_root")))
+        # least keys by class, then by component; classes, not rows, meet on their root
+        keyed = scratch.keep(counts.join(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("_id")), "node"))
+        firsts = keyed.groupBy("_root").agg(F.min("_id").alias("component_id"))
+        named = scratch.keep(keyed.join(firsts, "_root").select("node", "n_links", "component_id"))
+        own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        out = rows.join(named, "node", "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"))
+        return lasting(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))
 
 
 def _compare(kinds: DataFrame, least: float, prefix: int, shared: int, most_pivots: int, dim: int, scratch: Scratch) -> DataFrame:

@@ -81,3 +81,16 @@ def test_query_equals_sql_and_empty_table(spark):
     want = sorted(con.sql(ORACLES["op5_pivot_permutation_links"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["op5_pivot_permutation_links"](spark, ROOT).collect()) == want
     assert neighbours.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("mask", [-1, 3])
+def test_vectors_of_every_length_link_among_themselves(spark, mask):
+    vectors = [[1.0, 2.0, 3.0], [2.0, 4.0, 6.0], [3.0, -1.0, 0.0], [1.0, 2.0], [1.0, 2.0], [-2.0, 1.0], [5.0], [7.0], [-1.0], [0.0, -0.0, 1.0, 0.0], [-0.0, 0.0, 2.0, 0.0], [1.0, 1.0, 1.0]]
+    docs = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.link_vectors(docs, mask=mask).collect()}
+    want = {}
+    for i, v in enumerate(vectors):
+        linked = [j for j, w in enumerate(vectors) if j != i and len(w) == len(v) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9]
+        first = min([i, *linked])  # components of these vectors are cliques but for the last one's
+        want[i] = (len(linked), first, first == i)
+    assert got == want
