@@ -13,6 +13,8 @@ Every shard answers every query block; the answers are merged by exact score.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import Scratch, lasting
-from quern.llm.neighbours import matrix, sound
+from quern.llm.neighbours import classes, matrix, plain, sound
 
 LINKS, EF_BUILD, STEP = 16, 64, 4
 _LONG, _INT = T.LongType(), T.IntegerType()
@@ -166,39 +168,45 @@ def build(x: np.ndarray, seed: int = 0) -> Graph:
 
 
 def search_vectors(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = 96, shard_rows: int = 8192, block_rows: int = 1024, key: str = "vec_id", vector: str = "embedding"
+    vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = 96, shard_rows: int = 8192, block_rows: int = 16384, key: str = "vec_id", vector: str = "embedding", mask: int = -1
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row of `queries` the k rows of `vectors` found with the largest inner products, its own key left out.
+    """query_id, rank, vec_id, score: for every row of `queries`, which are rows of `vectors` too, the k other rows of `vectors` found with the largest inner products.
 
-    Cases: vectors that are null, zero, of another length than most or that hold null or non-finite components take no part, nor do null
-    keys; equal vectors are indexed once and all returned; ties go to the lesser key; with fewer than k candidates all are
-    returned; a query key that repeats is asked once for each distinct vector; an empty table gives no rows; further columns are ignored.
+    Cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of each length are searched among
+    themselves; equal vectors are indexed once and all returned; rows with a query's key but another vector, and further copies of the query's row, are candidates like
+    any other row; null keys are candidates and queries too; ties go to the lesser key, null keys last; with fewer than k candidates all are
+    returned; repeated query rows are answered each; an empty table gives no rows; further columns are ignored.
     """
-    columns = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector")]
-    rows = vectors.where(F.col(key).isNotNull() & sound(F.col(vector))).select(*columns).withColumn("node", F.xxhash64("vector"))
-    lengths = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    result = T.StructType([T.StructField("query_id", vectors.schema[key].dataType), T.StructField("rank", _INT), T.StructField("vec_id", vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
-    if lengths is None:
-        return vectors.sparkSession.createDataFrame([], result)
-    dim = lengths["dim"]
-    rows = rows.where(F.size("vector") == dim)
-    asked = queries.where(F.col(key).isNotNull() & sound(F.col(vector))).select(*columns).where(F.size("vector") == dim).distinct()
+    kind = vectors.schema[key].dataType
+    result = T.StructType([T.StructField("query_id", kind), T.StructField("rank", _INT), T.StructField("vec_id", kind), T.StructField("score", T.DoubleType())])
     with Scratch(vectors.sparkSession) as scratch:
-        # of equal vectors no more than k + 1 keys can matter: the least ones, the query's own among them
-        ids = scratch.keep(rows.select("node", "id").withColumn("_n", F.row_number().over(W.partitionBy("node").orderBy("id"))).where(F.col("_n") <= k + 1).drop("_n"))
-        found = scratch.keep(_nearest(rows, asked, k, ef, shard_rows, block_rows, dim, scratch))
-        best = W.partitionBy("query_id", "_q").orderBy(F.desc("score"), "least")
-        nodes = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
-        each = nodes.join(ids, "node").where(F.col("id") != F.col("query_id"))
-        last = W.partitionBy("query_id", "_q").orderBy(F.desc("score"), "id")
-        return lasting(each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
-
-
-def _nearest(rows: DataFrame, asked: DataFrame, k: int, ef: int, shard_rows: int, block_rows: int, dim: int, scratch: Scratch) -> DataFrame:
-    """query_id, _q (its vector's hash), node, least (the node's least key), score: each shard's k + 1 nearest distinct vectors."""
-    kinds = scratch.keep(rows.groupBy("node").agg(F.any_value("vector").alias("vector"), F.min("id").alias("least")))
+        rows, kinds = classes(vectors, key, vector, scratch, mask)
+        rows = rows.where("node IS NOT NULL")
+        first = rows.groupBy("node").agg(F.min("id").alias("least"))
+        kinds = scratch.keep(kinds.join(first, "node"))
+        asked = queries.where(sound(F.col(vector))).select(F.col(key).alias("id"), plain(F.col(vector)).alias("vector"))
+        asked = asked.groupBy("id", "vector").agg(F.count(F.lit(1)).alias("times"))
+        asked = scratch.keep(asked.withColumn("dim", F.size("vector")).withColumn("_q", F.monotonically_increasing_id()))
+        found = [scratch.keep(_nearest(kinds.where(F.col("dim") == r["dim"]), asked.where(F.col("dim") == r["dim"]), k, ef, shard_rows, block_rows, r["dim"], kind, scratch)) for r in asked.select("dim").distinct().orderBy("dim").collect()]
+        if not found:
+            return vectors.sparkSession.createDataFrame([], result)
+        # of equal vectors no more than k + 1 keys can matter: the least ones, the query's own among them or not
+        order = F.col("id").asc_nulls_last()
+        ids = rows.select("node", "id").withColumn("_n", F.row_number().over(W.partitionBy("node").orderBy(order))).where(F.col("_n") <= k + 1)
+        ids = scratch.keep(ids.withColumn("_copy", F.row_number().over(W.partitionBy("node", "id").orderBy("_n"))).drop("_n"))
+        same = ["query_id", "_q"]
+        best = W.partitionBy(*same).orderBy(F.desc("score"), F.col("least").asc_nulls_last(), "node")
+        nodes = functools.reduce(DataFrame.unionByName, found).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
+        own = (F.col("_copy") == 1) & F.col("own") & F.col("id").eqNullSafe(F.col("query_id"))
+        each = nodes.join(ids, "node").where(~own)
+        last = W.partitionBy(*same).orderBy(F.desc("score"), order)
+        ranked = each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        return lasting(ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
+
+
+def _nearest(kinds: DataFrame, asked: DataFrame, k: int, ef: int, shard_rows: int, block_rows: int, dim: int, key_type: T.DataType, scratch: Scratch) -> DataFrame:
+    """query_id, _q (a query row's name), times, node, least (the node's least key), own (whether it is the query's own vector), score: each shard's k + 1 nearest distinct vectors."""
     shards, blocks = -(-kinds.count() // shard_rows), max(1, -(-asked.count() // block_rows))
-    key_type = rows.schema["id"].dataType
     stored = T.StructType([T.StructField("shard", _INT), T.StructField("node", T.ArrayType(_LONG)), T.StructField("least", T.ArrayType(key_type)), T.StructField("vectors", T.BinaryType()), T.StructField("links", T.ArrayType(T.BinaryType())), T.StructField("entry", _INT)])
 
     def index(table: pa.Table) -> pa.Table:
@@ -212,21 +220,22 @@ def _nearest(rows: DataFrame, asked: DataFrame, k: int, ef: int, shard_rows: int
         )
 
     graphs = scratch.keep(kinds.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(index, stored))
-    block = F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.col("_q"), F.lit(blocks)).cast("int")
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")
-    right = asked.withColumn("block", block).withColumn("_q", F.xxhash64("vector")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1))))).groupBy("shard", "block")
-    out = T.StructType([T.StructField("query_id", key_type), T.StructField("_q", _LONG), T.StructField("node", _LONG), T.StructField("least", key_type), T.StructField("score", T.DoubleType())])
+    right = asked.select("id", "vector", "times", "_q").withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1))))).groupBy("shard", "block")
+    out = T.StructType([T.StructField("query_id", key_type), T.StructField("_q", _LONG), T.StructField("times", _LONG), T.StructField("node", _LONG), T.StructField("least", key_type), T.StructField("own", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def answer(graphs: pa.Table, asked: pa.Table) -> pa.Table:
         asked, graphs = asked.combine_chunks(), graphs.combine_chunks()
         if not len(graphs) or not len(asked):
-            return pa.table([pa.array([], f) for f in (asked.schema.field("id").type, pa.int64(), pa.int64(), asked.schema.field("id").type, pa.float64())], names=out.names)
+            kind = asked.schema.field("id").type
+            return pa.table([pa.array([], f) for f in (kind, pa.int64(), pa.int64(), pa.int64(), kind, pa.bool_(), pa.float64())], names=out.names)
         x = np.frombuffer(graphs.column("vectors")[0].as_py()).reshape(-1, dim)
         layers = [np.frombuffer(b, np.int32).reshape(len(x), -1) for b in graphs.column("links")[0].as_py()]
         graph = Graph(_longer(x), layers, graphs.column("entry")[0].as_py())
         q = matrix(asked.column("vector").combine_chunks(), dim)
         wide, most = max(ef, k + 1), min(k + 1, len(x))
-        owner, nodes, scores = [], [], []
+        owner, nodes, same, scores = [], [], [], []
         for lo in range(0, len(q), 256):
             own = q[lo : lo + 256]
             ids, _ = graph.search(np.concatenate((own, np.zeros((len(own), 1))), 1).astype(np.float32), wide)
@@ -236,10 +245,11 @@ def _nearest(rows: DataFrame, asked: DataFrame, k: int, ef: int, shard_rows: int
             r, c = np.nonzero(ids >= 0)
             owner.append(r + lo)
             nodes.append(ids[r, c])
+            same.append((x[ids[r, c]] == own[r]).all(axis=1))
             scores.append(exact[r, c])
         owner, at = pa.array(np.concatenate(owner)), pa.array(np.concatenate(nodes))
         flat = [graphs.column(c).combine_chunks().flatten().take(at) for c in ("node", "least")]
-        return pa.table([asked.column("id").take(owner), asked.column("_q").take(owner), *flat, pa.array(np.concatenate(scores))], names=out.names)
+        return pa.table([*(asked.column(c).take(owner) for c in ("id", "_q", "times")), *flat, pa.array(np.concatenate(same)), pa.array(np.concatenate(scores))], names=out.names)
 
     return left.cogroup(right).applyInArrow(answer, out)
 

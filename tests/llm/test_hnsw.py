@@ -2,6 +2,7 @@ import collections
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from quern.llm import hnsw
 from quern.llm.queries import QUERIES
@@ -52,13 +53,30 @@ def test_shards_clusters_copies_and_lengths(spark):
     assert [r.vec_id for r in sorted(out) if r.query_id == 1500] == [j for _, j in want[1500]]
 
 
-def test_odd_rows(spark):
+def sound(v):
+    return v is not None and all(e is not None and np.isfinite(e) for e in v) and any(v)
+
+
+def row_by_row(rows, asked, k):
+    """What the query rows (indices) should get, as sorted (query, rank, key, score)."""
+    out = []
+    for i in asked:
+        q, v = rows[i]
+        if sound(v):
+            found = [(-sum(a * b for a, b in zip(v, w, strict=True)), key is None, key or 0) for j, (key, w) in enumerate(rows) if j != i and sound(w) and len(w) == len(v)]
+            out += [(q, n + 1, None if none else key, -score) for n, (score, none, key) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("k, mask", [(3, -1), (20, -1), (2, 1)])
+def test_odd_rows(spark, k, mask):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 2.0]), (8, [1.0, None]), (9, [1.0, 0.0])]
-    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    out = [(r.query_id, r.rank, r.vec_id, r.score) for r in hnsw.search_vectors(docs, docs, k=3).collect()]
-    assert {r[0] for r in out} == {1, 2, 3, 9}
-    assert sorted(r[1:] for r in out if r[0] == 1) == [(1, 3, 1.0), (2, 3, 1.0), (3, 9, 1.0)]
-    assert sorted(r[1:] for r in out if r[0] == 3) == [(1, 1, 1.0), (2, 2, 1.0), (3, 9, 1.0)]
+    rows += [(0, [3.0, 1.0]), (0, [3.0, 1.0]), (0, [2.0, 5.0]), (10, [1.0, 2.0, 3.0]), (11, [1.0, 2.0, 3.0]), (12, [0.5, 0.5, 0.5]), (None, [1.0, 2.0]), (13, [-0.0, 1.0])]
+    docs = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, embedding array<float>, rank int, node string").repartition(3)
+    out = hnsw.search_vectors(docs, docs, k=k, mask=mask).collect()
+    assert sorted(map(tuple, out), key=str) == row_by_row(rows, range(len(rows)), k)
+    some = hnsw.search_vectors(docs, docs.where("vec_id % 2 = 0"), k=k, mask=mask).collect()
+    assert sorted(map(tuple, some), key=str) == row_by_row(rows, [i for i, r in enumerate(rows) if r[0] is not None and r[0] % 2 == 0], k)
     assert hnsw.search_vectors(docs.limit(0), docs.limit(0)).count() == 0 == hnsw.search_vectors(docs, docs.limit(0)).count()
 
 
