@@ -90,7 +90,7 @@ class Layout:
         tail = np.arange(HEAD, max(HEAD, min(len(kind), SAID)))
         self.words = tail[np.argsort(kind[tail], kind="stable")]  # by class
         self.first = np.searchsorted(kind[self.words], np.arange(TAIL + 1))
-        self.log_counts = np.log(known.counts[:SAID] + 1.0).astype(np.float32)
+        self.counts = (known.counts[:SAID] + 1).astype(np.float32)
         self.steps = np.concatenate(([0.0], np.cumsum(known.counts[self.words] + 1.0)))
 
 
@@ -189,30 +189,29 @@ class Bilinear:
     def log_chances(self, tokens: np.ndarray, places: np.ndarray, layout: Layout, rest: np.ndarray) -> np.ndarray:
         """Natural log probability of each token at `places`, but for the log of its count plus one if it is of a tail class."""
         one, two, out, word = self.vectors
-        total = np.empty(len(places))
+        total, steep = np.empty(len(places)), max(float(np.sqrt(np.einsum("ij,ij->i", v, v).max())) for v in (out, word))
+        out = np.concatenate((out, self.bias[:, None]), axis=1)
         for lo in range(0, len(places), 1 << 15):
             place = places[lo : lo + (1 << 15)]
             x, t = tokens[place - 1], tokens[place]
             c = layout.classes[t]
             h = one[x] + two[np.where(x == START, START, tokens[place - 2])]
-            mine = np.einsum("ij,ij->i", h, out[c]) + self.bias[c]
-            for a in range(0, len(place), 1 << 12):
-                energy = h[a : a + (1 << 12)] @ out.T
-                energy += self.bias
-                top = energy.max(axis=1)
-                energy -= top[:, None]
-                np.exp(energy, out=energy)
-                mine[a : a + (1 << 12)] -= np.log(energy.sum(axis=1)) + top
+            # sums of exponentials as they are: exact enough in single precision below this bound, in double precision beyond
+            kind = np.float32 if steep * float(np.sqrt(np.einsum("ij,ij->i", h, h).max())) + np.abs(self.bias).max() < 60 else np.float64
+            h = np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1).astype(kind, copy=False)
+            mine = np.einsum("ij,ij->i", h, out[c]).astype(np.float64)
+            for a in range(0, len(place), 1 << 11):
+                energy = h[a : a + (1 << 11)] @ out.T
+                mine[a : a + (1 << 11)] -= np.log(np.exp(energy, out=energy).sum(axis=1))
+            h = h[:, :-1]
             tail = np.flatnonzero((c >= HEAD) & (c < _END))
             tail = tail[np.argsort(c[tail], kind="stable")]
             cuts = np.searchsorted(c[tail] - HEAD, np.arange(TAIL + 1))
+            inner = h[tail]
             for k in np.flatnonzero(np.diff(cuts)):
-                rows, words = tail[cuts[k] : cuts[k + 1]], layout.words[layout.first[k] : layout.first[k + 1]]
-                energy = h[rows] @ word[words].T
-                top = np.maximum(energy.max(axis=1, initial=0), 0)
-                energy += layout.log_counts[words] - top[:, None]
-                np.exp(energy, out=energy)
-                mine[rows] -= np.log(energy.sum(axis=1) + rest[k] * np.exp(-top)) + top
+                words = layout.words[layout.first[k] : layout.first[k + 1]]
+                energy = inner[cuts[k] : cuts[k + 1]] @ word[words].T
+                mine[tail[cuts[k] : cuts[k + 1]]] -= np.log(np.exp(energy, out=energy) @ layout.counts[words].astype(kind, copy=False) + rest[k])
             said = tail[t[tail] < SAID]
             mine[said] += np.einsum("ij,ij->i", h[said], word[t[said]])
             total[lo : lo + len(place)] = mine
