@@ -65,17 +65,21 @@ class Vocabulary:
     rest: np.ndarray  # of each tail class: counts + 1 of the words without output vectors, and 1 for all unseen ones
 
     @functools.cached_property
-    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         by = np.argsort(self.hashes)
-        return by, self.hashes[by]
+        known = np.append(self.hashes[by], np.uint64(2**64 - 1))  # so that every search ends
+        return np.append(by, -1), known, np.searchsorted(known, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 if it is not in the table."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        by, known = self._sorted
-        at = np.searchsorted(known, hashes)
-        at[at == len(known)] = 0
+        by, known, first = self._sorted
+        at = first[(hashes >> np.uint64(44)).astype(np.int64)]  # where the words with the same upper bits begin; few share them
+        late = np.flatnonzero(known[at] < hashes)
+        while len(late):
+            at[late] += 1
+            late = late[known[at[late]] < hashes[late]]
         return np.where(known[at] == hashes, by[at], -1)
 
 
@@ -90,6 +94,8 @@ class Layout:
         tail = np.arange(HEAD, max(HEAD, min(len(kind), SAID)))
         self.words = tail[np.argsort(kind[tail], kind="stable")]  # by class
         self.first = np.searchsorted(kind[self.words], np.arange(TAIL + 1))
+        self.places = np.full(CONTEXTS, -1)  # of each word with an output vector, within its class
+        self.places[self.words] = np.arange(len(self.words)) - np.repeat(self.first[:-1], np.diff(self.first))
         self.counts = (known.counts[:SAID] + 1).astype(np.float32)
         self.steps = np.concatenate(([0.0], np.cumsum(known.counts[self.words] + 1.0)))
 
@@ -158,9 +164,10 @@ class Bilinear:
             c = layout.classes[t]
             h = one[x] + two[y]
             drawn = np.minimum(np.searchsorted(steps, rng.random(NOISE) * steps[-1]), CLASSES - 1)
-            real = _sigmoid(log_noise[c] - np.einsum("ij,ij->i", h, out[c]) - self.bias[c])
-            fake = -_sigmoid(h @ out[drawn].T + (self.bias - log_noise)[drawn])
-            d_h = real[:, None] * out[c] + fake @ out[drawn]
+            mine, theirs = out[c], out[drawn]
+            real = _sigmoid(log_noise[c] - np.einsum("ij,ij->i", h, mine) - self.bias[c])
+            fake = -_sigmoid(h @ theirs.T + (self.bias - log_noise)[drawn])
+            d_h = real[:, None] * mine + fake @ theirs
             tail = np.flatnonzero((c >= HEAD) & (t < SAID))
             if len(tail):
                 kind = c[tail] - HEAD
@@ -168,16 +175,17 @@ class Bilinear:
                 kind = c[tail] - HEAD
                 n = np.bincount(kind, minlength=TAIL)
                 column = np.arange(len(tail)) - (np.cumsum(n) - n)[kind]
-                own, said = np.zeros((TAIL, n.max(), DIMENSIONS), np.float32), t[tail]
-                own[kind, column] = h[tail]
+                own, said, inner = np.zeros((TAIL, n.max(), DIMENSIONS), np.float32), t[tail], h[tail]
+                own[kind, column] = inner
+                mine = word[said]
                 at = np.searchsorted(layout.steps, mass[:-1, None] + rng.random((TAIL, WITHIN)) * np.diff(mass)[:, None], side="right") - 1
                 other = layout.words[np.clip(at, 0, len(layout.words) - 1)]  # words of each class by their counts
                 vectors = word[other]
-                win = _sigmoid(log_within - np.einsum("ij,ij->i", h[tail], word[said]))
+                win = _sigmoid(log_within - np.einsum("ij,ij->i", inner, mine))
                 lose = -_sigmoid(own @ vectors.transpose(0, 2, 1) - log_within) * (np.arange(n.max()) < n[:, None])[:, :, None]
-                d_h[tail] += win[:, None] * word[said] + (lose @ vectors)[kind, column]
+                d_h[tail] += win[:, None] * mine + (lose @ vectors)[kind, column]
                 used = np.flatnonzero(np.repeat(n > 0, WITHIN))
-                self._add(3, np.concatenate((said, other.ravel()[used])), np.concatenate((win[:, None] * h[tail], (lose.transpose(0, 2, 1) @ own).reshape(-1, DIMENSIONS)[used])), rates[3])
+                self._add(3, np.concatenate((said, other.ravel()[used])), np.concatenate((win[:, None] * inner, (lose.transpose(0, 2, 1) @ own).reshape(-1, DIMENSIONS)[used])), rates[3])
             at, gain = np.concatenate((c, drawn)), np.concatenate((real, fake.sum(axis=0)))
             self._add(0, x, d_h, rates[0])
             self._add(1, y, d_h, rates[1])
@@ -191,29 +199,31 @@ class Bilinear:
         one, two, out, word = self.vectors
         total, steep = np.empty(len(places)), max(float(np.sqrt(np.einsum("ij,ij->i", v, v).max())) for v in (out, word))
         out = np.concatenate((out, self.bias[:, None]), axis=1)
-        for lo in range(0, len(places), 1 << 15):
-            place = places[lo : lo + (1 << 15)]
+        for lo in range(0, len(places), 1 << 17):
+            place = places[lo : lo + (1 << 17)]
             x, t = tokens[place - 1], tokens[place]
             c = layout.classes[t]
             h = one[x] + two[np.where(x == START, START, tokens[place - 2])]
             # sums of exponentials as they are: exact enough in single precision below this bound, in double precision beyond
             kind = np.float32 if steep * float(np.sqrt(np.einsum("ij,ij->i", h, h).max())) + np.abs(self.bias).max() < 60 else np.float64
             h = np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1).astype(kind, copy=False)
-            mine = np.einsum("ij,ij->i", h, out[c]).astype(np.float64)
-            for a in range(0, len(place), 1 << 11):
-                energy = h[a : a + (1 << 11)] @ out.T
-                mine[a : a + (1 << 11)] -= np.log(np.exp(energy, out=energy).sum(axis=1))
+            mine = np.empty(len(place))
+            for a in range(0, len(place), 1 << 10):
+                energy = h[a : a + (1 << 10)] @ out.T
+                own = energy[np.arange(len(energy)), c[a : a + (1 << 10)]]
+                mine[a : a + (1 << 10)] = own - np.log(np.exp(energy, out=energy).sum(axis=1))
             h = h[:, :-1]
             tail = np.flatnonzero((c >= HEAD) & (c < _END))
             tail = tail[np.argsort(c[tail], kind="stable")]
             cuts = np.searchsorted(c[tail] - HEAD, np.arange(TAIL + 1))
-            inner = h[tail]
+            inner, at = h[tail], layout.places[t[tail]]
             for k in np.flatnonzero(np.diff(cuts)):
                 words = layout.words[layout.first[k] : layout.first[k + 1]]
-                energy = inner[cuts[k] : cuts[k + 1]] @ word[words].T
-                mine[tail[cuts[k] : cuts[k + 1]]] -= np.log(np.exp(energy, out=energy) @ layout.counts[words].astype(kind, copy=False) + rest[k])
-            said = tail[t[tail] < SAID]
-            mine[said] += np.einsum("ij,ij->i", h[said], word[t[said]])
+                some = slice(cuts[k], cuts[k + 1])
+                energy = inner[some] @ word[words].T
+                said = np.flatnonzero(at[some] >= 0)
+                mine[tail[some][said]] += energy[said, at[some][said]]
+                mine[tail[some]] -= np.log(np.exp(energy, out=energy) @ layout.counts[words].astype(kind, copy=False) + rest[k])
             total[lo : lo + len(place)] = mine
         return total
 
