@@ -95,7 +95,8 @@ def test_layout_changes_nothing(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet").limit(200)
     docs = docs.unionByName(docs.limit(3)).cache()
     few, many = ({(r.doc_id, r.n_tokens): r.score for r in L.score_language(d, block=10_000).collect()} for d in (docs.coalesce(1), docs.orderBy("text").repartition(11)))
-    assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], rel=1e-9) for k in few)
+    worst = max(abs(few[k] / many[k] - 1) for k in few)
+    assert few.keys() == many.keys() and worst < 1e-6  # what single precision leaves
 
 
 def test_pieces_of_a_long_text_hold_each_token_once(spark, monkeypatch):
