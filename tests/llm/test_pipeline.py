@@ -43,3 +43,21 @@ def test_it_is_registered():
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, ROOT).count() > 0
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path):
+    extra = "_size long, _n int, _k string, _key int, _t1 double, c0 string"
+    rows = [(i, f"word{i % 7} and more text of document {i} " * 9, "en", f"s{i % 3}", 9, i, 1, "k", 2, 0.5, None) for i in range(40)]
+    rows += [(None, None, None, None, None, 1, 1, "k", 2, 0.5, "x"), (50, "", "en", None, 0, 2, 1, "k", 2, 0.5, "x"), (51, " \n", None, "s1", 2, 3, 1, None, 2, 0.5, "x"), rows[3]]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    for name, docs in (("odd", spark.createDataFrame(rows, schema)), ("none", spark.createDataFrame([], schema))):
+        for stage, function in corpus_pipeline.STAGES:  # each on all of them, whatever the one before would keep
+            function(spark, docs, ROOT).write.parquet(f"{tmp_path}/{name}-{stage}")
+            out = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            kept = out.collect()
+            if stage != "packing":
+                assert out.columns == docs.columns and all((r._n, r._key, r._t1) == (1, 2, 0.5) for r in kept)
+            if name == "none" or stage != "quality":
+                assert bool(kept) == (name == "odd")
+            if stage == "substrings":
+                assert len(kept) == docs.count() and sum(r.text is None for r in kept) == (name == "odd")
