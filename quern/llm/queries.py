@@ -144,5 +144,56 @@ def op10_small_world_search(spark: SparkSession, root: str) -> DataFrame:
     return search_vectors(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op5_pivot_permutation_links, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join, op10_small_world_search)}
-ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op5_pivot_permutation_links": OP5_SQL, "op9_token_combination_join": OP9_SQL}
+#: Steps in order, and the kind that ends an attempt.
+FUNNELS = {
+    "A": (("view", "click", "view", "purchase"), "error"),
+    "B": (("signup", "view", "click", "purchase"), "error"),
+    "C": (("click", "click", "purchase", "view"), "signup"),
+}
+
+
+def op12_backward_fill_funnels(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.funnels import count_funnels
+
+    return count_funnels(table(spark, root, "clicks"), FUNNELS)
+
+
+#: Each row's next row of every kind by a range frame; steps follow these, one join for each.
+OP12_SQL = """
+WITH steps_of AS (
+  SELECT DISTINCT client_id, kind, ts FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL
+), nexts AS (
+  SELECT *,
+    min(CASE WHEN kind = 'view' THEN ts END) OVER w AS view, min(CASE WHEN kind = 'click' THEN ts END) OVER w AS click,
+    min(CASE WHEN kind = 'purchase' THEN ts END) OVER w AS purchase, min(CASE WHEN kind = 'error' THEN ts END) OVER w AS error, min(CASE WHEN kind = 'signup' THEN ts END) OVER w AS signup
+  FROM steps_of WINDOW w AS (PARTITION BY client_id ORDER BY ts RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND UNBOUNDED FOLLOWING)
+), funnels(funnel, k1, k2, k3, k4, out) AS (
+  VALUES ('A', 'view', 'click', 'view', 'purchase', 'error'), ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')
+), moves AS (
+  SELECT client_id, kind, ts, f.funnel, f.out, k.step,
+    CASE k.next WHEN 'view' THEN view WHEN 'click' THEN click WHEN 'purchase' THEN purchase END AS reached,
+    CASE f.out WHEN 'error' THEN error WHEN 'signup' THEN signup END AS bad
+  FROM nexts JOIN funnels f ON true JOIN LATERAL (VALUES (2, f.k1, f.k2), (3, f.k2, f.k3), (4, f.k3, f.k4)) k(step, own, next) ON k.own = nexts.kind
+), good AS (
+  SELECT client_id, funnel, step, ts, reached FROM moves WHERE reached <= ts + INTERVAL 15 MINUTES AND (bad IS NULL OR bad > reached)
+), attempts AS (
+  SELECT f.funnel, r.client_id, r.ts AS a1, s2.reached AS a2, s3.reached AS a3, s4.reached AS a4
+  FROM steps_of r JOIN funnels f ON r.kind = f.k1
+  LEFT JOIN good s2 ON s2.client_id = r.client_id AND s2.funnel = f.funnel AND s2.step = 2 AND s2.ts = r.ts
+  LEFT JOIN good s3 ON s3.client_id = r.client_id AND s3.funnel = f.funnel AND s3.step = 3 AND s3.ts = s2.reached
+  LEFT JOIN good s4 ON s4.client_id = r.client_id AND s4.funnel = f.funnel AND s4.step = 4 AND s4.ts = s3.reached
+), counted AS (
+  SELECT funnel, client_id, count(*) AS n1, count(a2) AS n2, count(a3) AS n3, count(a4) AS n4,
+    list_sort(list(date_diff('microsecond', a1, a2)) FILTER (WHERE a2 IS NOT NULL))[(count(a2) + 1) // 2] AS t2,
+    list_sort(list(date_diff('microsecond', a2, a3)) FILTER (WHERE a3 IS NOT NULL))[(count(a3) + 1) // 2] AS t3,
+    list_sort(list(date_diff('microsecond', a3, a4)) FILTER (WHERE a4 IS NOT NULL))[(count(a4) + 1) // 2] AS t4
+  FROM attempts GROUP BY funnel, client_id
+), deep AS (
+  SELECT *, CAST(CASE WHEN n4 > 0 THEN 4 WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END AS INTEGER) AS deepest FROM counted
+)
+SELECT funnel, client_id, n1, n2, n3, n4, deepest, t2, t3, t4, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM deep
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op5_pivot_permutation_links, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join, op10_small_world_search, op12_backward_fill_funnels)}
+ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op5_pivot_permutation_links": OP5_SQL, "op9_token_combination_join": OP9_SQL, "op12_backward_fill_funnels": OP12_SQL}
