@@ -195,5 +195,51 @@ SELECT funnel, client_id, n1, n2, n3, n4, deepest, t2, t3, t4, count(*) OVER (PA
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op5_pivot_permutation_links, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join, op10_small_world_search, op12_backward_fill_funnels)}
-ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op5_pivot_permutation_links": OP5_SQL, "op9_token_combination_join": OP9_SQL, "op12_backward_fill_funnels": OP12_SQL}
+def op13_anagram_spelling_groups(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.spelling import spelling_groups
+
+    return spelling_groups(table(spark, root, "documents"))
+
+
+#: crc32 byte by byte from its table; near words by equal rests after one deletion at one place.
+OP13_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (
+  SELECT run, count(*) AS c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run
+), remainders AS (
+  SELECT list(r ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS r FROM range(256) b(i))
+), coded AS (
+  SELECT run, c, hex(encode(name)) AS x FROM counted
+), hashed AS (
+  SELECT run, c, xor(list_reduce(list_concat([4294967295], list_transform(range(len(x) // 2), lambda i: 16 * instr('0123456789ABCDEF', x[2 * i + 1]) + instr('0123456789ABCDEF', x[2 * i + 2]) - 17)),
+    lambda a, b: xor(a >> 8, t[CAST(xor(a % 256, b) AS BIGINT) + 1])), 4294967295) AS h
+  FROM coded, remainders
+), garbled AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM hashed
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM garbled WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), rests AS (
+  SELECT word, place, substr(word, 1, place) || substr(word, place + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS place FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other FROM rests a JOIN rests b ON a.place = b.place AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT r.word, w.word FROM rests r JOIN words w ON w.word = r.rest
+  UNION SELECT w.word, r.word FROM rests r JOIN words w ON w.word = r.rest
+), ranked AS (
+  SELECT p.word, p.other, o.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, encode(p.other)) AS place
+  FROM pairs p JOIN words o ON o.word = p.other
+), forms AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 2 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 2 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+), ways(word, root, step) AS (
+  SELECT word, word, 0 FROM forms UNION ALL SELECT ways.word, forms.form, ways.step + 1 FROM ways JOIN forms ON forms.word = ways.root WHERE forms.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(root, step) AS root FROM ways GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op5_pivot_permutation_links, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join, op10_small_world_search, op12_backward_fill_funnels, op13_anagram_spelling_groups)}
+ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op5_pivot_permutation_links": OP5_SQL, "op9_token_combination_join": OP9_SQL, "op12_backward_fill_funnels": OP12_SQL, "op13_anagram_spelling_groups": OP13_SQL}
