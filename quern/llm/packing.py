@@ -47,6 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.size = self.tokenizer.get_vocab_size()
         self.words: dict[str, bytes] = {}
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 

@@ -144,6 +144,12 @@ def op10_small_world_search(spark: SparkSession, root: str) -> DataFrame:
     return search_vectors(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_deficit_round_robin_packing(spark: SparkSession, root: str) -> DataFrame:
+    from quern.llm.proportions import pack_mixture
+
+    return pack_mixture(table(spark, root, "documents"))
+
+
 #: Steps in order, and the kind that ends an attempt.
 FUNNELS = {
     "A": (("view", "click", "view", "purchase"), "error"),
@@ -241,5 +247,5 @@ SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op5_pivot_permutation_links, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join, op10_small_world_search, op12_backward_fill_funnels, op13_anagram_spelling_groups)}
+QUERIES = {f.__name__: f for f in (op1_suffix_automaton_dedup, op2_log_bilinear_scores, op3_html_main_text, op4_best_fit_packing, op5_pivot_permutation_links, op6_nbsvm_quality, op7_jump_sharding, op8_pivotal_mixing, op9_token_combination_join, op10_small_world_search, op11_deficit_round_robin_packing, op12_backward_fill_funnels, op13_anagram_spelling_groups)}
 ORACLES: dict[str, str] = {"op1_suffix_automaton_dedup": OP1_SQL, "op5_pivot_permutation_links": OP5_SQL, "op9_token_combination_join": OP9_SQL, "op12_backward_fill_funnels": OP12_SQL, "op13_anagram_spelling_groups": OP13_SQL}
