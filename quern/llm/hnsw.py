@@ -1,13 +1,15 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard.
 
-Shards hold up to `shard_rows` distinct vectors, dealt by hash. A graph is a few flat
-arrays: vectors, levels, and for each layer a fixed number of neighbours for every node. It
+Vectors are parted into rings by length, RINGS to a doubling, and rings into shards of up to `shard_rows` distinct vectors,
+dealt by hash; so lengths within a shard hardly differ, and vectors of odd length have shards of their own. A shard's graph
+links directions: a few flat arrays, levels, and for each layer a fixed number of neighbours for every node. It
 is built in batches: a batch searches the graph as it stands and itself, takes neighbours
 that are closer to it than to each other, and is linked back, full lists being thinned by the
 same rule. Searches run in lock-step too: a beam for each query, all
 beams expanded by one matrix operation at a time.
 
-Largest inner products become smallest distances by one coordinate more, sqrt(max |x|^2 - |x|^2), 0 for queries.
+A query walks the graph by inner product, its own length and the shard's largest taken out, so no scale is too large or
+small for single precision. What it finds is scored exactly; a query that finds too few in a shard is compared with all of that shard.
 Every shard answers every query block; the answers are merged by exact score.
 """
 
@@ -17,27 +19,32 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import Scratch, lasting
-from quern.llm.neighbours import classes, matrix, plain, sound
+from quern.llm.neighbours import classes, matrix, plain, sound, unit
 
 LINKS, EF_BUILD, STEP = 16, 64, 4
+#: Rings of lengths to a doubling.
+RINGS = 4
 _LONG, _INT = T.LongType(), T.IntegerType()
 
 
 class Graph:
-    """x: vectors; layers: for each level from 0 the neighbours of every node, -1 where there is none; entry: a node of the top layer."""
+    """x: vectors; layers: for each level from 0 the neighbours of every node, -1 where there is none; entry: a node of the top layer.
 
-    def __init__(self, x: np.ndarray, layers: list[np.ndarray], entry: int):
+    Near is a small distance or, with `inner`, a large inner product.
+    """
+
+    def __init__(self, x: np.ndarray, layers: list[np.ndarray], entry: int, inner: bool = False):
         self.x, self.layers, self.entry = x, layers, entry
-        self.norms = np.einsum("ij,ij->i", x, x)
+        self.norms = np.zeros(len(x), x.dtype) if inner else np.einsum("ij,ij->i", x, x)
 
     def distances(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Squared distances of each query to its ids, less the query's own norm."""
+        """Squared distances of each query to its ids, less the query's own norm; or -2 times the inner products."""
         return self.norms[ids] - 2 * np.einsum("ijk,ik->ij", self.x[ids], q)
 
     def beam(self, q: np.ndarray, entry: np.ndarray, level: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +175,11 @@ def build(x: np.ndarray, seed: int = 0) -> Graph:
 
 
 def search_vectors(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = 96, shard_rows: int = 8192, block_rows: int = 16384, key: str = "vec_id", vector: str = "embedding", mask: int = -1
+    vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = 128, shard_rows: int = 8192, block_rows: int = 16384, key: str = "vec_id", vector: str = "embedding", mask: int = -1
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of `queries`, which are rows of `vectors` too, the k other rows of `vectors` found with the largest inner products.
 
-    Cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of each length are searched among
+    Cases: vectors that are null, zero or hold null or non-finite components take no part, all others do, however long or short they are; vectors of each dimension are searched among
     themselves; equal vectors are indexed once and all returned; rows with a query's key but another vector, and further copies of the query's row, are candidates like
     any other row; null keys are candidates and queries too; ties go to the lesser key, null keys last; with fewer than k candidates all are
     returned; repeated query rows are answered each; an empty table gives no rows; further columns are ignored.
@@ -206,20 +213,25 @@ def search_vectors(
 
 def _nearest(kinds: DataFrame, asked: DataFrame, k: int, ef: int, shard_rows: int, block_rows: int, dim: int, key_type: T.DataType, scratch: Scratch) -> DataFrame:
     """query_id, _q (a query row's name), times, node, least (the node's least key), own (whether it is the query's own vector), score: each shard's k + 1 nearest distinct vectors."""
-    shards, blocks = -(-kinds.count() // shard_rows), max(1, -(-asked.count() // block_rows))
+    kinds = kinds.withColumn("most", F.array_max(F.transform("vector", F.abs))).withColumn("ring", _ring(F.col("vector"), F.col("most")))
+    sizes = {r["ring"]: -(-r["n"] // shard_rows) for r in kinds.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).orderBy("ring").collect()}  # rows by exponents of doubles: 8,600 at most
+    shards, blocks = sum(sizes.values()), max(1, -(-asked.count() // block_rows))
+    firsts = [(ring, sum(list(sizes.values())[:i]), n) for i, (ring, n) in enumerate(sizes.items())]
+    dealt = kinds.join(F.broadcast(kinds.sparkSession.createDataFrame(firsts, "ring int, first int, n int")), "ring")
+    dealt = dealt.withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("n"))).cast("int")).drop("ring", "most", "first", "n")
     stored = T.StructType([T.StructField("shard", _INT), T.StructField("node", T.ArrayType(_LONG)), T.StructField("least", T.ArrayType(key_type)), T.StructField("vectors", T.BinaryType()), T.StructField("links", T.ArrayType(T.BinaryType())), T.StructField("entry", _INT)])
 
     def index(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("node")  # the same graph whenever the shard is built again
         x = matrix(table.column("vector").combine_chunks(), dim)
-        graph = build(_longer(x))
+        graph = build(unit(x).astype(np.float32))
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         return pa.table(
             [table.column("shard").slice(0, 1).cast(pa.int32()), one(table.column("node").combine_chunks()), one(table.column("least").combine_chunks()), pa.array([x.tobytes()], pa.binary()), pa.array([[a.tobytes() for a in graph.layers]], pa.list_(pa.binary())), pa.array([graph.entry], pa.int32())],
             names=stored.names,
         )
 
-    graphs = scratch.keep(kinds.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(index, stored))
+    graphs = scratch.keep(dealt.groupBy("shard").applyInArrow(index, stored))
     block = F.pmod(F.col("_q"), F.lit(blocks)).cast("int")
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")
     right = asked.select("id", "vector", "times", "_q").withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1))))).groupBy("shard", "block")
@@ -232,13 +244,17 @@ def _nearest(kinds: DataFrame, asked: DataFrame, k: int, ef: int, shard_rows: in
             return pa.table([pa.array([], f) for f in (kind, pa.int64(), pa.int64(), pa.int64(), kind, pa.bool_(), pa.float64())], names=out.names)
         x = np.frombuffer(graphs.column("vectors")[0].as_py()).reshape(-1, dim)
         layers = [np.frombuffer(b, np.int32).reshape(len(x), -1) for b in graphs.column("links")[0].as_py()]
-        graph = Graph(_longer(x), layers, graphs.column("entry")[0].as_py())
+        graph = Graph(_scaled(x), layers, graphs.column("entry")[0].as_py(), inner=True)
         q = matrix(asked.column("vector").combine_chunks(), dim)
         wide, most = max(ef, k + 1), min(k + 1, len(x))
         owner, nodes, same, scores = [], [], [], []
         for lo in range(0, len(q), 256):
             own = q[lo : lo + 256]
-            ids, _ = graph.search(np.concatenate((own, np.zeros((len(own), 1))), 1).astype(np.float32), wide)
+            ids, _ = graph.search(unit(own).astype(np.float32), wide)
+            few = np.flatnonzero((ids >= 0).sum(axis=1) < most)
+            if len(few):
+                ids[few] = -1
+                ids[few, :most] = np.argpartition(-(unit(own[few]) @ graph.x.astype(np.float64).T), most - 1, axis=1)[:, :most]
             exact = np.where(ids >= 0, (x[np.maximum(ids, 0)] * own[:, None, :]).sum(axis=2), -np.inf)
             order = np.argsort(-exact, axis=1, kind="stable")[:, :most]
             ids, exact = np.take_along_axis(ids, order, 1), np.take_along_axis(exact, order, 1)
@@ -254,6 +270,14 @@ def _nearest(kinds: DataFrame, asked: DataFrame, k: int, ef: int, shard_rows: in
     return left.cogroup(right).applyInArrow(answer, out)
 
 
-def _longer(x: np.ndarray) -> np.ndarray:
-    squares = (x * x).sum(axis=1)
-    return np.concatenate((x, np.sqrt(squares.max() - squares)[:, None]), axis=1).astype(np.float32)
+def _ring(vector: Column, most: Column) -> Column:
+    """A vector's ring by the logarithm of its length, in which no square overflows or vanishes; length 1 lies inside a ring. most: its largest component."""
+    squares = F.aggregate(vector, F.lit(0.0), lambda sum_, x: sum_ + (x / most) * (x / most))
+    return F.floor((F.log2(most) + F.log2(squares) / 2) * RINGS + F.lit(0.5)).cast("int")
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors over the length of the longest, in single precision."""
+    most = np.abs(x).max(axis=1)
+    length = np.log2(most) + np.log2(((x / most[:, None]) ** 2).sum(axis=1)) / 2
+    return (unit(x) * np.exp2(length - length.max())[:, None]).astype(np.float32)

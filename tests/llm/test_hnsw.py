@@ -53,6 +53,34 @@ def test_shards_clusters_copies_and_lengths(spark):
     assert [r.vec_id for r in sorted(out) if r.query_id == 1500] == [j for _, j in want[1500]]
 
 
+@pytest.mark.parametrize("case", ["lognormal 0.5", "lognormal 1", "outlier", "tiny", "huge", "spread"])
+def test_recall_whatever_the_lengths(spark, case):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2048, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if case == "outlier":
+        x[17] *= 10_000
+    x *= {"lognormal 0.5": np.exp(0.5 * rng.normal(size=(2048, 1))), "lognormal 1": np.exp(rng.normal(size=(2048, 1))), "tiny": 1e-25, "huge": 1e20, "spread": 10.0 ** rng.uniform(-150, 140, (2048, 1))}.get(case, 1.0)
+    ids = list(range(2048))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    out = hnsw.search_vectors(docs, docs.where("vec_id % 20 = 0")).collect()
+    got = collections.defaultdict(set)
+    for r in out:
+        got[r.query_id].add(r.vec_id)
+    want = {a: {j for _, j in best} for a, best in brute(ids, x, ids[::20], 20).items()}
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len(got[a] & want[a]) for a in want) >= 0.97 * 20 * len(want)
+
+
+def test_a_query_lost_in_its_shard_is_compared_with_all_of_it(spark):
+    x = np.random.default_rng(8).normal(size=(300, 8))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graph = hnsw.build(x.astype(np.float32))
+    assert (np.sort(graph.search(x[:5].astype(np.float32), 300)[0], axis=1) == np.arange(300)).all()
+    out = hnsw.search_vectors(docs, docs.where("vec_id % 20 = 0"), k=299).collect()
+    assert len(out) == 15 * 299 and len({(r.query_id, r.vec_id) for r in out}) == len(out)
+
+
 def sound(v):
     return v is not None and all(e is not None and np.isfinite(e) for e in v) and any(v)
 

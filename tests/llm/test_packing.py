@@ -6,16 +6,19 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from quern.llm import packing
 from quern.llm.packing import Encoder, pack, plan
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 ODD = ["", " ", "a  b", "x\n\ny", " lead", "a\tb c", "don't it's 12 3a", "a\rb", "a \rb", "日本 語\nx <|endoftext|> y", "a  b", "a　b c", "x\x1c y", "é" * 9000, "w " * 30000, "tail\n"]
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+TOKENIZER.encode_special_tokens = True
+
+
 def plain(text):
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text, add_special_tokens=False).ids
+    return TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def test_remembered_words_give_the_tokenizers_ids():
@@ -23,6 +26,15 @@ def test_remembered_words_give_the_tokenizers_ids():
     assert Encoder(PATH).encode(texts) == [np.array(plain(t), "<u4").tobytes() for t in texts]
 
 
+def test_words_stay_right_when_the_memory_turns_over(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 20)
+    rng, encode = np.random.default_rng(4), Encoder(PATH)
+    parts, ends = ["don't", "it's", "été", "Word", "x", "12", "a-b", "×", "ß", "日本", "l'eau"], ["", ",", ".", "...", "?!", "'s", ".x", ",\n", ")", "\n"]
+    for _ in range(60):
+        texts = [" ".join(rng.choice(parts) + rng.choice(ends) + rng.choice(parts) + rng.choice(ends[:6]) for _ in range(8)) for _ in range(3)]
+        assert encode.encode(texts) == [np.array(plain(t), "<u4").tobytes() for t in texts]
+
+
 def test_round_trip(spark):
     rows = [(i, t, 0) for i, t in enumerate(ODD)] + [(0, "", 0), (None, None, 1), (None, "x y z", 1)] + [(100 + i, "word " * (i % 97), 0) for i in range(400)]
     out = pack(spark.createDataFrame(rows, "doc_id long, text string, rank int"), capacity=256, rows_per_run=20).collect()
