@@ -1,19 +1,20 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-A vector is described by its `prefix` nearest reference points (pivots), nearest first.
+A vector is described by its `prefix` nearest reference points (pivots), nearest first, as seen from the pivots' mean.
 Vectors that are close see much the same pivots, so inverted lists by pivot bring
 them together; pairs that share at least `shared` pivots are verified by
-their cosine in double precision. A pair that meets in several lists counts in that of the least shared pivot.
+their cosine in double precision. The prefix is as long as links need it: vectors of a sample get partners at the
+least cosine of a link, and it is the shortest of PREFIXES with which WANTED of them share enough pivots with theirs. A pair that meets in several lists counts in that of the least shared pivot.
 
 Inside a large group of near copies many pivots are members, nearly equally far from all others, so prefixes say little
-there. A pivot with CROWD pivots within the cosine CORE of it is a centre instead, and those it covers are pivots no more.
-Vectors within CORE of their nearest centre live there; each is compared with all others that live there and with every
+there. A pivot with CROWD pivots within a cosine of it (CORE, or more where all vectors lie close together) is a centre instead, and those it covers are pivots no more.
+Vectors within that of their nearest centre live there; each is compared with all others that live there and with every
 vector that the triangle inequality and the bisecting plane do not rule out as its link, so these links are exact.
 
 Equal vectors are one class. Lists are cut into chunks, and pairs of chunks are
 compared as matrices: what comes out is, for each class, the number of vectors linked and one
-link of a spanning tree, never the pairs. Pivots are a bounded sample, sqrt(n) * 2 of them up to `most_pivots` (131,072: up to four billion
-vectors lists keep growing with sqrt(n) alone); every vector is indexed.
+link of a spanning tree, never the pairs. Pivots are a bounded sample, sqrt(n) * 2 of them while their matrix stays below `pivot_bytes`
+(256 MB: 2^19 pivots of 64 numbers, 43,000 of 768; lists of larger tables grow faster than sqrt(n)); every vector is indexed.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from quern.llm.components import components
 
 #: Classes of one list that are compared as one matrix.
 CHUNK = 1024
+#: Lengths of prefix to choose from, the share of a sample's partners that must be found, and the sample's size.
+PREFIXES, WANTED, PROBES = (8, 12, 16, 24, 32, 48, 64), 0.99, 512
 #: Cosine to a centre from which a vector lives there; pivots within it, itself included, that make a pivot a centre; chunks of a centre's list that meet as one group.
 CORE, CROWD, TILES = 0.8, 8, 8
 _LONG, _INT = T.LongType(), T.IntegerType()
@@ -91,12 +94,46 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def crowded(pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def centred(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Directions as seen from the mean; what lies on it has none."""
+    x = x - mean
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 1e-12)
+
+
+def nearest(near: np.ndarray, prefix: int) -> np.ndarray:
+    """The `prefix` columns with the largest values of each row, largest first."""
+    first = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if prefix < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
+    return np.take_along_axis(first, np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable"), 1).astype(np.int32)
+
+
+def prefix_for(probes: np.ndarray, pivots: np.ndarray, mean: np.ndarray, least: float, shared: int) -> int:
+    """The shortest of PREFIXES with which WANTED of the probes share `shared` pivots with a partner at cosine `least`, towards another probe; the longest if none is enough."""
+    towards = np.roll(probes, 1, axis=0)
+    aside = towards - (towards * probes).sum(axis=1, keepdims=True) * probes
+    some = np.sqrt((aside * aside).sum(axis=1)) > 1e-6
+    if not some.any():
+        return min(PREFIXES[0], len(pivots))
+    probes, aside = probes[some], unit(aside[some])
+    partners = least * probes + np.sqrt(max(1 - least * least, 0)) * aside
+    most = min(PREFIXES[-1], len(pivots))
+    seen = centred(pivots, mean).T
+    a, b = (np.concatenate([nearest(centred(x[lo : lo + 64], mean) @ seen, most) for lo in range(0, len(x), 64)]) for x in (probes, partners))
+    for prefix in PREFIXES:
+        if prefix >= most:
+            return most
+        same = (a[:, :prefix, None] == b[:, None, :prefix]).any(axis=2).sum(axis=1)
+        if (same >= shared).mean() >= WANTED:
+            return prefix
+    return most
+
+
+def crowded(pivots: np.ndarray, core: float = CORE) -> tuple[np.ndarray, np.ndarray]:
     """(centres, other pivots with the centres): centres cover at least CROWD pivots that no earlier one does, the fullest go first."""
-    full = np.concatenate([(pivots[lo : lo + 512] @ pivots.T >= CORE).sum(axis=1) for lo in range(0, len(pivots), 512)])
+    full = np.concatenate([(pivots[lo : lo + 512] @ pivots.T >= core).sum(axis=1) for lo in range(0, len(pivots), 512)])
     free, centres = np.ones(len(pivots), bool), []
     for p in np.argsort(-full, kind="stable")[: int((full >= CROWD).sum())]:
-        own = free & (pivots @ pivots[p] >= CORE) if free[p] else free[:0]
+        own = free & (pivots @ pivots[p] >= core) if free[p] else free[:0]
         if own.sum() >= CROWD:
             centres.append(p)
             free &= ~own
@@ -128,7 +165,7 @@ def _crowd(x: np.ndarray, copies: np.ndarray, second: np.ndarray, cross: bool, l
 
 
 def link_vectors(
-    vectors: DataFrame, least: float = 0.9, prefix: int = 8, shared: int = 2, most_pivots: int = 1 << 17, key: str = "vec_id", vector: str = "embedding", mask: int = -1
+    vectors: DataFrame, least: float = 0.9, prefix: int | None = None, shared: int = 2, pivot_bytes: int = 1 << 28, key: str = "vec_id", vector: str = "embedding", mask: int = -1
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors`.
 
@@ -139,7 +176,7 @@ def link_vectors(
     with Scratch(vectors.sparkSession) as scratch:
         rows, kinds = classes(vectors, key, vector, scratch, mask)
         # an index for each length, which are few; what comes out of all of them is handled together
-        found = [scratch.keep(_compare(kinds.where(F.col("dim") == r["dim"]), least, prefix, shared, most_pivots, r["dim"], scratch)) for r in kinds.select("dim").distinct().orderBy("dim").collect()]
+        found = [scratch.keep(_compare(kinds.where(F.col("dim") == r["dim"]), least, prefix, shared, pivot_bytes, r["dim"], scratch)) for r in kinds.select("dim").distinct().orderBy("dim").collect()]
         links = functools.reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "node long, links long, root long")
         roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
         counts = kinds.select("node", "copies").join(links.groupBy("node").agg(F.sum("links").alias("_l")), "node", "left").join(roots, "node", "left")
@@ -153,15 +190,20 @@ def link_vectors(
         return lasting(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))
 
 
-def _compare(kinds: DataFrame, least: float, prefix: int, shared: int, most_pivots: int, dim: int, scratch: Scratch) -> DataFrame:
+def _compare(kinds: DataFrame, least: float, prefix: int | None, shared: int, pivot_bytes: int, dim: int, scratch: Scratch) -> DataFrame:
     """node, links (vectors linked, of other classes), root (a linked node or itself): several rows for a node."""
     n = kinds.count()
-    wanted = int(np.clip(2 * n**0.5, prefix, most_pivots))
-    pivots = unit(matrix(kinds.orderBy(F.xxhash64("node"), "node").limit(wanted).select("vector").toArrow().column(0).combine_chunks(), dim))
-    centres, pivots = crowded(pivots)
-    m, prefix = len(pivots), min(prefix, len(pivots))  # lists from m on are those of the centres
+    wanted = int(np.clip(2 * n**0.5, PREFIXES[0], max(PREFIXES[-1], pivot_bytes // (8 * dim))))
+    drawn = unit(matrix(kinds.orderBy(F.xxhash64("node"), "node").limit(wanted + PROBES).select("vector").toArrow().column(0).combine_chunks(), dim))
+    pivots, probes = drawn[:wanted], drawn[wanted:] if len(drawn) >= wanted + 2 else drawn
+    mean = pivots.mean(axis=0)
+    core = max(CORE, 1 - 0.3 * (1 - float(mean @ mean)))  # mean @ mean: the mean cosine of two vectors
+    centres, pivots = crowded(pivots, core)
+    seen = centred(pivots, mean).T
+    m, prefix = len(pivots), min(prefix or prefix_for(probes, pivots, mean, least, shared), len(pivots))  # lists from m on are those of the centres
+    step = int(np.clip((1 << 22) // m, 16, CHUNK))
     shared = min(shared, prefix)
-    angles = np.arccos(np.clip([CORE, least], -1, 1)).sum()
+    angles = np.arccos(np.clip([core, least], -1, 1)).sum()
     reach = np.cos(min(angles, np.pi)) - 1e-9
     slack = np.sqrt(max(2 - 2 * least, 0)) * np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)) + 1e-6
     described = T.StructType([T.StructField("node", _LONG), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("copies", _LONG), T.StructField("pivots", T.ArrayType(_INT)), T.StructField("visits", T.ArrayType(_INT))])
@@ -171,17 +213,15 @@ def _compare(kinds: DataFrame, least: float, prefix: int, shared: int, most_pivo
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK):
-                some = batch.slice(lo, CHUNK)
+            for lo in range(0, batch.num_rows, step):
+                some = batch.slice(lo, step)
                 x = unit(matrix(some.column(1), dim))
-                near = x @ pivots.T
-                first = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if m > prefix else np.tile(np.arange(m), (len(near), 1))
-                order = np.take_along_axis(first, np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                order = nearest(centred(x, mean) @ seen, prefix)
                 own, visits = np.ones(order.shape, bool), np.zeros((len(order), len(centres)), bool)
                 if len(centres):
                     close = x @ centres.T
                     home, top = close.argmax(axis=1), close.max(axis=1)
-                    lives = top >= CORE
+                    lives = top >= core
                     visits = (close >= reach) & (top[:, None] - close <= slack[home])
                     visits &= ~lives[:, None] | (np.arange(len(centres)) < home[:, None])  # a pair of two homes meets in the lesser one
                     own[lives, 1:] = False

@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quern.llm import neighbours
@@ -94,3 +95,41 @@ def test_vectors_of_every_length_link_among_themselves(spark, mask):
         first = min([i, *linked])  # components of these vectors are cliques but for the last one's
         want[i] = (len(linked), first, first == i)
     assert got == want
+
+
+def cone(n, mean, pairs, cosine, seed=0, dim=64):
+    """Unit vectors of a mean cosine to each other, the last `pairs` at `cosine` to the first ones."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim)) * np.sqrt((1 - mean) / dim)
+    x[:, 0] = np.sqrt(mean)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own, towards = x[:pairs], x[pairs : 2 * pairs]
+    aside = towards - (towards * own).sum(axis=1, keepdims=True) * own
+    x[n - pairs :] = cosine * own + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    return x
+
+
+@pytest.mark.parametrize("mean", [0.6, 0.7, 0.8])
+def test_links_are_found_where_all_vectors_lie_close_together(spark, mean):
+    n, pairs = 20_000, 4000
+    x = cone(n, mean, pairs, 0.92)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = (np.concatenate(s) for s in zip(*((r + lo, c) for lo in range(0, n, 2000) for r, c in [np.nonzero(u[lo : lo + 2000] @ u.T >= 0.9)]), strict=True))
+    linked = a != b
+    a, b = a[linked], b[linked]
+    assert len(a) >= 2 * pairs
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))})
+    got = neighbours.link_vectors(spark.createDataFrame(table).repartition(8)).toArrow().sort_by("vec_id")
+    assert pc.sum(got["n_links"]).as_py() >= 0.95 * len(a)
+    label = np.asarray(got["component_id"])
+    assert (label[a] == label[b]).mean() >= 0.97  # links whose ends are in one component
+
+
+def test_prefixes_grow_where_links_need_it():
+    for mean, least in ((0.0, 8), (0.8, 24)):
+        x = cone(3000, mean, 1, 0.92)
+        pivots, probes = x[:283], x[283:795]
+        prefix = neighbours.prefix_for(probes, pivots, pivots.mean(axis=0), 0.9, 2)
+        assert prefix >= least and prefix in neighbours.PREFIXES
+    same = np.repeat(x[:1], 20, axis=0)
+    assert neighbours.prefix_for(same, same, same[0], 0.9, 2) == 8
