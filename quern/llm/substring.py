@@ -5,22 +5,23 @@ through the automaton of every shard is quadratic. So reference text is dealt
 to shards in a way that brings equal windows together: a window of `window` words
 belongs to the shard of its minimizer, the least hash among its runs of `gram`
 words. Consecutive windows with one minimizer form a piece. Only pieces whose
-minimizer occurs again are looked at; pieces that are equal as a whole are
-counted, not sent. The distinct pieces of a minimizer are the reference: they
-become a suffix automaton with occurrence counts, each piece is streamed through it
+minimizer occurs again are looked at, and of pieces that are equal as a whole one goes, with their
+number. The distinct pieces of a shard are its reference: they
+become a suffix automaton with occurrence counts, each is streamed through it
 for its matching statistics, and what matches at least `window` words twice is
-a maximal span to remove.
+a maximal span to remove, from every copy of the piece. Hashes route text; what goes is what an automaton found.
 
 The automata go to the shard that holds their pieces, not to every task: the
 repeated text grows with the corpus, so no bound on a broadcast could be proven.
-A minimizer with very many distinct pieces (a line that a third of the corpus
-holds, each time in other surroundings) is split further, by the hash of each of its windows.
+A minimizer with very many pieces (a line that a third of the corpus
+holds, each time in other surroundings) is dealt further, by the hash of each of its windows: windows that occur again
+go to automata of their own shards, one for each hash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ _U = np.uint64
 _GRAM, _TEXT, _WIDE = _U(0xD1342543DE82EF95), _U(0xAF251AF3B0F025B5), _U(0x2545F4914F6CDD1D)  # odd bases
 #: Longest run of windows in a piece.
 RUN = 256
-#: Rows of a minimizer from which on it is split by window.
+#: Rows of a minimizer from which on it is dealt by window.
 HOT = 4096
 #: Words in one automaton: its shard of the reference.
 SHARD_WORDS = 20_000
@@ -143,12 +144,18 @@ class SuffixAutomaton:
                 often[v] = often[link[v]]
 
     def matches(self, words: list) -> list[int]:
-        """Matching statistics of a sequence that was added: at each word, the longest suffix that occurs often enough."""
-        state, out = 0, []
-        for i, word in enumerate(words):
-            state = self.next[state][word]
-            best = self.often[state]
-            out.append(i + 1 if best == state else self.length[best])
+        """Matching statistics of any sequence: at each word, the longest suffix that occurs often enough in what was added."""
+        step, link, length, often = self.next, self.link, self.length, self.often
+        state, n, out = 0, 0, []
+        for word in words:
+            to = step[state].get(word)
+            while to is None and state:
+                state = link[state]
+                n, to = length[state], step[state].get(word)
+            if to is not None:
+                state, n = to, n + 1
+            best = often[state]
+            out.append(n if best == state else length[best])
         return out
 
 
@@ -159,16 +166,15 @@ def repeated_windows(pieces: list[tuple[list, int]], window: int) -> list[list[t
         automaton.add(words, times)
     automaton.close()
     out = []
-    for words, times in pieces:
+    for words, _ in pieces:
         runs: list[tuple[int, int]] = []
-        if times == 1:
-            for i, n in enumerate(automaton.matches(words)):
-                if n >= window:
-                    first = i - window + 1
-                    if runs and runs[-1][0] + runs[-1][1] == first:
-                        runs[-1] = (runs[-1][0], runs[-1][1] + 1)
-                    else:
-                        runs.append((first, 1))
+        for i, n in enumerate(automaton.matches(words)):
+            if n >= window:
+                first = i - window + 1
+                if runs and runs[-1][0] + runs[-1][1] == first:
+                    runs[-1] = (runs[-1][0], runs[-1][1] + 1)
+                else:
+                    runs.append((first, 1))
         out.append(runs)
     return out
 
@@ -180,13 +186,16 @@ def _fields(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, hot: int = HOT) -> DataFrame:
-    """_r1, _r2 (which name a row's key and text), spans: array of (first, n) runs of repeated windows. `docs`: _r1, _r2, text."""
+def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, hot: int = HOT, find: Callable = repeated_windows) -> DataFrame:
+    """_r1, _r2 (which name a row's key and text), spans: array of (first, n) runs of repeated windows. `docs`: _r1, _r2, text.
+
+    `find` is given a shard's pieces and the window, and returns their runs.
+    """
     with Scratch(docs.sparkSession) as scratch:
-        return lasting(_spans(docs, window, gram, hot, scratch))
+        return lasting(_spans(docs, window, gram, hot, find, scratch))
 
 
-def _spans(docs: DataFrame, window: int, gram: int, hot: int, scratch: Scratch) -> DataFrame:
+def _spans(docs: DataFrame, window: int, gram: int, hot: int, find: Callable, scratch: Scratch) -> DataFrame:
     kinds = _fields(_r1=_LONG, _r2=_LONG, first=_INT, n=_INT, mini=_LONG, content=_LONG, inner=T.BooleanType())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +212,8 @@ def _spans(docs: DataFrame, window: int, gram: int, hot: int, scratch: Scratch)
     scratch.drop(pieces)
     place = F.struct("_r1", "_r2", "first", "n")
     distinct = scratch.keep(found.groupBy("mini", "content").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("at"), F.max("rows").alias("rows")))
-    twice = distinct.where("times > 1").select("mini", "content")
-    whole = found.join(twice, ["mini", "content"], "left_semi").select("_r1", "_r2", "first", "n")
-    # what is equal as a whole needs no further look unless other pieces share its minimizer
-    open_ = distinct.where("times < rows OR times = 1")
-    wanted = open_.groupBy("at._r1", "at._r2").agg(F.collect_list(F.struct("mini", "content", "times", "rows", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("wanted"))
-    texts = docs.select("_r1", "_r2", "text").join(wanted.hint("shuffle_hash"), ["_r1", "_r2"])
-    sent = _fields(_r1=_LONG, _r2=_LONG, first=_INT, n=_INT, mini=_LONG, times=_LONG, wide=_LONG, words=T.BinaryType())
+    # calm pieces with their words; of hot ones each window, named by two hashes, at x in its piece
+    sent = _fields(_r1=_LONG, _r2=_LONG, mini=_LONG, content=_LONG, times=_LONG, words=T.BinaryType(), first=_INT, x=_INT, narrow=_LONG, wide=_LONG)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in groups(batches, 2):
@@ -217,61 +221,63 @@ def _spans(docs: DataFrame, window: int, gram: int, hot: int, scratch: Scratch)
             flat, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets))
             if not len(flat):
                 continue
-            mini, _, times, rows, first, n = (np.asarray(flat.field(i)) for i in range(6))
+            rows, first, n = (np.asarray(flat.field(i)) for i in range(3, 6))
             words = Words(some)
             own = np.repeat(np.arange(len(some)), sizes)
             a = words.first[own] + first
-            calm = np.flatnonzero(rows < hot)
-            texts_ = [b" ".join(words.buffer[words.start[x] : words.end[y - 1]].split()) for x, y in zip(a[calm].tolist(), (a + n + window - 1)[calm].tolist(), strict=True)]
-            many = np.flatnonzero(rows >= hot)
-            piece = np.repeat(many, n[many])
-            nth = np.arange(len(piece)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
-            wide, narrow = (windows(words.hash, window, base)[a[piece] + nth] if len(piece) else np.zeros(0, _U) for base in (_WIDE, _TEXT))
-            own_ = np.concatenate((own[calm], own[piece]))
+            calm, many = np.flatnonzero(rows < hot), np.flatnonzero(rows >= hot)
+            texts = [b" ".join(words.buffer[words.start[x] : words.end[y - 1]].split()) for x, y in zip(a[calm].tolist(), (a + n + window - 1)[calm].tolist(), strict=True)]
+            piece = np.concatenate((calm, np.repeat(many, n[many])))
+            x = np.zeros(len(piece), np.int64)
+            x[len(calm) :] = np.arange(len(piece) - len(calm)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+            narrow, wide = (windows(words.hash, window, base)[a[piece] + x].view(np.int64) if len(many) else x for base in (_TEXT, _WIDE))
+            take, fields = pa.array(own[piece]), [flat.field(i).take(pa.array(piece)) for i in range(3)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(i).take(pa.array(own_)) for i in (0, 1)), pa.array(np.concatenate((first[calm], (first[piece] + nth))).astype(np.int32)), pa.array(np.concatenate((n[calm], np.ones(len(piece)))).astype(np.int32)),
-                    pa.array(np.concatenate((mini[calm], narrow.view(np.int64)))), pa.array(np.concatenate((times[calm], times[piece]))), pa.array(np.concatenate((np.zeros(len(calm), np.int64), wide.view(np.int64) | 1))),
-                    pa.array(texts_ + [None] * len(piece), pa.binary()),
-                ], sent.names,
+                [batch.column(0).take(take), batch.column(1).take(take), *fields, pa.array(texts + [None] * (len(piece) - len(calm)), pa.binary()), pa.array((first[piece] + x).astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(narrow), pa.array(wide)], sent.names
             )
 
-    reference = scratch.keep(texts.mapInArrow(send, sent))
-    spans = _fields(_r1=_LONG, _r2=_LONG, first=_INT, n=_INT)
+    def with_words(pieces: DataFrame) -> DataFrame:
+        wanted = pieces.groupBy("at._r1", "at._r2").agg(F.collect_list(F.struct("mini", "content", "times", "rows", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("wanted"))
+        return scratch.keep(docs.select("_r1", "_r2", "text").join(wanted.hint("shuffle_hash"), ["_r1", "_r2"]).mapInArrow(send, sent))
+
+    runs = _fields(mini=_LONG, content=_LONG, x=_INT, n=_INT)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by minimizer; a shard closes at the first change of minimizer past its size."""
-        held: list[tuple] = []
+        """Rows come sorted by minimizer and content; a shard closes at the first change of minimizer past its size."""
+        held: dict[tuple, tuple] = {}  # repeated rows fetch the same piece again
         size, last = 0, None
 
-        def close() -> Iterator[pa.RecordBatch]:
-            rows, seen, order = [], {}, []
-            for r1, r2, first, mini, times, words in held:
-                if (mini, words) not in seen:  # repeated rows fetch the same piece again
-                    seen[mini, words] = True
-                    order.append((r1, r2, first, words, times))
-            found = repeated_windows([(words.split(), times) for *_, words, times in order], window)
-            for (r1, r2, first, *_), runs in zip(order, found, strict=True):
-                rows += [(r1, r2, first + x, n) for x, n in runs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], spans.names)
+        def close() -> pa.RecordBatch:
+            found = find(list(held.values()), window)
+            rows = [(*name, x, n) for name, own in zip(held, found, strict=True) for x, n in own]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], runs.names)
 
         for batch in batches:
-            for r1, r2, first, mini, times, words in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for mini, content, times, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size > SHARD_WORDS and mini != last:
-                    yield from close()
-                    held, size = [], 0
-                held.append((r1, r2, first, mini, times, words))
-                size += 40
+                    yield close()
+                    held, size = {}, 0
+                if (mini, content) not in held:
+                    held[mini, content] = (words.split(), times)
+                    size += len(held[mini, content][0])
                 last = mini
         if held:
-            yield from close()
-
-    calm = reference.where("wide = 0").select("_r1", "_r2", "first", "mini", "times", "words")
-    matched = calm.repartition("mini").sortWithinPartitions("mini").mapInArrow(match, spans)
-    split = reference.where("wide <> 0")
-    common = split.groupBy("wide", "mini").agg(F.sum("times").alias("_all")).where("_all > 1").select("wide", "mini")
-    split = split.join(common, ["wide", "mini"], "left_semi").select("_r1", "_r2", "first", "n")
-    return whole.unionByName(matched).unionByName(split).groupBy("_r1", "_r2").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+            yield close()
+
+    def matched(reference: DataFrame) -> DataFrame:
+        calm = reference.where("words IS NOT NULL").select("mini", "content", "times", "words")
+        return calm.repartition("mini").sortWithinPartitions("mini", "content").mapInArrow(match, runs)
+
+    reference = with_words(distinct)
+    repeated = matched(reference)
+    many = reference.where("words IS NULL").drop("words")
+    if not many.isEmpty():
+        at = F.min(F.struct("_r1", "_r2", "first", F.lit(1).alias("n"))).alias("at")
+        common = many.groupBy(F.col("narrow").alias("mini"), F.col("wide").alias("content")).agg(F.sum("times").alias("times"), at).where("times > 1")
+        single = matched(with_words(common.withColumn("rows", F.lit(0).cast("long")))).select(F.col("mini").alias("narrow"), F.col("content").alias("wide"))
+        repeated = repeated.unionByName(many.join(single, ["narrow", "wide"]).select("mini", "content", "x", F.lit(1).alias("n")))
+    spans = found.select("_r1", "_r2", "first", "mini", "content").join(repeated, ["mini", "content"])
+    return spans.groupBy("_r1", "_r2").agg(F.collect_set(F.struct((F.col("first") + F.col("x")).alias("first"), "n")).alias("spans"))
 
 
 def named(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -69,9 +69,31 @@ def test_automaton_counts_and_matches():
         for words, times in pieces:
             for i in range(len(words) - 3):
                 seen[tuple(words[i : i + 4])] += times
-        for (words, times), runs in zip(pieces, substring.repeated_windows(pieces, 4), strict=True):
+        for (words, _), runs in zip(pieces, substring.repeated_windows(pieces, 4), strict=True):
             got = {x for a, n in runs for x in range(a, a + n)}
-            assert times > 1 and not got or got == {i for i in range(len(words) - 3) if seen[tuple(words[i : i + 4])] > 1}
+            assert got == {i for i in range(len(words) - 3) if seen[tuple(words[i : i + 4])] > 1}
+
+
+def test_matching_statistics_of_foreign_text():
+    for seed in range(20):
+        rng = random.Random(seed)
+        pieces = [[rng.choice("abc") for _ in range(rng.randrange(4, 30))] for _ in range(4)]
+        automaton = substring.SuffixAutomaton()
+        for words in pieces:
+            automaton.add(words)
+        automaton.close()
+        text = [rng.choice("abcd") for _ in range(60)]
+        often = collections.Counter(tuple(p[i:j]) for p in pieces for i in range(len(p)) for j in range(i + 1, len(p) + 1))
+        want = [next(n for n in range(i + 1, -1, -1) if n == 0 or often[tuple(text[i + 1 - n : i + 1])] > 1) for i in range(len(text))]
+        assert automaton.matches(text) == want
+
+
+@pytest.mark.parametrize("hot", [10**6, 3])
+def test_nothing_goes_but_by_an_automaton(spark, hot):
+    docs = spark.createDataFrame(list(enumerate(made(3, [f"w{i}" for i in range(400)]))), "doc_id long, text string")
+    rows = substring.named(docs, "doc_id", "text")
+    assert substring.repeated_spans(rows, 12, 4, hot).count() > 0
+    assert substring.repeated_spans(rows, 12, 4, hot, find=lambda pieces, window: [[] for _ in pieces]).count() == 0
 
 
 def test_every_window_is_in_one_piece():
