@@ -48,19 +48,20 @@ def count_funnels(
     spark = events.sparkSession
     steps = max(len(kinds) for kinds, _ in funnels.values())
     used = sorted({k for kinds, out in funnels.values() for k in (*kinds, out)})
-    rows = events.select(F.col(key).alias("client"), F.col(kind).alias("kind"), F.col(time).alias("at"))
-    rows = rows.where(F.col("client").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin(used)).distinct()
+    names, going = list(funnels), [([used.index(k) for k in kinds], used.index(out)) for kinds, out in funnels.values()]  # kinds and funnels go by number
+    rows = events.where(F.col(kind).isin(used)).select(F.col(key).alias("client"), _numbered(F.col(kind), used).alias("kind"), F.col(time).alias("at"))
+    rows = rows.where(F.col("client").isNotNull() & F.col("at").isNotNull()).distinct()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // range_rows))
     with Scratch(spark) as scratch:
         rows = scratch.keep(rows.repartitionByRange(ranges, "client", "at").withColumn("part", F.spark_partition_id()))
-        later = scratch.keep(_later(rows, used))
-        firsts = F.array(*(F.when(F.col("kind") == kinds[0], F.lit(name)) for name, (kinds, _) in funnels.items()))
+        later = scratch.keep(_later(rows, len(used)))
+        firsts = F.array(*(F.when(F.col("kind") == kinds[0], F.lit(i)) for i, (kinds, _) in enumerate(going)))
         attempts = rows.select("client", "part", "at", F.explode(F.array_compact(firsts)).alias("funnel"), F.lit(1).cast("long").alias("weight"))
         reached = [attempts.select("funnel", "client", F.lit(1).alias("step"), "weight")]
         times = []
         for step in range(2, steps + 1):
-            going = {name: (kinds[step - 1], out) for name, (kinds, out) in funnels.items() if len(kinds) >= step}
-            found = scratch.keep(_step(attempts.where(F.col("funnel").isin(list(going))), rows, later, used, going, within_micros))
+            now = {i: (kinds[step - 1], out) for i, (kinds, out) in enumerate(going) if len(kinds) >= step}
+            found = scratch.keep(_step(attempts.where(F.col("funnel").isin(list(now))), rows, later, now, within_micros))
             reached.append(found.select("funnel", "client", F.lit(step).alias("step"), "weight"))
             times.append(found.select("funnel", "client", F.lit(step).alias("step"), "took", "weight"))
             attempts = found.groupBy("client", "part", "at", "funnel").agg(F.sum("weight").alias("weight"))
@@ -75,29 +76,33 @@ def count_funnels(
         out = scratch.keep(out.withColumn("deepest", deepest))
         alike = out.groupBy("funnel", "deepest").agg(F.count(F.lit(1)).alias("same_depth"))  # at most a row for each funnel and step
         out = out.join(F.broadcast(alike), ["funnel", "deepest"])
-        return lasting(out.select("funnel", key, *(f"n{i}" for i in range(1, steps + 1)), "deepest", *(f"t{i}" for i in range(2, steps + 1)), "same_depth"))
+        return lasting(out.select(F.element_at(F.array(*map(F.lit, names)), F.col("funnel") + 1).alias("funnel"), key, *(f"n{i}" for i in range(1, steps + 1)), "deepest", *(f"t{i}" for i in range(2, steps + 1)), "same_depth"))
 
 
-def _later(rows: DataFrame, kinds: Sequence[str]) -> DataFrame:
+def _numbered(kind: Column, used: Sequence[str]) -> Column:
+    return F.coalesce(*(F.when(kind == k, F.lit(i)) for i, k in enumerate(used)))
+
+
+def _later(rows: DataFrame, kinds: int) -> DataFrame:
     """client, part, and for each kind the client's first row in a later range (at, part); a row only where there is one."""
-    firsts = rows.groupBy("client", "part").agg(*(F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"_{i}") for i, k in enumerate(kinds)))
+    firsts = rows.groupBy("client", "part").agg(*(F.min(F.when(F.col("kind") == i, F.col("at"))).alias(f"_{i}") for i in range(kinds)))
     after = W.partitionBy("client").orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
-    names = [f"later{i}" for i in range(len(kinds))]
+    names = [f"later{i}" for i in range(kinds)]
     seen = [F.last(F.when(F.col(f"_{i}").isNotNull(), F.struct(F.col(f"_{i}").alias("at"), F.col("part"))), ignorenulls=True).over(after).alias(n) for i, n in enumerate(names)]
     return firsts.select("client", "part", *seen).where(F.coalesce(*names).isNotNull())
 
 
-def _step(attempts: DataFrame, rows: DataFrame, later: DataFrame, used: Sequence[str], going: Mapping[str, tuple[str, str]], within: int) -> DataFrame:
+def _step(attempts: DataFrame, rows: DataFrame, later: DataFrame, going: Mapping[int, tuple[int, int]], within: int) -> DataFrame:
     """funnel, client, part and at of the row reached, took, weight: the attempts that get one step further."""
     kinds = sorted({k for pair in going.values() for k in pair})
     none = lambda name, of: F.lit(None).cast(of).alias(name)
-    candidates = rows.where(F.col("kind").isin(kinds)).select("client", "part", "at", "kind", none("funnel", "string"), none("weight", "long"), F.lit(1).alias("tag"))
-    both = attempts.select("client", "part", "at", none("kind", "string"), "funnel", "weight", F.lit(0).alias("tag")).unionByName(candidates)
+    candidates = rows.where(F.col("kind").isin(kinds)).select("client", "part", "at", "kind", none("funnel", "int"), none("weight", "long"), F.lit(1).alias("tag"))
+    both = attempts.select("client", "part", "at", none("kind", "int"), "funnel", "weight", F.lit(0).alias("tag")).unionByName(candidates)
     back = W.partitionBy("client", "part").orderBy(F.desc("at"), "tag").rowsBetween(W.unboundedPreceding, W.currentRow)
-    fill = [F.last(F.when(F.col("kind") == k, F.col("at")), ignorenulls=True).over(back).alias(f"near{used.index(k)}") for k in kinds]
+    fill = [F.last(F.when(F.col("kind") == k, F.col("at")), ignorenulls=True).over(back).alias(f"near{k}") for k in kinds]
     seen = both.select("*", *fill).where("tag = 0").join(later, ["client", "part"], "left")
-    here = lambda k: F.when(F.col(f"near{used.index(k)}").isNotNull(), F.struct(F.col(f"near{used.index(k)}").alias("at"), F.col("part")))
-    first = {k: F.coalesce(here(k), F.col(f"later{used.index(k)}")) for k in kinds}
+    here = lambda k: F.when(F.col(f"near{k}").isNotNull(), F.struct(F.col(f"near{k}").alias("at"), F.col("part")))
+    first = {k: F.coalesce(here(k), F.col(f"later{k}")) for k in kinds}
     pick = lambda i: F.coalesce(*(F.when(F.col("funnel") == name, first[pair[i]]) for name, pair in going.items()))
     found = seen.select("funnel", "client", "at", "weight", pick(0).alias("next"), pick(1)["at"].alias("out")).where("next IS NOT NULL AND (out IS NULL OR out > next.at)")
     found = found.withColumn("took", _micros(F.col("next.at") - F.col("at"))).where(F.col("took") <= within)
