@@ -75,17 +75,28 @@ class Service:
     def served(self, at: np.ndarray) -> np.ndarray:
         """Tokens of each source among the first `at` ones."""
         out = np.empty((len(at), len(self.totals)), np.int64)
-        step = max(1, CELLS // len(self.totals))
+        m = len(self.totals)
+        step = max(1, CELLS // m)
         last = self.time(self.packets - 1).max()
         for lo in range(0, len(at), step):
             some = at[lo : lo + step]
-            low, high = np.zeros(len(some), np.int64), np.full(len(some), last).view(np.int64)  # positive floats in the order of their bits
-            while (high - low > 1).any():
-                mid = low + (high - low) // 2
-                few = self._tokens(self._sent(mid.view(np.float64), True)).sum(axis=1) <= some
-                low, high = np.where(few, mid, low), np.where(few, high, mid)
-            base = self._tokens(self._sent(low.view(np.float64), True))
-            more = self._tokens(self._sent(high.view(np.float64), True)) - base
+            low, high = np.zeros(len(some)), np.full(len(some), last)
+            sent = [np.zeros((len(some), m), np.int64), np.tile(self.packets, (len(some), 1))]
+            # while no source has ended, so many packets leave by a time that m of them are the most to be unsure of
+            guess = [np.clip((2 * some / self.unit + more) / self.weights.sum(), 0, last) for more in (-2 * m - 2, 2)]
+            while True:
+                for v in guess:
+                    k = self._sent(v, True)
+                    few = self._tokens(k).sum(axis=1) <= some
+                    low, high = np.where(few & (v > low), v, low), np.where(few | (v > high), high, v)
+                    for i, side in enumerate((few & (v == low), ~few & (v == high))):
+                        sent[i][side] = k[side]
+                bits = low.view(np.int64), high.view(np.int64)  # positive floats in the order of their bits
+                if not (((sent[1] - sent[0]).sum(axis=1) > 1) & (bits[1] - bits[0] > 1)).any():
+                    break
+                guess = [(bits[0] + (bits[1] - bits[0]) // 2).view(np.float64)]
+            # one packet leaves next, or several at one time
+            base, more = self._tokens(sent[0]), self._tokens(sent[1]) - self._tokens(sent[0])
             left = (some - base.sum(axis=1))[:, None] - (np.cumsum(more, axis=1) - more)
             out[lo : lo + step] = base + np.clip(left, 0, more)
         return out
@@ -100,51 +111,52 @@ class Service:
 
     def place(self, source: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, start in it, length, window, offset) of the pieces of documents: `length` tokens of a source from its token `start` on."""
-        first, last = start // self.unit, (start + length - 1) // self.unit
-        n = last - first + 1
-        ends = np.cumsum(n)
-        parts = []
-        for lo in range(0, int(n.sum()), PACKETS):
-            flat = np.arange(lo, min(lo + PACKETS, int(ends[-1])))
-            row = np.searchsorted(ends, flat, side="right")
-            k = first[row] + flat - (ends - n)[row]
-            at = np.maximum(start[row], k * self.unit)
-            size = np.minimum((start + length)[row], (k + 1) * self.unit) - at
-            parts.append(_merged(*self._cut(row, at, size, self.starts(source[row], k) + at - k * self.unit)))
-        row, at, size, window = _merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        here, which = np.unique(window, return_inverse=True)
-        edges, where = np.unique(np.concatenate((self.edge(here), self.edge(here + 1))), return_inverse=True)
+        end = start + length
+        low, high = (self.window(self._positions(source, at)) for at in (start, end - 1))
+        packets = (end - 1) // self.unit - start // self.unit + 1
+        brief = high - low <= packets  # others lie in fewer windows than they pass, and are looked up by packets
+        row, window = _ranges(np.flatnonzero(brief), low[brief], high[brief])
+        found = [(row, window)]
+        row, packet = _ranges(np.flatnonzero(~brief), start[~brief] // self.unit, (end[~brief] - 1) // self.unit)
+        for lo in range(0, len(row), PACKETS):
+            r, k = row[lo : lo + PACKETS], packet[lo : lo + PACKETS]
+            ends = (np.maximum(start[r], k * self.unit), np.minimum(end[r], (k + 1) * self.unit) - 1)
+            part, windows = _ranges(np.arange(len(r)), *(self.window(self._positions(source[r], at)) for at in ends))
+            new = np.flatnonzero(np.concatenate(([True], (r[part][1:] != r[part][:-1]) | (windows[1:] != windows[:-1]))))
+            found.append((r[part][new], windows[new]))
+        row, window = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((window, row))
+        row, window = row[order], window[order]
+        if len(found) > 1:
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (window[1:] != window[:-1]))))
+            row, window = row[new], window[new]
+        at, size, offset = np.empty((3, len(row)), np.int64)
+        by = np.argsort(window, kind="stable")
         step = max(1, CELLS // len(self.totals))
-        offset = np.empty(len(row), np.int64)
-        order, bounds = np.argsort(which, kind="stable"), np.searchsorted(np.sort(which), np.arange(0, len(here) + step, step))
-        for i, lo in enumerate(range(0, len(here), step)):
-            need = np.unique(np.concatenate((where[lo : lo + step], where[len(here) + lo : len(here) + lo + step][: len(here[lo : lo + step])])))
-            sums = self.served(edges[need])
-            mine = order[bounds[i] : bounds[i + 1]]
-            s = source[row[mine]]
-            before, after = (sums[np.searchsorted(need, w)] for w in (where[which[mine]], where[len(here) + which[mine]]))
+        for lo in range(0, len(by), step):
+            mine = by[lo : lo + step]
+            here, which = np.unique(window[mine], return_inverse=True)
+            edges, where = np.unique(np.concatenate((self.edge(here), self.edge(here + 1))), return_inverse=True)
+            sums, s = self.served(edges), source[row[mine]]
+            before, after = sums[where[which]], sums[where[len(here) + which]]
             own = after - before
-            offset[mine] = (np.cumsum(own, axis=1) - own)[np.arange(len(mine)), s] + at[mine] - before[np.arange(len(mine)), s]
-        return row, at - start[row], size, window, offset
-
-    def _cut(self, row: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, at, size, window) of packets' parts that lie in one window each."""
-        done = []
-        while len(row):
-            window = self.window(place)
-            room = self.edge(window + 1) - place
-            done.append((row, at, np.minimum(size, room), window))
-            over = size > room
-            row, at, size, place = row[over], (at + room)[over], (size - room)[over], (place + room)[over]
-        row, at, size, window = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.lexsort((at, row))
-        return row[order], at[order], size[order], window[order]
-
-
-def _merged(row: np.ndarray, at: np.ndarray, size: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Neighbouring parts of one document in one window as one."""
-    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (window[1:] != window[:-1]))))
-    return row[new], at[new], np.add.reduceat(size, new), window[new]
+            nth = np.arange(len(mine))
+            at[mine] = np.maximum(start[row[mine]], before[nth, s])
+            size[mine] = np.minimum(end[row[mine]], after[nth, s]) - at[mine]
+            offset[mine] = (np.cumsum(own, axis=1) - own)[nth, s] + at[mine] - before[nth, s]
+        some = size > 0
+        return row[some], (at - start[row])[some], size[some], window[some], offset[some]
+
+    def _positions(self, source: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the tokens `at` of sources are served."""
+        k = at // self.unit
+        return self.starts(source, k) + at - k * self.unit
+
+
+def _ranges(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row with all whole numbers from its low to its high one."""
+    n = high - low + 1
+    return np.repeat(row, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
 
 
 def tokenised(docs: DataFrame, path: str | None, end_id: int, key: str, text: str, source: str) -> DataFrame:
