@@ -190,7 +190,8 @@ def search_vectors(
         rows, kinds = classes(vectors, key, vector, scratch, mask)
         rows = rows.where("node IS NOT NULL")
         first = rows.groupBy("node").agg(F.min("id").alias("least"))
-        kinds = scratch.keep(kinds.join(first, "node"))
+        # written as a column, for an expression would be worked out again for each component that is divided by it
+        kinds = scratch.keep(kinds.join(first, "node").withColumn("most", F.array_max(F.transform("vector", F.abs))))
         asked = queries.where(sound(F.col(vector))).select(F.col(key).alias("id"), plain(F.col(vector)).alias("vector"))
         asked = asked.groupBy("id", "vector").agg(F.count(F.lit(1)).alias("times"))
         asked = scratch.keep(asked.withColumn("dim", F.size("vector")).withColumn("_q", F.monotonically_increasing_id()))
@@ -213,7 +214,7 @@ def search_vectors(
 
 def _nearest(kinds: DataFrame, asked: DataFrame, k: int, ef: int, shard_rows: int, block_rows: int, dim: int, key_type: T.DataType, scratch: Scratch) -> DataFrame:
     """query_id, _q (a query row's name), times, node, least (the node's least key), own (whether it is the query's own vector), score: each shard's k + 1 nearest distinct vectors."""
-    kinds = kinds.withColumn("most", F.array_max(F.transform("vector", F.abs))).withColumn("ring", _ring(F.col("vector"), F.col("most")))
+    kinds = kinds.withColumn("ring", _ring(F.col("vector"), F.col("most")))
     sizes = {r["ring"]: -(-r["n"] // shard_rows) for r in kinds.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).orderBy("ring").collect()}  # rows by exponents of doubles: 8,600 at most
     shards, blocks = sum(sizes.values()), max(1, -(-asked.count() // block_rows))
     firsts = [(ring, sum(list(sizes.values())[:i]), n) for i, (ring, n) in enumerate(sizes.items())]
