@@ -1,9 +1,11 @@
 import html
+import random
 import re
+import time
 
 import pyarrow.parquet as pq
 
-from quern.llm.extraction import extract_pages, main_text
+from quern.llm.extraction import _names, extract_pages, main_text
 
 ROOT = "/root/testdata/sf0.01"
 
@@ -63,3 +65,149 @@ def test_rows_are_whole(spark):
     out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in out) == [(0, "", "", 0), (1, "u", "x", 1), (1, "u", "x", 1), (2, "", "", 0)]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_an_unlucky_name_or_links_alone_remove_nothing_from_an_article():
+    lines = [f"Paragraph {i}, with commas, and some length to it, as articles have." for i in range(6)]
+    story = "".join(f"<p>{x}</p>" for x in lines)
+    linked = "".join(f"<li><a href={i}>Reference {i}</a></li>" for i in range(6))
+    cells = "<tr>" + "".join(f"<td><a href={i}>Cell {i}</a></td>" for i in range(6)) + "</tr>"
+    for block, words in (
+        ("<p class='share-prices'>Prices rose.</p>", ["Prices rose."]),
+        ("<h2 class='search-engines'>Engines</h2>", ["Engines"]),
+        ("<h2 id='comments'>Comments on it</h2>", ["Comments on it"]),
+        ("<section id='comment-on-war'><p>On war.</p></section>", ["On war."]),
+        ("<div class='notice-board'><p>Pinned.</p></div>", ["Pinned."]),
+        (f"<ul>{linked}</ul>", [f"Reference {i}" for i in range(6)]),
+        (f"<table>{cells}</table>", [f"Cell {i}" for i in range(6)]),
+    ):
+        assert main_text(f"<body><div class=menu>Menu</div><article>{story}{block}</article><div class='ad'>Buy</div>") == "\n".join(lines + words)
+    for name in ("ad-slot", "main-menu", "cookie-notice", "reader-comments", "newsletter-signup", "share-buttons", "related-posts", "sidebar-content", "x post-comments"):
+        assert main_text(f"<body><article>{story}<div class='{name}'><p>Not of it, at all.</p></div></article>") == "\n".join(lines)
+        assert main_text(f"<body><div>{story}</div><div class='{name}'><p>Not of it, at all, whatever, its length, may be.</p></div>") == "\n".join(lines)
+    replies = "<article class=comment><p>I disagree, strongly, with all of it, and say so at length.</p></article>" * 9
+    assert main_text(f"<body><article>{story}{replies}</article>") == main_text(f"<body><div>{story}</div>{replies}") == "\n".join(lines)
+    assert main_text(f"<form><div class='modal'><div class=post>{story}</div></div><p>Name, please</p></form><p>x</p>") == "\n".join(lines)
+    assert main_text("<nav><a href=1>Home</a></nav><div class=ad>Buy</div><footer>c</footer>") == ""
+
+
+def test_names_come_down_to_their_last_word():
+    for name, word in {"ad slot": "ad", "main menu": "menu", "content sidebar wrap": "", "sidebar wrap": "sidebar", "post comments wrap": "comments", "share prices": "", "has sidebar": "", "main content": "", "": ""}.items():
+        assert _names(name.split()) == word
+
+
+def test_time_grows_with_length_alone():
+    n = 50_000
+    for page in ("<div>" * n + "</section>" * n, "<div>" * n + "</div>" * n, "<header>" * n, "<textarea>" * n, "<p><b>" * n, "<p><table>" + "<span>" * n + "</p>" * n, "<li>" * n, "<a '>'" * n, "<a b='>'" * n, '<a b=">' * n, "<!--" * n, "</scriptx>" * n, "<script>" + "</scriptx>" * n, "<span>,x" * n, "<a href=x>y" * n, "<table><tr><td>" * n):
+        start = time.process_time()
+        main_text(page)
+        assert time.process_time() - start < 10, page[:20]  # a quadratic pass takes minutes
+
+
+INLINE = ("b", "a")
+
+
+def random_tree(rng, depth=0):
+    """[tag, class, parts]: containers of paragraphs, lists and text; paragraphs of text, <b> and <a>."""
+    tag = rng.choice(["div", "div", "section", "article", "p", "p", "p", "ul"]) if depth < 5 else "p"
+    name = rng.choice(["", "", "", "content", "share-prices", "ad-slot", "comments"])
+
+    def words():
+        return " ".join(rng.choice(["one", "two,", "three", "four", "five,"]) for _ in range(rng.randint(1, 30)))
+
+    def phrase():
+        return [words() if rng.random() < 0.7 else [rng.choice(INLINE), "", [words()]] for _ in range(rng.randint(0, 4))]
+
+    if tag == "p":
+        return [tag, name, phrase()]
+    if tag == "ul":
+        return [tag, name, [["li", "", phrase()] for _ in range(rng.randint(1, 4))]]
+    return [tag, name, [random_tree(rng, depth + 1) if rng.random() < 0.9 else words() for _ in range(rng.randint(1, 5))]]
+
+
+def markup(node):
+    return node if isinstance(node, str) else f"<{node[0]}{' class=' + node[1] if node[1] else ''}>{''.join(map(markup, node[2]))}</{node[0]}>"
+
+
+def by_definition(root):
+    """The text of a random tree: every value summed anew from its definition, over all pairs of elements."""
+    paths = {}  # id: the elements from the root to it
+
+    def walk(node, path):
+        paths[id(node)] = path = [*path, node]
+        for p in node[2]:
+            if not isinstance(p, str):
+                walk(p, path)
+
+    walk(root, [])
+
+    def texts(node, linked=False, gone=()):
+        for p in node[2]:
+            if isinstance(p, str):
+                yield p, linked or node[0] == "a"
+            elif id(p) not in gone:
+                yield from texts(p, linked or node[0] == "a", gone)
+
+    everything = [path[-1] for path in paths.values()]
+    articles = [n for n in everything if n[0] == "article" and all(a[1] != "comments" for a in paths[id(n)])]
+    largest = max(articles, key=lambda n: sum(len(t) for t, linked in texts(n, gone={id(x) for x in everything if x[1] == "comments"}) if not linked), default=None)
+    around = {id(n) for n in paths[id(largest)]} if largest else set()
+    gone = {id(n) for n in everything if id(n) not in around and (n[1] == "comments" or n[1] == "ad-slot" and n[0] != "article")}
+    kept = [n for n in everything if not any(id(a) in gone for a in paths[id(n)])]
+
+    def chars(node, of_links=False):
+        return sum(len(t) for t, linked in texts(node, node[0] == "a", gone) if linked or not of_links)
+
+    def passed(node):
+        inline = "".join(p if isinstance(p, str) else p[2][0] for p in node[2] if isinstance(p, str) or p[0] in INLINE)
+        return (1 + inline.count(",") + min(chars(node) / 100, 3)) * (1 - chars(node, True) / chars(node))
+
+    points = {id(n): 0.0 for n in kept}
+    for node in kept:
+        if chars(node) and (node[0] in ("p", "li") or node[0] not in INLINE and any(isinstance(p, str) for p in node[2])):
+            line = paths[id(node)][::-1][:6]
+            for k, up in enumerate(line):
+                points[id(up)] += passed(node) * (float(node[0] not in ("p", "li")) if k == 0 else 1.0 if k == 1 else 0.5 / (k - 1))
+
+    def value(n):
+        return (points[id(n)] + (25 if n[0] == "article" else 8 if n[1] == "content" else 0)) * (1 - chars(n, True) / chars(n)) * (0.5 if n[1] == "share-prices" else 1)
+
+    best = max((n for n in kept if n[0] not in INLINE and chars(n)), key=value, default=None)
+    if best is None:
+        return ""
+    most = value(best)
+    while best[0] in ("p", "li") and len(paths[id(best)]) > 1:
+        best = paths[id(best)][-2]
+    keep = [best]
+    if len(paths[id(best)]) > 1:
+        floor, keep = max(10.0, 0.2 * most), []
+        for n in paths[id(best)][-2][2]:
+            if n is best:
+                keep.append(n)
+            elif not isinstance(n, str) and id(n) in points:
+                if best[0] == "article":
+                    good = n[0] == "article" and points[id(n)] >= floor
+                else:
+                    share = chars(n, True) / chars(n) if chars(n) else 1
+                    good = chars(n) and (points[id(n)] * (1 - share) >= floor or n[0] in ("p", "li") and share < 0.25)
+                if good:
+                    keep.append(n)
+
+    def lines(node, top=True):
+        links = sum(x[0] == "a" for x in kept if any(a is node for a in paths[id(x)]))
+        if not top and node[0] in ("ul", "div", "section") and not any(a[0] == "article" for a in paths[id(node)]) and chars(node) and chars(node, True) > 0.6 * chars(node) and chars(node) - chars(node, True) < 8 * links:
+            return "\n"
+        return "\n" + "".join(p if isinstance(p, str) else p[2][0] if p[0] in INLINE else "" if id(p) in gone and p[0] in INLINE else "\n" if id(p) in gone else lines(p, False) for p in node[2]) + "\n"
+
+    return "\n".join(x.strip() for x in "".join(lines(n) for n in keep).split("\n") if x.strip())
+
+
+def test_scores_agree_with_their_definition_on_random_trees():
+    rng = random.Random(7)
+    empty = 0
+    for _ in range(400):
+        tree = ["html", "", [random_tree(rng) for _ in range(rng.randint(1, 4))]]
+        got = main_text("".join(map(markup, tree[2])))
+        assert got == by_definition(tree), "".join(map(markup, tree[2]))
+        empty += not got
+    assert empty < 200
