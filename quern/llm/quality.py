@@ -127,16 +127,18 @@ def _logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def fit(texts: list[bytes], labels: np.ndarray, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 8) -> Model:
     """A model of labels 0 and 1. Without rows, or with one label only, every score is the smoothed share of label 1."""
+    parts = [features(texts[lo : lo + 64]) for lo in range(0, len(texts), 64)]
+    sizes = [np.bincount(owner, minlength=min(64, len(texts) - 64 * k)) for k, (owner, _) in enumerate(parts)]
+    found = np.concatenate([np.zeros(0, np.int32), *(feature.astype(np.int32) for _, feature in parts)])
+    return fit_features(found, np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes])))), labels, smoothing, cost, epochs)
+
+
+def fit_features(found: np.ndarray, cuts: np.ndarray, labels: np.ndarray, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 8) -> Model:
+    """`fit` on features: those of row k are found[cuts[k] : cuts[k + 1]]."""
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
-    parts, sizes = [], []
-    for lo in range(0, len(texts), 64):
-        owner, feature = features(texts[lo : lo + 64])
-        parts.append(feature.astype(np.int32))
-        sizes.append(np.bincount(owner, minlength=len(texts[lo : lo + 64])))
-    found, cuts = np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
     own = np.repeat(labels > 0, np.diff(cuts))
     good, bad = (smoothing + np.bincount(found[side], minlength=FEATURES) for side in (own, ~own))
     ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
@@ -165,12 +167,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_
 
     The bound holds for the sample alone: a model of fixed size gains little from more. Labels that
     contradict each other count by their mean; null labels and labels without a document are left out.
+    No text reaches the driver: tasks send the numbers of a row's features, each once, so FEATURES of four bytes a row
+    at most whatever its length.
     """
     votes = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(F.col(key), folds) != 0)).groupBy(F.col(key).alias("_key")).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
     chosen = votes.orderBy(F.xxhash64("_key"), "_key").limit(fit_rows)
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key").select("_key", "_label", "_text")
-    found = rows.orderBy(F.xxhash64("_key", "_text"), "_key", "_text").limit(fit_rows).drop("_key").toArrow()
-    return fit([t.encode() for t in found.column("_text").to_pylist()], found.column("_label").to_numpy())
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key")
+    rows = rows.select(F.xxhash64("_key", "_text").alias("_order"), "_key", F.xxhash64("_text").alias("_tie"), "_label", "_text")
+    schema = T.StructType([*rows.schema.fields[:4], T.StructField("_features", T.ArrayType(T.IntegerType()))])
+    found = rows.mapInArrow(_found, schema).orderBy("_order", "_key", "_tie").limit(fit_rows).select("_label", "_features").toArrow()
+    lists = found.column("_features").combine_chunks()
+    cuts = lists.offsets.to_numpy().astype(np.int64) if len(lists) else np.zeros(1, np.int64)
+    return fit_features(lists.flatten().to_numpy(), cuts - cuts[0], found.column("_label").to_numpy())
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each row's text in place of the text."""
+    for batch, texts in groups(batches, 4):
+        owner, feature = features(texts)
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feature, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), lists], ["_order", "_key", "_tie", "_label", "_features"])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, fit_rows: int = 6000, folds: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,7 +204,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, columns unchanged, that the classifier predicts to be of label 1."""
+    """The rows of `docs`, columns unchanged, that the classifier predicts to be of label 1.
+
+    Cases: null and empty texts are judged as texts without features; null keys are judged, never learned from; repeated
+    rows stay or go together; of tied scores `threshold` itself stays; without labels every score is 0.5; an empty table
+    gives no rows; columns of any name pass through.
+    """
     model = fit_quality(docs, labels, text=text, **options)
     at = docs.columns.index(text)
     n = len(docs.columns)
