@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that goes to Python while an operator's steps run: whole documents come in it, on both sides.
 BATCH_ROWS = 512
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_lock = threading.Lock()
+_batches: dict[int, tuple[int, str]] = {}  # session: operators at work, their setting of _BATCH before
+_results: dict[int, list[str]] = defaultdict(list)  # session: tables of lasting()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,14 +37,39 @@ def _written(df: DataFrame) -> tuple[str, DataFrame]:
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _session(spark: SparkSession) -> int:
+    return spark._jsparkSession.hashCode()
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def lasting(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written to the shared folder, for results whose steps are deleted before they are read. Spark's exit deletes it."""
+    """`df`, computed once and written to the shared folder, for results whose steps are deleted before they are read. release() or Spark's exit deletes it."""
     path, kept = _written(df)
-    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
+    files, where = _files(df.sparkSession, path)
+    files.deleteOnExit(where)
+    with _lock:
+        _results[_session(df.sparkSession)].append(path)
     return kept
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables behind all results that this session's operators have returned, and says how many.
+
+    For long sessions, once results are written out or collected: frames returned before cannot be read after it.
+    """
+    with _lock:
+        paths = _results.pop(_session(spark), [])
+    for path in paths:
+        files, where = _files(spark, path)
+        files.delete(where, True)
+        files.cancelDeleteOnExit(where)
+    return len(paths)
+
+
 class Scratch:
     """Tables in the shared folder for the steps of one operator, as compressed Parquet: lineage ends there, and a lost executor takes nothing along.
 
@@ -59,17 +89,25 @@ class Scratch:
             self._delete(self.paths.pop(id(frame))[0])
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        files, where = _files(self.spark, path)
+        files.delete(where, True)
 
     def __enter__(self) -> Scratch:
-        self.rows = self.spark.conf.get(_BATCH)
-        self.spark.conf.set(_BATCH, str(min(BATCH_ROWS, max(int(self.rows), 0) or BATCH_ROWS)))
+        with _lock:  # the first of a session's operators sets the rows of a batch, the last one resets them
+            count, before = _batches.get(_session(self.spark), (0, ""))
+            if not count:
+                before = self.spark.conf.get(_BATCH)
+                self.spark.conf.set(_BATCH, str(min(BATCH_ROWS, max(int(before), 0) or BATCH_ROWS)))
+            _batches[_session(self.spark)] = (count + 1, before)
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.conf.set(_BATCH, self.rows)
+        with _lock:
+            count, before = _batches.pop(_session(self.spark))
+            if count > 1:
+                _batches[_session(self.spark)] = (count - 1, before)
+            else:
+                self.spark.conf.set(_BATCH, before)
         for path, _frame in self.paths.values():
             self._delete(path)
 
