@@ -38,7 +38,7 @@ def test_each_stage_keeps_what_it_should(spark, tmp_path):
 
 def test_it_is_registered():
     assert registered.queries()["pipeline"] is corpus_pipeline.run and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "substrings", "mixture", "packing"]
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in registered.queries() if n.startswith("op")}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in registered.queries() if n.startswith("op")}
 
 
 def test_run(spark):
