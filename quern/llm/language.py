@@ -259,18 +259,24 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, ends: int, table: int = TABLE) -> Vocabulary:
-    """`counts` is read three times, so it should be a written table. The most frequent words are those above a count that at most `table` words reach."""
+    """`counts` is read three times, so it should be a written table. The `table` most frequent words, but that counts within a 16th of a doubling are alike: where they do not all fit, the least hashes are taken."""
     bucket = F.floor(F.log2("n") * 16).cast("int")
     sizes = counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("b")).collect()  # 16 for each doubling of the count
-    room, floor = table, None
+    room, floor, part = table, 1 << 30, F.lit(False)
     for r in sizes:
-        room -= r["words"]
-        if room < 0:
+        if r["words"] > room:  # as many of these as fit, and a few more, as hashes spread evenly: the driver never holds many more than `table` words
+            share = (room + 8 * room**0.5 + 64) / r["words"] if room else 0.0
+            part = (bucket == r["b"]) & (F.shiftrightunsigned("hash", 11) / F.lit(float(2**53)) < share)
             break
+        room -= r["words"]
         floor = r["b"]
-    found = counts.where(bucket >= F.lit(floor if floor is not None else 1 << 30)).select("hash", "n").toArrow()
+    found = counts.where((bucket >= floor) | part).select("hash", "n").toArrow()
     hashes, n = found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy().astype(np.int64)
     by = np.lexsort((hashes, -n))
+    if len(by) > table:
+        whole = table - room  # the words of the buckets that fit come first
+        by = np.concatenate((by[:whole], by[whole:][np.argsort(hashes[by[whole:]])][:room]))
+        by = by[np.lexsort((hashes[by], -n[by]))]
     hashes, n = hashes[by], n[by]
     kind, noise, rest = kinds(hashes), np.zeros(CLASSES), np.ones(TAIL)
     for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect():  # at most TAIL rows

@@ -110,3 +110,20 @@ def test_pieces_of_a_long_text_hold_each_token_once(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert L.score_language(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_table_is_filled_from_words_of_equal_counts(spark):
+    often = [f"often{i}" for i in range(40)] * 5
+    once = [f"once{i}" for i in range(1800)]
+    rows = spark.createDataFrame([(" ".join(often + once),)], "text string")
+    with Scratch(spark) as scratch:
+        counts = scratch.keep(L.count_words(rows))
+        whole = L.vocabulary(counts, 1)
+        assert len(whole.hashes) == 1840
+        for table in (0, 1, 39, 40, 41, 100, 1839, 1840):
+            known = L.vocabulary(counts, 1, table)
+            assert len(known.hashes) == table and len(set(known.hashes.tolist())) == table
+            assert known.counts.tolist() == ([5] * 40 + [1] * 1800)[:table]
+            assert (known.n, known.v) == (whole.n, whole.v) and known.noise.sum() == pytest.approx(whole.n)
+            if table >= 40:
+                assert known.hashes.tolist() == [*whole.hashes[:40].tolist(), *sorted(whole.hashes[40:].tolist())[: table - 40]]
