@@ -127,3 +127,13 @@ def test_the_table_is_filled_from_words_of_equal_counts(spark):
             assert (known.n, known.v) == (whole.n, whole.v) and known.noise.sum() == pytest.approx(whole.n)
             if table >= 40:
                 assert known.hashes.tolist() == [*whole.hashes[:40].tolist(), *sorted(whole.hashes[40:].tolist())[: table - 40]]
+
+
+def test_row_sums_are_those_of_each_number():
+    rng = np.random.default_rng(3)
+    for size, most in ((1, 1), (7, 3), (4096, 60), (5000, 3000), (300, 1)):
+        at, rows = rng.zipf(1.3, size) % most, rng.normal(size=(size, 4))
+        numbers, times, total = L._row_sums(rows, at)
+        assert sorted(numbers.tolist()) == sorted(set(at.tolist())) and (np.diff(times) <= 0).all()
+        for number, n, found in zip(numbers, times, total, strict=True):
+            assert n == (at == number).sum() and np.allclose(found, rows[at == number].sum(axis=0))
