@@ -128,6 +128,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _lowered(energy: np.ndarray, least: float) -> np.ndarray | float:
+    """Takes the largest energy of each row, or `least` if that is larger, from it in place, and returns what was taken: nothing where single precision holds all exponentials anyway."""
+    if not energy.size or (energy.max() < 60 and energy.min() > -60):
+        return 0.0
+    top = np.maximum(energy.max(axis=1), np.float32(least))
+    energy -= top[:, None]
+    return top.astype(np.float64)
+
+
 class Bilinear:
     """Weights: vectors of the last word, of the one before, of classes and of words; biases of classes. `grown` are AdaGrad's sums of each row and bias."""
 
@@ -212,22 +221,21 @@ class Bilinear:
     def log_chances(self, tokens: np.ndarray, places: np.ndarray, layout: Layout, rest: np.ndarray) -> np.ndarray:
         """Natural log probability of each token at `places`, but for the log of its count plus one if it is of a tail class."""
         one, two, out, word = self.vectors
-        total, steep = np.empty(len(places)), max(float(np.sqrt(np.einsum("ij,ij->i", v, v).max())) for v in (out, word))
+        total = np.empty(len(places))
         out = np.concatenate((out, self.bias[:, None]), axis=1)
         for lo in range(0, len(places), 1 << 17):
             place = places[lo : lo + (1 << 17)]
             x, t = tokens[place - 1], tokens[place]
             c = layout.classes[t]
             h = _take(one, x) + _take(two, np.where(x == START, START, tokens[place - 2]))
-            # sums of exponentials as they are: exact enough in single precision below this bound, in double precision beyond
-            kind = np.float32 if steep * float(np.sqrt(np.einsum("ij,ij->i", h, h).max())) + np.abs(self.bias).max() < 60 else np.float64
-            h = np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1).astype(kind, copy=False)
+            h = np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1)
             mine = np.empty(len(place))
             for a in range(0, len(place), 1 << 10):
                 energy = h[a : a + (1 << 10)] @ out.T
                 own = energy[np.arange(len(energy)), c[a : a + (1 << 10)]]
-                mine[a : a + (1 << 10)] = own - np.log(np.exp(energy, out=energy).sum(axis=1))
-            h = h[:, :-1]
+                top = _lowered(energy, -np.inf)
+                mine[a : a + (1 << 10)] = own - top - np.log(np.exp(energy, out=energy).sum(axis=1))
+            h = np.ascontiguousarray(h[:, :-1])
             tail = np.flatnonzero((c >= HEAD) & (c < _END))
             tail = tail[np.argsort(c[tail], kind="stable")]
             cuts = np.searchsorted(c[tail] - HEAD, np.arange(TAIL + 1))
@@ -238,7 +246,8 @@ class Bilinear:
                 energy = inner[some] @ word[words].T
                 said = np.flatnonzero(at[some] >= 0)
                 mine[tail[some][said]] += energy[said, at[some][said]]
-                mine[tail[some]] -= np.log(np.exp(energy, out=energy) @ layout.counts[words].astype(kind, copy=False) + rest[k])
+                top = _lowered(energy, 0.0)  # that of the words without vectors is 0
+                mine[tail[some]] -= top + np.log(np.exp(energy, out=energy) @ layout.counts[words] + rest[k] * np.exp(-top))
             total[lo : lo + len(place)] = mine
         return total
 

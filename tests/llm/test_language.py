@@ -137,3 +137,25 @@ def test_row_sums_are_those_of_each_number():
         assert sorted(numbers.tolist()) == sorted(set(at.tolist())) and (np.diff(times) <= 0).all()
         for number, n, found in zip(numbers, times, total, strict=True):
             assert n == (at == number).sum() and np.allclose(found, rows[at == number].sum(axis=0))
+
+
+def test_large_energies_are_normalised_as_small_ones(spark):
+    texts = [" ".join(f"w{int(x)}" for x in np.random.default_rng(i).zipf(1.3, 200) % 900) for i in range(20)]
+    with Scratch(spark) as scratch:
+        known, layout, model = fitted(spark, texts, scratch)
+    tokens, places = np.array([4, 70, 90, 3, 500, 2, L.START], np.int32), np.arange(2, 7)
+    for scale in (1.0, 10.0, 40.0):
+        grown = L.Bilinear([v * np.float32(scale) for v in model.vectors[:2]] + model.vectors[2:], model.bias, model.grown)
+        one, two, out, word = (v.astype(float) for v in grown.vectors)
+        want = []
+        for p in places:
+            h, t = one[tokens[p - 1]] + two[tokens[p - 2]], tokens[p]
+            c, energy = layout.classes[t], out @ h + grown.bias
+            chance = energy[c] - np.logaddexp.reduce(energy)
+            if L.HEAD <= c < L._END:
+                words = layout.words[layout.first[c - L.HEAD] : layout.first[c - L.HEAD + 1]]
+                within = np.append(word[words] @ h + np.log(layout.counts[words]), np.log(known.rest[c - L.HEAD]))
+                chance += word[t] @ h - np.logaddexp.reduce(within)
+            want.append(chance)
+        got = grown.log_chances(tokens, places, layout, known.rest)
+        assert got == pytest.approx(want, rel=1e-5, abs=1e-3)
