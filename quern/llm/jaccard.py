@@ -343,6 +343,13 @@ def without_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 1
     return kept.select(*plain.columns).toDF(*docs.columns)
 
 
+def _repeated(postings: DataFrame) -> DataFrame:
+    """sig, node, size, most: each node of a signature once, of signatures with more than one row. One shuffle and no table: nearly all postings go here."""
+    by = W.partitionBy("sig").orderBy("node", F.desc("most"))
+    beside = postings.withColumns({"_before": F.lag("node").over(by), "_after": F.lead("node").over(by)})
+    return beside.where("_before <> node OR (_before IS NULL AND _after IS NOT NULL)").select("sig", "node", "size", "most")
+
+
 def _asked(size: Column) -> Column:
     """_shown of a column."""
     return F.greatest(F.lit(SHOWN), F.floor(size / F.lit(SHARE)))
@@ -358,10 +365,7 @@ def _fits(num: int, den: int) -> Column:
 def _roots(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int, frequent: int, frequent_from: int, short: int, scratch: Scratch, naming: Naming) -> DataFrame:
     """node, root of every linked node."""
     common, words = _frequent(rows, n, frequent, frequent_from, scratch)
-    postings = scratch.keep(_postings(rows, n, num, den, common, words, naming))
-    again = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sig")
-    named = scratch.keep(postings.join(again, "sig").select("sig", "node", "size", "most").distinct())
-    scratch.drop(postings)
+    named = scratch.keep(_repeated(_postings(rows, n, num, den, common, words, naming)))
     lists = scratch.keep(named.join(named.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sig"))
     scratch.drop(named)
     brief, long = lists.where(F.col("_n") <= short), lists.where(F.col("_n") > short)

@@ -186,3 +186,20 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == want and [r.text for r in rows if r.doc_id is None] == ["quite alone here now"]
     assert all(r.text == texts[r.doc_id] and r._t1 == r.doc_id % 3 for r in rows if r.doc_id is not None)
     assert without_near_copies(docs.limit(0)).count() == 0
+
+
+def test_repeated_signatures_take_one_shuffle(spark):
+    rows = [(1, 9, 5, 9), (2, 9, 5, 9), (2, 9, 5, 9), (3, 8, 6, 8), (4, 7, 7, 7), (4, 7, 7, 7), (1, 9, 8, 3), (4, 7, 8, 2), (3, 8, 8, 1)]
+    found = jaccard._repeated(spark.createDataFrame(rows, "node long, size int, sig long, most int"))
+    # all rows of a signature that several sets have, each set's once; of 7, which one set posts twice, one may stay; 6 goes
+    assert {tuple(r) for r in found.where("sig <> 7").collect()} == {(5, 1, 9, 9), (5, 2, 9, 9), (8, 1, 9, 3), (8, 4, 7, 2), (8, 3, 8, 1)}
+    assert found.count() <= 6
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_postings_are_not_written(spark, monkeypatch):
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: kept.append(df.columns) or keep(self, df))
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i // 2}") for i in range(40)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_components(docs).collect()} == set(range(0, 40, 2))
+    assert ["node", "size", "sig", "most"] not in kept  # all signatures of all texts, before those that occur once are left out
