@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import array
 import functools
+import itertools
 import os
 import re
+import string
 import sys
 import zlib
 from collections.abc import Iterator
@@ -26,19 +28,107 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import lasting
+from quern.llm.common import Scratch, lasting
+from quern.llm.words import BUFFER, inverse, mix, powers
 
-#: Entries of a worker's memory of words; it is emptied when full.
-CACHE = 700_000
+#: Entries of a worker's memory of units; it is emptied when full.
+CACHE = 1_000_000
 _DOUBLE_SPACE = re.compile(r"\s\s")
+_U = np.uint64
+#: Between texts; UTF-8 has no such byte.
+_EDGE = 0xFF
+_LETTER, _MARK, _SPLIT = (np.isin(np.arange(256), list(chars)) for chars in (string.ascii_letters.encode(), b"!#$%&()*+,-./:;<=>?@[]^_{|}~", [0x20, 0x0A, _EDGE]))
+#: Two numbers for each byte, so that two hashes tell units apart by 128 bits.
+_CODES = [np.where(_SPLIT, _U(0), mix(mix(np.arange(1, 257, dtype=_U)) + _U(salt))) for salt in (1, 2)]
+#: A run of letters, a blank before it or none: one match of the splitter. How the model's vocabulary writes a blank and the bytes of such letters.
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+_SHOWN = {0x20: 0x120} | {b: 0x122 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 0x143}
+_BASE = _U(0x9E3779B97F4A7C15)
+#: Kinds of units: after a blank, after a line feed, all others.
+_BLANK, _FEED, _BARE = range(3)
+
+
+def units(buffer: bytes) -> tuple[np.ndarray, ...]:
+    """(start, end, kind, name, check) of the units of texts that stand between edges; name and check are two hashes of kind and bytes.
+
+    A unit is what stands between single blanks and line feeds, and is cut where a mark follows an ASCII letter: no match of the splitter goes on there.
+    """
+    data = np.frombuffer(buffer, np.uint8)
+    split = _SPLIT[data]
+    at = np.flatnonzero(split[:-1] | np.concatenate((_LETTER[data[:-2]] & _MARK[data[1:-1]], [False])))
+    # a blank, feed or edge stands before its unit, the letter before a mark belongs to the unit before
+    start, parted = at + 1, ~split[at]
+    before = data[at]
+    kind = np.where(parted, _BARE, np.where(before == 0x20, _BLANK, np.where(before == 0x0A, _FEED, _BARE)))
+    end = np.append(start[1:] - ~parted[1:], len(data) - 1)
+    salt = (end - start).astype(_U) * _U(4) + kind.astype(_U)
+    power, back = powers(_BASE, len(data)), powers(inverse(_BASE), len(data))[start]
+    name, check = (mix(np.add.reduceat(codes[data] * power, start) * back + salt) for codes in _CODES)
+    return start, end, kind, name | _U(1), check
+
+
+class Memory:
+    """Ids of units by name and check, in a table of open places. Units of one name but another check are told by -2, unknown ones by -1."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.count, self.used, self.bits = 0, 0, 12
+        self.name, self.check = np.zeros((2, 1 << self.bits), _U)
+        self.entry = np.zeros(1 << self.bits, np.int32)
+        self.first, self.ids = np.zeros(1024, np.int64), np.zeros(1 << 14, "<u4")
+
+    def find(self, name: np.ndarray, check: np.ndarray) -> np.ndarray:
+        at = (name >> _U(64 - self.bits)).astype(np.int64)
+        left = np.flatnonzero((self.name[at] != name) & (self.name[at] != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            found = self.name[at[left]]
+            left = left[(found != name[left]) & (found != 0)]
+        return np.where(self.name[at] == 0, -1, np.where(self.check[at] == check, self.entry[at], -2))
+
+    def add(self, name: np.ndarray, check: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct unknown names; the ids of all, one after the other."""
+        n = self.count + len(name)
+        while 2 * n > 1 << self.bits:
+            self.bits += 1
+            full = np.flatnonzero(self.name)
+            old = self.name[full], self.check[full], self.entry[full]
+            self.name, self.check = np.zeros((2, 1 << self.bits), _U)
+            self.entry = np.zeros(1 << self.bits, np.int32)
+            self._put(*old)
+        self._put(name, check, np.arange(self.count, n, dtype=np.int32))
+        if n >= len(self.first):
+            self.first = np.concatenate((self.first, np.zeros(n, np.int64)))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(self.used + len(ids), "<u4")))
+        self.first[self.count + 1 : n + 1] = self.used + np.cumsum(lengths)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count, self.used = n, self.used + len(ids)
+
+    def _put(self, name: np.ndarray, check: np.ndarray, entry: np.ndarray) -> None:
+        at = (name >> _U(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(name))
+        while len(left):
+            free = left[self.name[at[left]] == 0]
+            self.name[at[free]] = name[free]  # of several at one place the last one stays, the others go on
+            left = left[self.name[at[left]] != name[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+        self.check[at], self.entry[at] = check, entry
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, .. of each, n of them, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary's splitter never joins what a single blank or line feed between two other
-    characters separates, so words are encoded once and remembered; texts with other
-    white space go through the tokenizer whole. Special tokens' strings are ordinary text.
+    characters separates, nor an ASCII letter with a mark after it, so the units between are encoded once and remembered;
+    texts with other white space go through the tokenizer whole. Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -48,7 +138,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.words: dict[str, bytes] = {}
+        self.known, self.merged = Memory(), self.tokenizer.model.tokenize
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def direct(self, texts: list[str]) -> list[bytes]:
@@ -58,42 +148,66 @@ class Encoder:
                 a.byteswap()
         return [a.tobytes() for a in ids]
 
-    def apart(self, words: list[str]) -> list[bytes]:
-        """Words without line feeds, each by itself: many are encoded as one text, a line each; the feed's id marks where one ends."""
-        out: list[bytes] = []
-        for lo in range(0, len(words), 32):
-            some = words[lo : lo + 32]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([*some, ""])], add_special_tokens=False)[0].ids, dtype="<u4")  # without offsets, which cost time
-            ends = np.flatnonzero(ids == self.feed)
-            if len(ends) != len(some):
+    def apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, all ids) of words without line feeds, each by itself. Letters go to the model at once, which spares the splitter's time."""
+        found: list[list[int] | None] = [[t.id for t in self.merged(w.decode("latin-1").translate(_SHOWN))] if _LETTERS.fullmatch(w) else None for w in words]
+        left = [i for i, ids in enumerate(found) if ids is None]
+        for lo in range(0, len(left), 32):  # many are encoded as one text, a line each; the feed's id marks where one ends
+            some = left[lo : lo + 32]
+            ids = self.tokenizer.encode_batch_fast([b"\n".join([*(words[i] for i in some), b""]).decode()], add_special_tokens=False)[0].ids  # without offsets, which cost time
+            if ids.count(self.feed) != len(some):
                 raise ValueError("the vocabulary joins line feeds with words")
-            whole, last = ids.tobytes(), 0
-            for end in (ends * 4).tolist():
-                out.append(whole[last:end])
-                last = end + 4
-        return out
+            last = 0
+            for i in some:
+                end = ids.index(self.feed, last)
+                found[i], last = ids[last:end], end + 1
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(itertools.chain.from_iterable(found), "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for lo in range(0, len(texts), 256):
-            out += self._some(texts[lo : lo + 256])
+        out: list[bytes] = [b""] * len(texts)
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            if not t or t[0].isspace() or t[-1].isspace() or _DOUBLE_SPACE.search(t):
+                (out[i],) = self.direct([t])
+                continue
+            held.append((i, t.encode()))
+            size += len(held[-1][1])
+            if size > BUFFER:
+                self._some(held, out)
+                held, size = [], 0
+        if held:
+            self._some(held, out)
         return out
 
-    def _some(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if not t or t[0].isspace() or t[-1].isspace() or _DOUBLE_SPACE.search(t):
-                cut.append(None)
-            else:  # "x" stands for a blank and x, "\nx" for itself; "\rx" is the text's first word
-                cut.append(("\r" + t.replace("\n", " \n")).split(" "))
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = list(set().union(*(c for c in cut if c)).difference(self.words))
-        feed = self.feed.to_bytes(4, "little")
-        ids = self.apart([w[1:] if w[0] in "\n\r" else " " + w for w in new])
-        self.words.update((w, feed + i if w[0] == "\n" else i) for w, i in zip(new, ids, strict=True))
-        find = self.words.__getitem__
-        return [b"".join(map(find, c)) if c else self.direct([t])[0] for t, c in zip(texts, cut, strict=True)]
+    def _some(self, held: list[tuple[int, bytes]], out: list[bytes]) -> None:
+        edge = bytes([_EDGE])
+        buffer = edge.join([b"", *(t for _, t in held), b""])
+        start, end, kind, name, check = units(buffer)
+        if self.known.count > CACHE:
+            self.known.clear()
+        entry = self.known.find(name, check)
+        new = np.flatnonzero(entry == -1)
+        if len(new):
+            _, which = np.unique(name[new], return_index=True)
+            new = new[which]
+            blank = (b"", b" ")
+            words = [blank[k] + buffer[a:b] for k, a, b in zip((kind[new] == _BLANK).tolist(), start[new].tolist(), end[new].tolist(), strict=True)]
+            lengths, ids = self.apart(words)
+            fed = kind[new] == _FEED
+            ids = np.insert(ids, (np.cumsum(lengths) - lengths)[fed], self.feed)
+            self.known.add(name[new], check[new], lengths + fed, ids)
+            entry = self.known.find(name, check)
+        last = np.cumsum([len(t) + 1 for _, t in held])
+        cuts = np.concatenate(([0], np.searchsorted(start, last, side="right")))  # units before each text's end
+        first, n = self.known.first[entry], self.known.first[entry + 1] - self.known.first[entry]
+        n[entry < 0] = 0
+        ids = self.known.ids[_spread(first, n)]
+        whole, bounds = ids.tobytes(), (4 * np.concatenate(([0], np.cumsum(n)))[cuts]).tolist()
+        for (i, _), a, b in zip(held, bounds, bounds[1:], strict=False):
+            out[i] = whole[a:b]
+        for k in np.unique(np.searchsorted(cuts, np.flatnonzero(entry < 0), side="right") - 1).tolist():  # texts with units that share a name
+            i, t = held[k]
+            (out[i],) = self.direct([t.decode()])
 
 
 @functools.cache
@@ -189,7 +303,8 @@ def pack(
     Cases: null and empty texts are their end id alone; repeated rows are packed each; null keys are passed on; an
     empty table gives no rows; further columns are ignored; texts of any length are cut, none is dropped.
     """
-    pieces = lasting(cut_pieces(docs, capacity, path, end_id, **columns))
+    with Scratch(docs.sparkSession):  # documents come to Python in small batches
+        pieces = lasting(cut_pieces(docs, capacity, path, end_id, **columns))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     rows = plan(histogram, capacity, most_docs or capacity, most_cost or capacity * capacity, weights)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]

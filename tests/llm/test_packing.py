@@ -26,6 +26,24 @@ def test_remembered_words_give_the_tokenizers_ids():
     assert Encoder(PATH).encode(texts) == [np.array(plain(t), "<u4").tobytes() for t in texts]
 
 
+def test_words_are_remembered_without_their_marks():
+    encode = Encoder(PATH)
+    texts = ["Wort Wort, Wort. Wort;\nWort &Wort d'été, x's. a.b,c 'sx, (Wort) \u00d7a \u00e9,\u00e9 e\u0301, e\u0301. \xa0Wort Wort\xad, \u0178l \u00df!"]
+    assert encode.encode(texts) == [np.array(plain(t), "<u4").tobytes() for t in texts]
+    start, end, kind, name, check = packing.units(b"\xffWort Wort, a.b\nWort\xff\xc3\xa9, Wort\xff")
+    assert [(int(b - a), int(k)) for a, b, k in zip(start, end, kind)] == [(4, 2), (4, 0), (1, 2), (1, 0), (2, 2), (4, 1), (3, 2), (4, 0)]
+    assert name[1] == name[7] and check[1] == check[7] and len(set(name.tolist())) == len(set(check.tolist())) == 7
+
+
+def test_units_of_one_name_are_told_apart(monkeypatch):
+    whole = packing.units
+    monkeypatch.setattr(packing, "units", lambda buffer: (*(found := whole(buffer))[:3], found[3] & np.uint64(7) | np.uint64(1), found[4]))
+    rng, encode = np.random.default_rng(5), Encoder(PATH)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["one", "two,", "drei", "vier.", "\u00e9t\u00e9", "x"], 5)) for _ in range(6)]
+        assert encode.encode(texts) == [np.array(plain(t), "<u4").tobytes() for t in texts]
+
+
 def test_words_stay_right_when_the_memory_turns_over(monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 20)
     rng, encode = np.random.default_rng(4), Encoder(PATH)
