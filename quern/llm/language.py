@@ -223,19 +223,19 @@ class Bilinear:
         one, two, out, word = self.vectors
         total = np.empty(len(places))
         out = np.concatenate((out, self.bias[:, None]), axis=1)
-        for lo in range(0, len(places), 1 << 17):
-            place = places[lo : lo + (1 << 17)]
+        for lo in range(0, len(places), 1 << 18):
+            place = places[lo : lo + (1 << 18)]
             x, t = tokens[place - 1], tokens[place]
-            c = layout.classes[t]
-            h = _take(one, x) + _take(two, np.where(x == START, START, tokens[place - 2]))
-            h = np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1)
-            mine = np.empty(len(place))
-            for a in range(0, len(place), 1 << 10):
-                energy = h[a : a + (1 << 10)] @ out.T
-                own = energy[np.arange(len(energy)), c[a : a + (1 << 10)]]
+            y, c = np.where(x == START, START, tokens[place - 2]), layout.classes[t]
+            h = _take(one, x) + _take(two, y)
+            _, once, same = np.unique(x.astype(np.int64) * CONTEXTS + y, return_index=True, return_inverse=True)  # contexts recur, and each is normalised once
+            normal = np.empty(len(once))
+            for a in range(0, len(once), 1 << 10):
+                some = _take(h, once[a : a + (1 << 10)])
+                energy = np.concatenate((some, np.ones((len(some), 1), np.float32)), axis=1) @ out.T
                 top = _lowered(energy, -np.inf)
-                mine[a : a + (1 << 10)] = own - top - np.log(np.exp(energy, out=energy).sum(axis=1))
-            h = np.ascontiguousarray(h[:, :-1])
+                normal[a : a + (1 << 10)] = top + np.log(np.exp(energy, out=energy).sum(axis=1))
+            mine = np.einsum("ij,ij->i", h, _take(self.vectors[2], c)) + self.bias[c] - normal[same]
             tail = np.flatnonzero((c >= HEAD) & (c < _END))
             tail = tail[np.argsort(c[tail], kind="stable")]
             cuts = np.searchsorted(c[tail] - HEAD, np.arange(TAIL + 1))

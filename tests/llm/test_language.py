@@ -159,3 +159,17 @@ def test_large_energies_are_normalised_as_small_ones(spark):
             want.append(chance)
         got = grown.log_chances(tokens, places, layout, known.rest)
         assert got == pytest.approx(want, rel=1e-5, abs=1e-3)
+
+
+def test_a_context_that_recurs_is_normalised_once(spark, monkeypatch):
+    texts = [" ".join(f"w{int(x)}" for x in np.random.default_rng(i).zipf(1.3, 200) % 900) for i in range(5)]
+    with Scratch(spark) as scratch:
+        known, layout, model = fitted(spark, texts, scratch)
+    part = [4, 70, 90, 3, 500, 2, L.START]
+    rows, lowered = [], L._lowered
+    monkeypatch.setattr(L, "_lowered", lambda energy, least: rows.append(energy.shape) or lowered(energy, least))
+    one = model.log_chances(np.array(part, np.int32), np.arange(2, 7), layout, known.rest)
+    rows.clear()
+    many = model.log_chances(np.array(part * 50, np.int32), (np.arange(50)[:, None] * 7 + np.arange(2, 7)).ravel(), layout, known.rest)
+    assert many == pytest.approx(np.tile(one, 50), abs=1e-5)
+    assert sum(n for n, width in rows if width == L.CLASSES) == 5
