@@ -15,8 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that goes to Python while an operator's steps run: whole documents come in it, on both sides.
 BATCH_ROWS = 512
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What a step shuffles goes when the step is written, not when the driver happens to collect its garbage: no later step reads it.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = threading.Lock()
-_batches: dict[int, tuple[int, str]] = {}  # session: operators at work, their setting of _BATCH before
+_settings: dict[int, tuple[int, dict[str, str | None]]] = {}  # session: operators at work, its settings of _BATCH and _CLEAN before
 _results: dict[int, list[str]] = defaultdict(list)  # session: tables of lasting()
 
 
@@ -93,21 +95,27 @@ class Scratch:
         files.delete(where, True)
 
     def __enter__(self) -> Scratch:
-        with _lock:  # the first of a session's operators sets the rows of a batch, the last one resets them
-            count, before = _batches.get(_session(self.spark), (0, ""))
+        with _lock:  # the first of a session's operators changes the settings, the last one resets them
+            conf = self.spark.conf
+            count, before = _settings.get(_session(self.spark), (0, {}))
             if not count:
-                before = self.spark.conf.get(_BATCH)
-                self.spark.conf.set(_BATCH, str(min(BATCH_ROWS, max(int(before), 0) or BATCH_ROWS)))
-            _batches[_session(self.spark)] = (count + 1, before)
+                before = {_BATCH: conf.get(_BATCH), _CLEAN: conf.get(_CLEAN, None)}
+                conf.set(_BATCH, str(min(BATCH_ROWS, max(int(before[_BATCH]), 0) or BATCH_ROWS)))
+                conf.set(_CLEAN, "true")
+            _settings[_session(self.spark)] = (count + 1, before)
         return self
 
     def __exit__(self, *_) -> None:
         with _lock:
-            count, before = _batches.pop(_session(self.spark))
+            count, before = _settings.pop(_session(self.spark))
             if count > 1:
-                _batches[_session(self.spark)] = (count - 1, before)
+                _settings[_session(self.spark)] = (count - 1, before)
             else:
-                self.spark.conf.set(_BATCH, before)
+                for key, value in before.items():
+                    if value is None:
+                        self.spark.conf.unset(key)
+                    else:
+                        self.spark.conf.set(key, value)
         for path, _frame in self.paths.values():
             self._delete(path)
 
