@@ -45,6 +45,8 @@ _END, CLASSES = HEAD + TAIL, HEAD + TAIL + 1
 START, CONTEXTS = SEEN + TAIL, SEEN + TAIL + 1
 _FIRST = np.cumsum([0, CONTEXTS, CONTEXTS, CLASSES, SAID])  # rows of all weights
 _COUNTED = 1 << 22
+#: Scoring: contexts of two of the OFTEN most frequent words are normalised over the classes in one table, once PAID of them have come.
+OFTEN, PAID = 4096, 1 << 16
 
 
 def kinds(hashes: np.ndarray) -> np.ndarray:
@@ -143,6 +145,7 @@ class Bilinear:
     def __init__(self, vectors: list[np.ndarray], bias: np.ndarray, grown: list[np.ndarray]):
         self.vectors, self.bias, self.grown = vectors, bias, grown
         self.touched = [np.zeros(len(v), np.int64) for v in vectors]
+        self._often, self._met = None, 0
 
     @classmethod
     def start(cls, noise: np.ndarray, seed: int = 1) -> Bilinear:
@@ -218,35 +221,72 @@ class Bilinear:
             self.grown[4] += step * step
             self.bias += rates[2] * step / np.sqrt(self.grown[4])
 
+    def _often_normalised(self) -> np.ndarray:
+        """Log of the sum over the classes after words x (rows) and y of the OFTEN most frequent ones, NaN where single precision does not hold it.
+
+        A context vector is a sum, so the exponential of an energy is a product: exponentials are taken by word, and sums by a matrix product.
+        """
+        one, two, out, _ = self.vectors
+        last, before = one[:OFTEN] @ out.T + self.bias, two[:OFTEN] @ out.T
+        tops = [e.max(axis=1) for e in (last, before)]
+        for energy, top in zip((last, before), tops, strict=True):
+            energy -= top[:, None]
+            np.exp(energy, out=energy)
+        table = last @ before.T
+        weak = table < 1e-20  # what is largest for one word is tiny for the other
+        np.log(table, out=table, where=~weak)
+        table += tops[0][:, None]
+        table += tops[1]
+        table[weak] = np.nan
+        return table
+
+    def _normalised(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log of the sum over the classes after each word x and the word y before it."""
+        normal, often = np.full(len(x), np.nan), np.flatnonzero((x < OFTEN) & (y < OFTEN))
+        self._met += len(often)
+        if self._met >= PAID:
+            if self._often is None:
+                self._often = self._often_normalised()
+            normal[often] = self._often[x[often], y[often]]
+        left = np.flatnonzero(np.isnan(normal))
+        if not len(left):
+            return normal
+        one, two, out, _ = self.vectors
+        out = np.concatenate((out, self.bias[:, None]), axis=1)
+        _, once, same = np.unique(x[left].astype(np.int64) * CONTEXTS + y[left], return_index=True, return_inverse=True)  # contexts recur, and each is normalised once
+        found = np.empty(len(once))
+        for a in range(0, len(once), 1 << 10):
+            at = left[once[a : a + (1 << 10)]]
+            energy = np.concatenate((_take(one, x[at]) + _take(two, y[at]), np.ones((len(at), 1), np.float32)), axis=1) @ out.T
+            top = _lowered(energy, -np.inf)
+            found[a : a + len(at)] = top + np.log(np.exp(energy, out=energy).sum(axis=1))
+        normal[left] = found[same]
+        return normal
+
     def log_chances(self, tokens: np.ndarray, places: np.ndarray, layout: Layout, rest: np.ndarray) -> np.ndarray:
         """Natural log probability of each token at `places`, but for the log of its count plus one if it is of a tail class."""
         one, two, out, word = self.vectors
         total = np.empty(len(places))
-        out = np.concatenate((out, self.bias[:, None]), axis=1)
+        reach = np.sqrt(np.einsum("ij,ij->i", word, word))
         for lo in range(0, len(places), 1 << 18):
             place = places[lo : lo + (1 << 18)]
             x, t = tokens[place - 1], tokens[place]
             y, c = np.where(x == START, START, tokens[place - 2]), layout.classes[t]
             h = _take(one, x) + _take(two, y)
-            _, once, same = np.unique(x.astype(np.int64) * CONTEXTS + y, return_index=True, return_inverse=True)  # contexts recur, and each is normalised once
-            normal = np.empty(len(once))
-            for a in range(0, len(once), 1 << 10):
-                some = _take(h, once[a : a + (1 << 10)])
-                energy = np.concatenate((some, np.ones((len(some), 1), np.float32)), axis=1) @ out.T
-                top = _lowered(energy, -np.inf)
-                normal[a : a + (1 << 10)] = top + np.log(np.exp(energy, out=energy).sum(axis=1))
-            mine = np.einsum("ij,ij->i", h, _take(self.vectors[2], c)) + self.bias[c] - normal[same]
+            mine = np.einsum("ij,ij->i", h, _take(out, c)) + self.bias[c] - self._normalised(x, y)
             tail = np.flatnonzero((c >= HEAD) & (c < _END))
             tail = tail[np.argsort(c[tail], kind="stable")]
             cuts = np.searchsorted(c[tail] - HEAD, np.arange(TAIL + 1))
             inner, at = _take(h, tail), layout.places[t[tail]]
+            size = np.sqrt(np.einsum("ij,ij->i", inner, inner))
             for k in np.flatnonzero(np.diff(cuts)):
                 words = layout.words[layout.first[k] : layout.first[k + 1]]
                 some = slice(cuts[k], cuts[k + 1])
                 energy = inner[some] @ word[words].T
                 said = np.flatnonzero(at[some] >= 0)
                 mine[tail[some][said]] += energy[said, at[some][said]]
-                top = _lowered(energy, 0.0)  # that of the words without vectors is 0
+                small = len(words) and size[some].max() * reach[words].max() < 60  # no energy is larger than that product
+                top = 0.0 if small else _lowered(energy, 0.0)  # that of the words without vectors is 0
                 mine[tail[some]] -= top + np.log(np.exp(energy, out=energy) @ layout.counts[words] + rest[k] * np.exp(-top))
             total[lo : lo + len(place)] = mine
         return total

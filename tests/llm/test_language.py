@@ -173,3 +173,25 @@ def test_a_context_that_recurs_is_normalised_once(spark, monkeypatch):
     many = model.log_chances(np.array(part * 50, np.int32), (np.arange(50)[:, None] * 7 + np.arange(2, 7)).ravel(), layout, known.rest)
     assert many == pytest.approx(np.tile(one, 50), abs=1e-5)
     assert sum(n for n, width in rows if width == L.CLASSES) == 5
+
+
+def test_contexts_of_frequent_words_are_normalised_in_one_table(spark, monkeypatch):
+    texts = [" ".join(f"w{int(x)}" for x in np.random.default_rng(i).zipf(1.3, 200) % 900) for i in range(5)]
+    with Scratch(spark) as scratch:
+        known, layout, model = fitted(spark, texts, scratch)
+    rng = np.random.default_rng(7)
+    tokens = np.append(rng.integers(0, 300, 400), [L.START, L.START, 5, L.SEEN + 3, 9, 4, L.START]).astype(np.int32)
+    places, lowered = np.arange(2, len(tokens)), L._lowered
+    monkeypatch.setattr(L, "OFTEN", 250)
+    for scale in (1.0, 30.0):  # the larger energies are not held by products in single precision
+        vectors = [v * np.float32(scale) for v in model.vectors[:2]] + model.vectors[2:]
+        found = []
+        for paid in (10**9, 1):
+            rows = []
+            monkeypatch.setattr(L, "PAID", paid)
+            monkeypatch.setattr(L, "_lowered", lambda energy, least, rows=rows: rows.append(energy.shape) or lowered(energy, least))
+            found.append(L.Bilinear(vectors, model.bias, model.grown).log_chances(tokens, places, layout, known.rest))
+            if scale == 1:
+                often = sum(tokens[p - 1] < 250 and (L.START if tokens[p - 1] == L.START else tokens[p - 2]) < 250 for p in places)
+                assert often > 200 and sum(n for n, width in rows if width == L.CLASSES) <= len(places) - often * (paid == 1)
+        assert found[1] == pytest.approx(found[0], rel=1e-5, abs=1e-4)
